@@ -194,11 +194,12 @@ def lookup_interval(
 
     ``priority`` is unique per entity; both interval ends are included.
     """
-    steps = winning_steps(intervals, keys, start, end, priority, take, pick)
+    if blocks is None:
+        ends = intervals.select(F.explode(F.array(column(start), column(end)).cast("array<double>")).alias("_time"))
+        blocks = plan_blocks(points.select(column(time).cast("double").alias("_time")).unionByName(ends), "_time")
+    steps = winning_steps(intervals, keys, start, end, priority, take, pick, blocks)
     hit = F.struct(*[column(c) for c in take]).alias("_hit")
     both = interleave(points, steps, keys, time, "_time", [hit], 1, F.col("_side"))
-    if blocks is None:
-        blocks = plan_blocks(both, "_time")
     walked = running(both, keys, ["_time", "_side"], F.col("_hit"), "last", "_hit", blocks)
     return walked.where("_left").select(
         *[column(c) for c in points.columns], *[F.col("_hit")[c].alias(c) for c in take]

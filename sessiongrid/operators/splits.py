@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessiongrid.operators.ordered import Blocks, HashBlocks, column, row_index
+from sessiongrid.operators.ordered import Blocks, HashBlocks, column, hash_order, row_index
 from sessiongrid.operators.sampling import hash_ranked
 
 
@@ -74,8 +74,8 @@ def block_folds(
 
 def row_folds(df: DataFrame, ids: Sequence[str], folds: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
     """Plain shuffled folds of rows or windows, by hash; no shuffle of data."""
-    keys = [column(i) for i in ids]
-    return df.withColumn(name, F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(folds)).cast("int"))
+    number = F.conv(F.substring(hash_order(seed, *ids), 1, 8), 16, 10).cast("long")
+    return df.withColumn(name, (number % folds).cast("int"))
 
 
 def within_entity_split(

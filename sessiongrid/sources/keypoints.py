@@ -6,13 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sessiongrid.catalog import BODY_JOINTS, UPPER_JOINTS
 from sessiongrid.functions.text import frame_of_name
 from sessiongrid.operators.ordered import column
 
-DOCUMENT = T.StructType.fromDDL("people ARRAY<STRUCT<pose_keypoints_2d: ARRAY<DOUBLE>>>")
+DOCUMENT = "people ARRAY<STRUCT<pose_keypoints_2d: ARRAY<DOUBLE>>>"
 
 
 def read_keypoints(spark: SparkSession, paths: str | Sequence[str], entity_pattern: str = r"^([^_]+)") -> DataFrame:

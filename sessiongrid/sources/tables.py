@@ -12,15 +12,22 @@ from sessiongrid.functions.text import file_stem
 from sessiongrid.operators.clean import trimmed_names
 from sessiongrid.operators.ordered import column
 
-TURNS = T.StructType.fromDDL("speaker STRING, start DOUBLE, end DOUBLE, duration DOUBLE")
-ALL_TURNS = T.StructType.fromDDL("participant_num STRING, speaker STRING, start DOUBLE, end DOUBLE, duration DOUBLE")
-ERRORS = T.StructType.fromDDL("participant_num INT, start DOUBLE, end DOUBLE, error INT")
-ANNOTATIONS = T.StructType.fromDDL(
-    "video_id INT, annotation_id INT, participant_num INT, start DOUBLE, end DOUBLE, labels STRING, error INT"
+INT, DOUBLE, STRING = T.IntegerType(), T.DoubleType(), T.StringType()
+
+
+def declared(**types: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in types.items()])
+
+
+TURNS = declared(speaker=STRING, start=DOUBLE, end=DOUBLE, duration=DOUBLE)
+ALL_TURNS = declared(participant_num=STRING, speaker=STRING, start=DOUBLE, end=DOUBLE, duration=DOUBLE)
+ERRORS = declared(participant_num=INT, start=DOUBLE, end=DOUBLE, error=INT)
+ANNOTATIONS = declared(
+    video_id=INT, annotation_id=INT, participant_num=INT, start=DOUBLE, end=DOUBLE, labels=STRING, error=INT
 )
-INTERACTIONS = T.StructType.fromDDL("participant_num INT, start DOUBLE, end DOUBLE")
-IMPORTANCES = T.StructType.fromDDL("feature STRING, importance DOUBLE")
-P_VALUES = T.StructType.fromDDL("feature STRING, p_value DOUBLE")
+INTERACTIONS = declared(participant_num=INT, start=DOUBLE, end=DOUBLE)
+IMPORTANCES = declared(feature=STRING, importance=DOUBLE)
+P_VALUES = declared(feature=STRING, p_value=DOUBLE)
 
 
 def read_raw(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
