@@ -51,7 +51,8 @@ def cross_validate(
 ) -> DataFrame:
     """Rows ``config_id, fold, split, metric, value`` for the val and test rows of every fold.
 
-    ``balance(train)`` may resample the train rows.
+    ``balance(train)`` may resample the train rows. Every fit reads ``df`` several times, so
+    persist it if it is costly to make. The predictions of all folds are evaluated together.
     """
     results = []
     for fold in range(count):
@@ -59,8 +60,9 @@ def cross_validate(
         train = split.where(F.col("split") == "train")
         model = fit(balance(train) if balance else train, names, label)
         held = predict(model, split.where(F.col("split") != "train"), names)
-        results.append(evaluate(held, label, ["fold", "split"], ["split", entity], order, tolerance))
-    rows = reduce(lambda a, b: a.unionByName(b), results)
+        results.append(held.select("fold", "split", *map(column, [entity, *order, label]), "yhat"))
+    predictions = reduce(lambda a, b: a.unionByName(b), results)
+    rows = evaluate(predictions, label, ["fold", "split"], ["fold", "split", entity], order, tolerance)
     return rows.select(F.lit(config_id).alias("config_id"), "fold", "split", "metric", "value")
 
 
@@ -80,5 +82,6 @@ def cross_validate_within(
         split = within_entity_split(df.where(column(entity) == F.lit(one)), entity, order, train_share)
         model = fit(split.where(F.col("split") == "train"), features, label)
         held = predict(model, split.where(F.col("split") != "train"), features)
-        results.append(evaluate(held, label, [entity, "split"]))
-    return reduce(lambda a, b: a.unionByName(b), results)
+        results.append(held.select(column(entity), "split", column(label), "yhat"))
+    predictions = reduce(lambda a, b: a.unionByName(b), results)
+    return evaluate(predictions, label, [entity, "split"])

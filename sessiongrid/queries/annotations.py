@@ -86,8 +86,8 @@ CELLS = ["error", "refund", "view"]
 
 
 @query(f"""WITH {BANDS_SQL}, rows AS (SELECT unnest([0, 1, 2, 99])::INTEGER AS band)
-SELECT r.band, count_if(event_type = 'error')::BIGINT AS error, count_if(event_type = 'refund')::BIGINT AS refund,
-  count_if(event_type = 'view')::BIGINT AS "view" FROM rows r LEFT JOIN bd ON bd.band = r.band GROUP BY r.band""")
+SELECT r.band, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'refund') AS refund,
+  count(*) FILTER (event_type = 'view') AS "view" FROM rows r LEFT JOIN bd ON bd.band = r.band GROUP BY r.band""")
 def crosstab(spark, sf_dir):
     return aggregate.crosstab(_bands(spark, sf_dir), "band", "event_type", [0, 1, 2, 99], CELLS)
 
