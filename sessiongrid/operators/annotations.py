@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessiongrid.functions.text import other_bucket, split_labels
-from sessiongrid.operators.asof import interleave
-from sessiongrid.operators.ordered import Blocks, column, plan_blocks, running
+from sessiongrid.operators.asof import interleave, plan_times
+from sessiongrid.operators.ordered import Blocks, column, running
 from sessiongrid.operators.rank import first_per_group
 
 
@@ -81,7 +81,7 @@ def response_summary(
     taken = annotations.select(column(entity), column("start").cast("double").alias("_at"))
     both = interleave(probes, taken, [entity], "_anchor", "_at", [F.col("_at")], 1, 0)
     if blocks is None:
-        blocks = plan_blocks(both, "_time")
+        blocks = plan_times(probes, taken, "_anchor", "_at")
     order = ["_time", "_side"]
     hit = F.when(~F.col("_left"), F.col("_time"))
     counted = running(both, [entity], order, F.when(~F.col("_left"), 1).otherwise(0), "sum", "_later", blocks, True)

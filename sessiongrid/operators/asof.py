@@ -32,6 +32,12 @@ def interleave(
     return probes.unionByName(found, allowMissingColumns=True)
 
 
+def plan_times(left: DataFrame, right: DataFrame, left_time: str, right_time: str) -> Blocks:
+    """Blocks of the times of both sides, from nothing but the two time columns."""
+    times = left.select(column(left_time).cast("double").alias("_time"))
+    return plan_blocks(times.unionByName(right.select(column(right_time).cast("double").alias("_time"))), "_time")
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -61,7 +67,7 @@ def asof_join(
     seq = (column(tiebreak) if tiebreak else F.lit(0)).alias("_seq")
     both = interleave(left, right, keys, left_time, right_time, [hit, seq], 1, right_side)
     if blocks is None:
-        blocks = plan_blocks(both, "_time")
+        blocks = plan_times(left, right, left_time, right_time)
     walked = running(
         both, keys, ["_time", "_side", "_seq"], F.col("_hit"), "last", "_hit", blocks, reverse=forward
     )

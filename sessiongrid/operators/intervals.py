@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessiongrid.operators.asof import asof_join, interleave
+from sessiongrid.operators.asof import asof_join, interleave, plan_times
 from sessiongrid.operators.ordered import Blocks, column, plan_blocks, row_index, running
 
 
@@ -38,7 +38,7 @@ def mark_contained(
     usable = intervals.where(column(interval_start) <= column(interval_end))
     both = interleave(rows, usable, keys, start, interval_start, [reach], 1, 0)
     if blocks is None:
-        blocks = plan_blocks(both, "_time")
+        blocks = plan_times(rows, usable, start, interval_start)
     walked = running(both, keys, ["_time", "_side"], F.col("_reach"), "max", "_reach", blocks)
     reached = F.col("_reach") > column(end) if half_open else F.col("_reach") >= column(end)
     return walked.where("_left").select(
@@ -208,12 +208,24 @@ def lookup_interval(
 
 def multiclass_label(
     points: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str,
-    name: str = "multiclass_label", **options,
+    name: str = "multiclass_label", blocks: Blocks | None = None,
 ) -> DataFrame:
-    """Number k of the first interval ``(k, start, end)`` holding the time, 0 if none."""
-    numbered = intervals.withColumn(name, column("k").cast("int"))
-    found = lookup_interval(points, numbered, keys, time, "start", "end", "k", [name], "first", **options)
-    return found.withColumn(name, F.coalesce(column(name), F.lit(0)))
+    """Number k of the first interval ``(k, start, end)`` holding the time, 0 if none.
+
+    Intervals of an entity follow each other in the order of k and may share a bound, which then
+    belongs to the earlier one. So one as-of pass is enough; :func:`lookup_interval` takes
+    intervals that overlap.
+    """
+    before = intervals.select(*map(column, keys), (column("k") + 1).alias("k"), column("end").alias("_previous"))
+    joined = intervals.join(before, [*keys, "k"], "left")
+    shared = F.coalesce(F.col("_previous") == column("start"), F.lit(False))
+    hit = F.struct(column("k").cast("int").alias("k"), column("end").cast("double").alias("end")).alias("_hit")
+    both = interleave(points, joined, keys, time, "start", [hit], 1, F.when(shared, 2).otherwise(0))
+    if blocks is None:
+        blocks = plan_times(points, intervals, time, "start")
+    walked = running(both, keys, ["_time", "_side"], F.col("_hit"), "last", "_hit", blocks)
+    label = F.when(F.col("_time") <= F.col("_hit.end"), F.col("_hit.k")).otherwise(0)
+    return walked.where("_left").select(*map(column, points.columns), label.alias(name))
 
 
 def attach_captions(

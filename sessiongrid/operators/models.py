@@ -28,12 +28,15 @@ def with_vector(df: DataFrame, features: Sequence[str], name: str = "_features")
     return assembler.transform(df.withColumns(renamed)).drop(*renamed)
 
 
-def forest(trees: int = 100, depth: int = 10, seed: int = 42) -> Fit:
+def forest(trees: int = 100, depth: int = 10, seed: int = 42, partitions: int | None = None) -> Fit:
+    """A random forest. ``partitions`` spreads the train rows evenly before the many passes over them."""
+
     def fit(train: DataFrame, features: Sequence[str], label: str) -> Model:
         model = RandomForestClassifier(
             featuresCol="_features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed
         )
-        return model.fit(with_vector(train, features))
+        rows = train.select(*map(column, features), column(label))
+        return model.fit(with_vector(rows.repartition(partitions) if partitions else rows, features))
 
     return fit
 

@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_PER_BLOCK = 1_000_000
+ROWS_PER_BLOCK = 2_000_000
 MAX_BLOCKS = 8192
+FEW_CUTS = 32
 
 
 def quoted(name: str) -> str:
@@ -42,9 +43,15 @@ class Blocks:
         return not self.cuts
 
     def number(self, order: Column) -> Column:
-        """Block of a value: a binary search in the cuts, so blocks follow the order."""
+        """Block of a value, so that blocks follow the order.
+
+        A few cuts are compared one by one in generated code; many take a binary search.
+        """
         if self.single:
             return F.lit(0)
+        if len(self.cuts) <= FEW_CUTS:
+            passed = [F.when(order.cast("double") > F.lit(cut), 1).otherwise(0) for cut in self.cuts]
+            return sum(passed[1:], passed[0])
         cuts = F.from_json(F.lit(json.dumps(list(self.cuts))), "array<double>")
         value = order.cast("double")
         bounds = F.struct(F.lit(0).alias("lo"), F.lit(len(self.cuts)).alias("hi"))
@@ -87,13 +94,17 @@ def plan_blocks(df: DataFrame, order: str | Column, rows_per_block: int = ROWS_P
         return Blocks()
     shares = [i / blocks for i in range(1, blocks)]
     value = column(order).cast("double")
-    found = df.agg(F.percentile_approx(value, shares, max(10_000, 4 * blocks))).first()[0]
+    found = df.agg(F.percentile_approx(value, shares, max(1_000, 8 * blocks))).first()[0]
     return Blocks(tuple(sorted(set(found or ()))))
 
 
 def plan_hash_blocks(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> HashBlocks:
     """Number of leading hash digits giving about ``rows_per_block`` rows per block."""
-    wanted = df.count() / rows_per_block
+    return hash_blocks_for(df.count(), rows_per_block)
+
+
+def hash_blocks_for(rows: int, rows_per_block: int = ROWS_PER_BLOCK) -> HashBlocks:
+    wanted = rows / rows_per_block
     return HashBlocks(0 if wanted <= 1 else min(4, math.ceil(math.log(wanted, 16))))
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessiongrid.operators.ordered import Blocks, column, over_neighbours, plan_blocks, row_index, running
+from sessiongrid.operators.ordered import Blocks, column, join_per_block, over_neighbours, plan_blocks, row_index
 
 
 def ranked_drops(
@@ -68,17 +69,27 @@ def value_counts_ranked(
 
     Equal values collapse in a partial aggregate first, so the ordered pass sees distinct values.
     """
-    # -0.0 and 0.0 tie
-    same = df.withColumn(value, column(value) + F.lit(0.0))
-    distinct = same.groupBy(*map(column, keys), column(value)).agg(F.count(F.lit(1)).alias("ties"), *counts)
     if blocks is None:
         blocks = plan_blocks(df, value)
-    summed = running(distinct, keys, [value], F.col("ties"), "sum", "_upto", blocks)
-    return (
-        summed.withColumn("before", F.col("_upto") - F.col("ties"))
-        .withColumn("midrank", F.col("before") + (F.col("ties") + 1) / 2)
-        .drop("_upto")
+    # -0.0 and 0.0 tie
+    same = df.withColumn(value, column(value) + F.lit(0.0)).withColumn("_block", blocks.number(column(value)))
+    key_columns = [column(k) for k in keys]
+    distinct = same.groupBy(*key_columns, "_block", column(value)).agg(F.count(F.lit(1)).alias("ties"), *counts)
+    upto = F.sum("ties").over(
+        W.partitionBy(*key_columns, F.col("_block")).orderBy(column(value)).rowsBetween(W.unboundedPreceding, 0)
     )
+    if blocks.single:
+        ranked = distinct.withColumn("before", upto - F.col("ties"))
+    else:
+        # rows in earlier blocks come straight from the input, so the distinct values are made once
+        earlier = W.partitionBy(*key_columns).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+        sizes = (
+            same.groupBy(*key_columns, "_block")
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .select(*key_columns, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+        )
+        ranked = join_per_block(distinct, sizes, keys).withColumn("before", upto - F.col("ties") + F.col("_base"))
+    return ranked.withColumn("midrank", F.col("before") + (F.col("ties") + 1) / 2).drop("_block", "_base")
 
 
 def midranks(df: DataFrame, keys: Sequence[str], value: str, blocks: Blocks | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessiongrid.operators.ordered import HashBlocks, column, hash_order, plan_hash_blocks, row_index
+from sessiongrid.operators.ordered import HashBlocks, column, hash_blocks_for, hash_order, plan_hash_blocks, row_index
 
 
 def hash_ranked(
@@ -36,9 +36,14 @@ def undersample_to_smallest(
     return limited.where(F.col("_pos") < F.col("_least")).drop("_pos", "_least")
 
 
+def class_sizes(df: DataFrame, label: str) -> dict:
+    """Rows per class: a table as short as the list of classes."""
+    return {r[label]: r["n"] for r in df.groupBy(column(label)).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def resample_to(
     df: DataFrame, label: str, targets: Mapping[object, int], ids: Sequence[str], seed: int | str = 42,
-    blocks: HashBlocks | None = None,
+    blocks: HashBlocks | None = None, sizes: Mapping[object, int] | None = None,
 ) -> DataFrame:
     """Classes named in ``targets`` brought to that many rows; other classes stay as they are.
 
@@ -46,8 +51,11 @@ def resample_to(
     ``T mod n`` rows of its shuffled order once more, so growing and cutting are one rule.
     Copies are numbered by ``copy``.
     """
+    if sizes is None:
+        sizes = class_sizes(df, label)
+    if blocks is None:
+        blocks = hash_blocks_for(sum(sizes.values()))
     ranked = hash_ranked(df, [label], ids, seed, "_pos", blocks)
-    sizes = {r[label]: r["n"] for r in df.groupBy(column(label)).agg(F.count(F.lit(1)).alias("n")).collect()}
     copies = F.lit(1)
     for value, target in targets.items():
         n = sizes.get(value)
@@ -63,5 +71,5 @@ def resample_to(
 
 
 def oversample_to_largest(df: DataFrame, label: str, ids: Sequence[str], seed: int | str = 42) -> DataFrame:
-    sizes = {r[label]: r["n"] for r in df.groupBy(column(label)).agg(F.count(F.lit(1)).alias("n")).collect()}
-    return resample_to(df, label, dict.fromkeys(sizes, max(sizes.values())), ids, seed)
+    sizes = class_sizes(df, label)
+    return resample_to(df, label, dict.fromkeys(sizes, max(sizes.values())), ids, seed, sizes=sizes)

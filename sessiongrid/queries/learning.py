@@ -158,7 +158,8 @@ def random_forest_cv(spark, sf_dir):
     rows = calls(spark, sf_dir).drop("yhat").withColumn("hour", F.floor(F.col("t") / 3600) % 24).persist()
     folds = splits.rotating_folds(rows, "user_id")
     found = evaluate.cross_validate(
-        rows, folds, "user_id", ["us", "event_id"], ["value", "k", "hour"], "y", models.forest(5, 4), tolerance=1,
+        rows, folds, "user_id", ["us", "event_id"], ["value", "k", "hour"], "y",
+        models.forest(5, 4, partitions=spark.sparkContext.defaultParallelism), tolerance=1,
         balance=lambda train: sampling.oversample_to_largest(train, "y", ["event_id"]).drop("copy"),
     )
     return evaluate.average_folds(found)
