@@ -144,8 +144,8 @@ def kde_grid(
     weights = usable.groupBy(column(group), spot.alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
     step = (high - low) / (points - 1)
     x = F.lit(low) + F.col("point") * F.lit(step)
-    z = (x - F.col("_v")) / F.col("_h")
-    bump = F.col("_w") * F.exp(-z * z / 2) / (F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))
+    z = F.try_divide(x - F.col("_v"), F.col("_h"))
+    bump = F.try_divide(F.col("_w") * F.exp(-z * z / 2), F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))
     return (
         weights.join(width, group)
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))

@@ -59,7 +59,7 @@ def later_responses(
     )
     copies = errors.select(
         column(entity), column("error"), column(anchor).alias("_anchor"),
-        F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long").alias("_bucket"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("_bucket"),
     )
     return (
         copies.join(spread, [entity, "_bucket"])

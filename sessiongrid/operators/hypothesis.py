@@ -19,6 +19,10 @@ from sessiongrid.operators.ordered import Blocks, column, row_index
 from sessiongrid.operators.rank import long_values, value_counts_ranked
 
 
+# Division that gives null where the divisor is 0: a constant feature or an empty class has no test.
+ratio = F.try_divide
+
+
 def class_list(df: DataFrame, label: str) -> list:
     """Classes present, in order."""
     return sorted(r[0] for r in df.select(column(label)).where(column(label).isNotNull()).distinct().collect())
@@ -55,10 +59,11 @@ def welch_t(
     """Welch's t-test of class ``low`` against ``high``: ``feature, t, df, p_value``."""
     two = df.where(column(label).isin(low, high))
     wide = by_class(class_moments(two, features, label), [low, high], ["n", "mean", "var"])
-    a, b = F.col("var_0") / F.col("n_0"), F.col("var_1") / F.col("n_1")
-    freedom = (a + b) * (a + b) / (a * a / (F.col("n_0") - 1) + b * b / (F.col("n_1") - 1))
+    a, b = ratio(F.col("var_0"), F.col("n_0")), ratio(F.col("var_1"), F.col("n_1"))
+    spread = ratio(a * a, F.col("n_0") - 1) + ratio(b * b, F.col("n_1") - 1)
+    freedom = ratio((a + b) * (a + b), spread)
     tested = wide.select(
-        "feature", ((F.col("mean_0") - F.col("mean_1")) / F.sqrt(a + b)).alias("t"), freedom.alias("df")
+        "feature", ratio(F.col("mean_0") - F.col("mean_1"), F.sqrt(a + b)).alias("t"), freedom.alias("df")
     )
     return tested.withColumn("p_value", tails.on_results(tails.t_two_sided, F.col("t"), F.col("df"))) if p_value else tested
 
@@ -92,11 +97,11 @@ def kruskal_h(sums: DataFrame, classes: int, p_value: bool = True) -> DataFrame:
     """Tie-corrected Kruskal-Wallis H from :func:`rank_sums`."""
     n = F.col("n").cast("double")
     squares = sum(
-        (F.col(f"r_{i}") * F.col(f"r_{i}") / F.col(f"n_{i}") for i in range(1, classes)),
-        F.col("r_0") * F.col("r_0") / F.col("n_0"),
+        (ratio(F.col(f"r_{i}") * F.col(f"r_{i}"), F.col(f"n_{i}")) for i in range(1, classes)),
+        ratio(F.col("r_0") * F.col("r_0"), F.col("n_0")),
     )
     raw = squares * 12 / (n * (n + 1)) - (n + 1) * 3
-    share = F.lit(1.0) - F.col("ties") / (n * n * n - n)
+    share = F.lit(1.0) - ratio(F.col("ties"), n * n * n - n)
     tested = sums.withColumn("h", F.when(share > 0, raw / share))
     if not p_value:
         return tested
@@ -106,15 +111,15 @@ def kruskal_h(sums: DataFrame, classes: int, p_value: bool = True) -> DataFrame:
 def dunn(sums: DataFrame, classes: Sequence, p_value: bool = True) -> DataFrame:
     """Dunn's z per pair of classes from :func:`rank_sums`, p with Bonferroni over pairs, at most 1."""
     n = F.col("n").cast("double")
-    spread = n * (n + 1) / 12 - F.col("ties") / ((n - 1) * 12)
+    spread = n * (n + 1) / 12 - ratio(F.col("ties"), (n - 1) * 12)
     pairs = list(combinations(range(len(classes)), 2))
     rows = []
     for a, b in pairs:
-        difference = F.col(f"r_{a}") / F.col(f"n_{a}") - F.col(f"r_{b}") / F.col(f"n_{b}")
-        error = F.sqrt(spread * (F.lit(1.0) / F.col(f"n_{a}") + F.lit(1.0) / F.col(f"n_{b}")))
+        difference = ratio(F.col(f"r_{a}"), F.col(f"n_{a}")) - ratio(F.col(f"r_{b}"), F.col(f"n_{b}"))
+        error = F.sqrt(spread * (ratio(F.lit(1.0), F.col(f"n_{a}")) + ratio(F.lit(1.0), F.col(f"n_{b}"))))
         rows.append(
             F.struct(
-                F.lit(classes[a]).alias("class_a"), F.lit(classes[b]).alias("class_b"), (difference / error).alias("z")
+                F.lit(classes[a]).alias("class_a"), F.lit(classes[b]).alias("class_b"), ratio(difference, error).alias("z")
             )
         )
     tested = sums.select("feature", F.inline(F.array(*rows)))
@@ -148,8 +153,8 @@ def anova_f(moments: DataFrame, classes: Sequence, p_value: bool = True) -> Data
         used.join(grand, "feature")
         .groupBy("feature")
         .agg((F.sum(n) - k).alias("df_within"), within.alias("_within"), between.alias("_between"))
-        .withColumn("ms_within", F.col("_within") / F.col("df_within"))
-        .withColumn("f", F.col("_between") / (k - 1) / F.col("ms_within"))
+        .withColumn("ms_within", ratio(F.col("_within"), F.col("df_within")))
+        .withColumn("f", ratio(F.col("_between"), F.col("ms_within") * (k - 1)))
         .select("feature", "f", F.lit(k - 1).alias("df_between"), "df_within", "ms_within")
     )
     if not p_value:
@@ -165,11 +170,11 @@ def tukey_hsd(moments: DataFrame, anova: DataFrame, classes: Sequence, p_value:
     rows = []
     for a, b in combinations(range(len(classes)), 2):
         difference = F.col(f"mean_{b}") - F.col(f"mean_{a}")
-        error = F.sqrt(F.col("ms_within") / 2 * (F.lit(1.0) / F.col(f"n_{a}") + F.lit(1.0) / F.col(f"n_{b}")))
+        error = F.sqrt(F.col("ms_within") / 2 * (ratio(F.lit(1.0), F.col(f"n_{a}")) + ratio(F.lit(1.0), F.col(f"n_{b}"))))
         rows.append(
             F.struct(
                 F.lit(classes[a]).alias("class_a"), F.lit(classes[b]).alias("class_b"),
-                difference.alias("mean_diff"), (F.abs(difference) / error).alias("q"),
+                difference.alias("mean_diff"), ratio(F.abs(difference), error).alias("q"),
             )
         )
     tested = wide.select("feature", "df_within", F.inline(F.array(*rows)))
@@ -233,7 +238,7 @@ def shapiro_wilk(
     df: DataFrame, features: Sequence[str], label: str | None = None, blocks: Blocks | None = None,
     p_value: bool = True,
 ) -> DataFrame:
-    """Shapiro-Wilk W over all rows, per feature (and class), for groups of 12 rows or more.
+    """Shapiro-Wilk W over all rows, per feature (and class), for groups of 3 rows or more.
 
     The weight of a value is a function of its rank and the group size alone, so W needs one
     blocked rank and two aggregates and no sample. The p-value is Royston's approximation,
@@ -246,10 +251,11 @@ def shapiro_wilk(
     sizes = long.groupBy(*map(column, keys)).agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"), F.var_pop("value").alias("_var")
     )
-    joined = ranked.join(sizes, keys).where(F.col("n") >= 12)
+    joined = ranked.join(sizes, keys).where(F.col("n") >= 3)
     i, n = F.col("_i") + 1, F.col("n").cast("double")
     m = normal_quantile((i - 0.375) / (n + 0.25))
-    outer, second = (i == 1) | (i == F.col("n")), (i == 2) | (i == F.col("n") - 1)
+    outer = (i == 1) | (i == n)
+    second = (n > 5) & ((i == 2) | (i == n - 1))
     inner = ~(outer | second)
     centred = F.col("value") - F.col("_mean")
     sums = joined.groupBy(*map(column, keys)).agg(
@@ -264,11 +270,14 @@ def shapiro_wilk(
         F.max(F.when(second, m)).alias("_m2"),
     )
     u = F.lit(1.0) / F.sqrt(F.col("n").cast("double"))
-    first = F.col("_m1") / F.sqrt(F.col("_mm")) + _polynomial(OUTER_WEIGHT, u)
-    next_ = F.col("_m2") / F.sqrt(F.col("_mm")) + _polynomial(SECOND_WEIGHT, u)
-    scale = F.sqrt(F.col("_inner_mm") / (F.lit(1.0) - (first * first + next_ * next_) * 2))
-    top = F.col("_inner") / scale + first * F.col("_outer") + next_ * F.col("_second")
-    w = F.when(F.col("_var") > 0, top * top / (F.col("_var") * F.col("n")))
+    first = F.when(F.col("n") == 3, F.sqrt(F.lit(0.5))).otherwise(
+        F.col("_m1") / F.sqrt(F.col("_mm")) + _polynomial(OUTER_WEIGHT, u)
+    )
+    next_ = F.when(F.col("n") > 5, F.col("_m2") / F.sqrt(F.col("_mm")) + _polynomial(SECOND_WEIGHT, u)).otherwise(0.0)
+    scale = F.sqrt(ratio(F.col("_inner_mm"), F.lit(1.0) - (first * first + next_ * next_) * 2))
+    middle = F.when(F.col("n") > 3, ratio(F.col("_inner"), scale)).otherwise(0.0)
+    top = middle + first * F.col("_outer") + next_ * F.col("_second")
+    w = ratio(top * top, F.col("_var") * F.col("n"))
     tested = sums.select(*map(column, keys), "n", w.alias("w"))
     if p_value:
         tested = tested.withColumn("p_value", tails.on_results(tails.shapiro_upper, F.col("w"), F.col("n")))

@@ -19,7 +19,7 @@ def ranked_drops(
     ranked = row_index(turned, [], ["_fall", tiebreak], "rank", blocks)
 
     def change(window) -> dict[str, Column]:
-        return {"importance_drop": F.abs(column(importance) / F.lead(column(importance)).over(window) - 1)}
+        return {"importance_drop": F.abs(F.try_divide(column(importance), F.lead(column(importance)).over(window)) - 1)}
 
     return over_neighbours(
         ranked, [], ["_fall", tiebreak], 0, 1, change, blocks, index="rank"

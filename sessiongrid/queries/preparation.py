@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessiongrid.operators import sampling, scaling, splits
+from sessiongrid.operators import smote as synthetic
 from sessiongrid.queries.base import MEASURES, SESSIONS_SQL, load, query, sessions
 
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -139,3 +140,10 @@ def pca_k(spark, sf_dir):
 def pca_centred(spark, sf_dir):
     """Components of the centred, unscaled features beyond 95 % of the variance."""
     return scaling.reduce_components(embedded(spark, sf_dir), EMBEDDED, 0.95, scale=False)
+
+
+@query()
+def smote(spark, sf_dir):
+    """Vectors of three uneven classes, the smaller ones filled with synthetic rows."""
+    kind = F.when(F.col("label") < 5, 0).when(F.col("label") < 8, 1).otherwise(2)
+    return synthetic.smote(embedded(spark, sf_dir).withColumn("kind", kind), EMBEDDED, "kind", ["vec_id"])

@@ -31,7 +31,7 @@ def parse_captions(documents: DataFrame, content: str = "content", keep: Sequenc
             F.col("_place").alias("seq"),
             clock_seconds(F.regexp_extract("_cue", CUE_TIMES, 1)).alias("start_time"),
             clock_seconds(F.regexp_extract("_cue", CUE_TIMES, 2)).alias("end_time"),
-            after_last_colon(F.rtrim(said)).alias("text"),
+            after_last_colon(F.regexp_replace(said, r"\s+$", "")).alias("text"),
         )
     )
 
