@@ -108,6 +108,10 @@ def consecutive_intervals(
     return here.join(after, [*keys, "k"])
 
 
+WIDE_LEVEL = 12
+WIDE_COPIES = 256
+
+
 def _aligned_spans(low: Column, high: Column) -> Column:
     """Cover the whole numbers low..high by few spans of 2^level numbers aligned at 2^level."""
     levels = F.sequence(F.lit(0), F.ceil(F.log2((high - low + 2).cast("double"))).cast("int"))
@@ -148,27 +152,32 @@ def winning_steps(
     key_columns = [column(k) for k in keys]
     usable = intervals.where(column(start) <= column(end))
     bounds = usable.select(*key_columns, F.explode(F.array(column(start), column(end))).alias("_time")).distinct()
-    places = row_index(bounds, keys, ["_time"], "_place", blocks)
+    places = row_index(bounds, keys, ["_time"], "_place", blocks, total="_size")
+    spots_of = places.drop("_size")
 
     spots = (
         usable.select(*key_columns, column(start).alias("_s"), column(end).alias("_e"), column(priority).alias("_p"))
-        .join(places.withColumnsRenamed({"_time": "_s", "_place": "_low"}), [*keys, "_s"])
-        .join(places.withColumnsRenamed({"_time": "_e", "_place": "_high"}), [*keys, "_e"])
+        .join(spots_of.withColumnsRenamed({"_time": "_s", "_place": "_low"}), [*keys, "_s"])
+        .join(spots_of.withColumnsRenamed({"_time": "_e", "_place": "_high"}), [*keys, "_e"])
     )
     spans = (
         spots.select(*key_columns, "_p", F.inline(_aligned_spans(F.col("_low") * 2, F.col("_high") * 2)))
         .groupBy(*key_columns, "level", "span")
         .agg(best("_p").alias("_p"))
     )
-    highest = F.ceil(F.log2(F.count(F.lit(1)).cast("double") * 2 + 2)).cast("int")
-    depth = places.groupBy(*key_columns).agg(highest.alias("_depth"))
-    pieces = places.join(depth, list(keys)).select(
-        *key_columns, "_time", "_place", "_depth", F.explode(F.array(F.lit(0), F.lit(1))).alias("_open")
+    # a wide span is asked for by many pieces: its few rows are copied so that no key stays hot
+    copies = F.sequence(F.lit(0), F.when(F.col("level") >= WIDE_LEVEL, WIDE_COPIES - 1).otherwise(0))
+    spread = spans.withColumn("_copy", F.explode(copies))
+    depth = F.ceil(F.log2(F.col("_size").cast("double") * 2 + 2)).cast("int")
+    pieces = places.select(
+        *key_columns, "_time", "_place", depth.alias("_depth"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_open")
     )
+    copy = F.when(F.col("level") >= WIDE_LEVEL, F.col("_place") % WIDE_COPIES).otherwise(0).cast("int")
     looked = (
         pieces.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_depth"))))
         .withColumn("span", F.floor((F.col("_place") * 2 + F.col("_open")) / F.pow(F.lit(2.0), F.col("level"))))
-        .join(spans, [*keys, "level", "span"], "left")
+        .withColumn("_copy", copy)
+        .join(spread, [*keys, "level", "span", "_copy"], "left")
         .groupBy(*key_columns, "_time", "_open")
         .agg(best("_p").alias("_p"))
     )

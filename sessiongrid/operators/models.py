@@ -28,6 +28,17 @@ def with_vector(df: DataFrame, features: Sequence[str], name: str = "_features")
     return assembler.transform(df.withColumns(renamed)).drop(*renamed)
 
 
+def _fit_kept(estimator, train: DataFrame, features: Sequence[str], label: str, partitions: int | None) -> Model:
+    """Fit on vectors kept for the time of the fit, which passes over them many times."""
+    rows = train.select(*map(column, features), column(label))
+    vectors = with_vector(rows.repartition(partitions) if partitions else rows, features).select("_features", column(label))
+    vectors.persist()
+    try:
+        return estimator.fit(vectors)
+    finally:
+        vectors.unpersist()
+
+
 def forest(trees: int = 100, depth: int = 10, seed: int = 42, partitions: int | None = None) -> Fit:
     """A random forest. ``partitions`` spreads the train rows evenly before the many passes over them."""
 
@@ -35,13 +46,14 @@ def forest(trees: int = 100, depth: int = 10, seed: int = 42, partitions: int |
         model = RandomForestClassifier(
             featuresCol="_features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed
         )
-        rows = train.select(*map(column, features), column(label))
-        return model.fit(with_vector(rows.repartition(partitions) if partitions else rows, features))
+        return _fit_kept(model, train, features, label, partitions)
 
     return fit
 
 
-def layers(classes: int, hidden: Sequence[int] = (64, 128, 64), rounds: int = 100, seed: int = 42) -> Fit:
+def layers(
+    classes: int, hidden: Sequence[int] = (64, 128, 64), rounds: int = 100, seed: int = 42, partitions: int | None = None
+) -> Fit:
     """Dense layers between the features and the classes."""
 
     def fit(train: DataFrame, features: Sequence[str], label: str) -> Model:
@@ -49,7 +61,7 @@ def layers(classes: int, hidden: Sequence[int] = (64, 128, 64), rounds: int = 10
         model = MultilayerPerceptronClassifier(
             featuresCol="_features", labelCol=label, layers=sizes, maxIter=rounds, seed=seed
         )
-        return model.fit(with_vector(train, features))
+        return _fit_kept(model, train, features, label, partitions)
 
     return fit
 
@@ -99,7 +111,9 @@ def grid_search(
         estimator=model, estimatorParamMaps=grid, numFolds=folds, foldCol=fold, parallelism=parallelism,
         evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName=metric),
     )
-    found = search.fit(with_vector(df, features))
+    vectors = with_vector(df, features).select("_features", column(label), column(fold)).persist()
+    found = search.fit(vectors)
+    vectors.unpersist()
     rows = [
         (g[model.numTrees], g[model.maxDepth], g[model.minInstancesPerNode], float(m))
         for g, m in zip(grid, found.avgMetrics)
@@ -178,12 +192,12 @@ def majority_predictions(split: DataFrame, label: str, fold: str = "fold") -> Da
     return split.where(F.col("split") == "test").join(F.broadcast(chosen), fold)
 
 
-def config_grid(spark: SparkSession, axes: Mapping[str, Sequence[Any]], keep: str | None = None) -> DataFrame:
-    """All combinations of the axes that satisfy ``keep``, a row each, numbered in hash order.
+def config_grid(base: DataFrame, axes: Mapping[str, Sequence[Any]], keep: str | None = None) -> DataFrame:
+    """All combinations of the axes that satisfy ``keep``, for every row of ``base``.
 
-    Axes unfold one after the other from a single row; only the axis values are given data.
+    Axes unfold one after the other in place, without a join.
     """
-    grid = spark.range(1).select()
+    grid = base
     for name, values in axes.items():
         grid = grid.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
     return grid if keep is None else grid.where(keep)

@@ -124,20 +124,30 @@ def row_index(
     order: Sequence[str],
     name: str = "idx",
     blocks: Blocks | HashBlocks | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """Zero-based position of each row within ``keys`` by ``order`` (make ``order`` unique)."""
+    """Zero-based position of each row within ``keys`` by ``order`` (make ``order`` unique).
+
+    ``total`` adds the number of rows of the group, which saves a join by group.
+    """
     if blocks is None:
         blocks = plan_blocks(df, order[0])
     by = [column(o) for o in order]
     if blocks.single:
-        position = F.row_number().over(W.partitionBy(*map(column, keys)).orderBy(*by))
-        return df.withColumn(name, position.cast("long") - 1)
+        group = W.partitionBy(*map(column, keys))
+        added = {name: F.row_number().over(group.orderBy(*by)).cast("long") - 1}
+        if total:
+            whole = group.orderBy(*by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+            added[total] = F.count(F.lit(1)).over(whole)
+        return df.withColumns(added)
     cut = df.withColumn("_block", blocks.number(by[0]))
-    earlier = W.partitionBy(*map(column, keys)).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    in_order = W.partitionBy(*map(column, keys)).orderBy("_block")
+    base = F.coalesce(F.sum("_size").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base")
+    every = F.sum("_size").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     sizes = (
         cut.groupBy(*map(column, keys), "_block")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select(*map(column, keys), "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base"))
+        .select(*map(column, keys), "_block", base, *([every.alias(total)] if total else []))
     )
     local = F.row_number().over(W.partitionBy(*map(column, keys), F.col("_block")).orderBy(*by))
     return (

@@ -47,12 +47,8 @@ def first_share(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], share: float, blocks: Blocks | None = None
 ) -> DataFrame:
     """The first ``floor(share · n)`` rows of each group."""
-    ranked = row_index(df, keys, order, "_pos", blocks)
-    if keys:
-        sizes = df.groupBy(*map(column, keys)).agg(F.count(F.lit(1)).alias("_n"))
-        ranked = ranked.join(sizes, list(keys))
-        return ranked.where(F.col("_pos") < F.floor(F.col("_n") * share)).drop("_pos", "_n")
-    return ranked.where(F.col("_pos") < int(df.count() * share)).drop("_pos")
+    ranked = row_index(df, keys, order, "_pos", blocks, total="_n")
+    return ranked.where(F.col("_pos") < F.floor(F.col("_n") * share)).drop("_pos", "_n")
 
 
 def long_values(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -85,13 +85,11 @@ def within_entity_split(
 
     Rows keep their time order, so windows cut later are real windows.
     """
-    placed = row_index(df, [entity], order, "_pos", blocks)
-    sizes = df.groupBy(column(entity)).agg(F.count(F.lit(1)).alias("_n"))
+    placed = row_index(df, [entity], order, "_pos", blocks, total="_n")
     train = F.floor(F.col("_n") * F.lit(train_share))
     val = F.floor(train * F.lit(0.2))
     return (
-        placed.join(sizes, entity)
-        .withColumn("split", _named(F.col("_pos") < train, F.col("_pos") < train + val))
+        placed.withColumn("split", _named(F.col("_pos") < train, F.col("_pos") < train + val))
         .drop("_pos", "_n")
     )
 

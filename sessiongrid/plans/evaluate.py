@@ -15,6 +15,7 @@ from sessiongrid.operators.ordered import column
 from sessiongrid.operators.scaling import Components, Standardizer
 from sessiongrid.operators.splits import apply_folds
 from sessiongrid.operators.windows import tolerant_predictions
+from sessiongrid.session import settle
 
 
 def evaluate(
@@ -51,9 +52,10 @@ def cross_validate(
 ) -> DataFrame:
     """Rows ``config_id, fold, split, metric, value`` for the val and test rows of every fold.
 
-    ``balance(train)`` may resample the train rows. Every fit reads ``df`` several times, so
-    persist it if it is costly to make. The predictions of all folds are evaluated together.
+    ``balance(train)`` may resample the train rows. Every fit reads its rows several times, so the
+    table is written once before. The predictions of all folds are evaluated together.
     """
+    df = settle(df)
     results = []
     for fold in range(count):
         split, names = prepare_fold(apply_folds(df, folds, entity, fold), features, flavour, fit_on)
@@ -62,7 +64,8 @@ def cross_validate(
         held = predict(model, split.where(F.col("split") != "train"), names)
         results.append(held.select("fold", "split", *map(column, [entity, *order, label]), "yhat"))
     predictions = reduce(lambda a, b: a.unionByName(b), results)
-    rows = evaluate(predictions, label, ["fold", "split"], ["fold", "split", entity], order, tolerance)
+    held_out = settle(predictions) if tolerance else predictions
+    rows = evaluate(held_out, label, ["fold", "split"], ["fold", "split", entity], order, tolerance)
     return rows.select(F.lit(config_id).alias("config_id"), "fold", "split", "metric", "value")
 
 

@@ -121,10 +121,10 @@ GRID_SQL = """g AS (SELECT stride, length, flavour, audio, face, pose, source FR
 
 
 def _grid(spark, sf_dir):
-    """Settings per data source: the sources are read from the table."""
-    sources = [r[0] for r in load(spark, sf_dir, "documents").select("source").distinct().collect()]
+    """Settings for every data source of a table."""
+    sources = load(spark, sf_dir, "documents").select("source").distinct()
     keep = f"stride <= length AND ({models.any_flag(['audio', 'face', 'pose'])})"
-    return models.config_grid(spark, {**AXES, "source": sorted(sources)}, keep)
+    return models.config_grid(sources, AXES, keep)
 
 
 @query(f"""WITH {GRID_SQL} SELECT * FROM g""")
@@ -155,7 +155,7 @@ def _scores(predictions):
 @query()
 def random_forest_cv(spark, sf_dir):
     """Cross-validated forest on session rows: five rotating folds by user, tolerance of one row."""
-    rows = calls(spark, sf_dir).drop("yhat").withColumn("hour", F.floor(F.col("t") / 3600) % 24).persist()
+    rows = calls(spark, sf_dir).drop("yhat").withColumn("hour", F.floor(F.col("t") / 3600) % 24)
     folds = splits.rotating_folds(rows, "user_id")
     found = evaluate.cross_validate(
         rows, folds, "user_id", ["us", "event_id"], ["value", "k", "hour"], "y",

@@ -24,10 +24,10 @@ def keypoint_columns(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id::VARCHAR AS participant, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS seq,
+SELECT conv_id::VARCHAR AS participant, turn // 4 AS part, (row_number() OVER (PARTITION BY conv_id, turn // 4 ORDER BY turn))::INTEGER AS seq,
        turn * 60.5::DOUBLE AS start_time, turn * 60.5::DOUBLE + 1 AS end_time, role AS text FROM conversations""")
 def caption_cues(spark, sf_dir):
-    """Caption texts made of conversation turns, a cue each, parsed back to timed rows."""
+    """Caption texts made of four conversation turns each, a cue per turn, parsed back to timed rows."""
     seconds = lambda c: F.concat(
         F.lit("00:"), F.lpad(F.floor(c / 60).cast("string"), 2, "0"), F.lit(":"),
         F.lpad(F.format_number(c - F.floor(c / 60) * 60, 3), 6, "0"),
@@ -36,11 +36,14 @@ def caption_cues(spark, sf_dir):
     cue = F.concat(seconds(start), F.lit(" --> "), seconds(start + 1), F.lit("\nSPEAKER 01:"), F.col("role"))
     documents = (
         load(spark, sf_dir, "conversations")
-        .select(F.col("conv_id").cast("string").alias("participant"), F.struct("turn", cue.alias("cue")).alias("c"))
-        .groupBy("participant")
+        .select(
+            F.col("conv_id").cast("string").alias("participant"), F.floor(F.col("turn") / 4).alias("part"),
+            F.struct("turn", cue.alias("cue")).alias("c"),
+        )
+        .groupBy("participant", "part")
         .agg(F.concat_ws("\n\n", F.lit("WEBVTT"), F.sort_array(F.collect_list("c"))["cue"]).alias("content"))
     )
-    return captions.parse_captions(documents)
+    return captions.parse_captions(documents, keep=["participant", "part"])
 
 
 @query("""

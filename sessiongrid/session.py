@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,19 +24,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **settings
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written files.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a private folder only where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    folder = tempfile.mkdtemp(prefix="sessiongrid-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
-    The folder is the cluster's ``spark.checkpoint.dir``. A private one is set only in a local
-    master where the setting is missing, as in tests.
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the files.
+
+    For tables that later steps read many times: the work before is done once, survives lost
+    executors, and readers still prune columns and count rows from file footers.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-            shared = tempfile.mkdtemp(prefix="sessiongrid-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/sessiongrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -143,7 +143,7 @@ def test_fusions_and_tables(spark, points):
 
 
 def test_grid(spark):
-    grid = models.config_grid(spark, {"stride": [1, 15], "length": [1, 15], **models.modality_flags(["a", "b"])},
+    grid = models.config_grid(spark.range(1).select(), {"stride": [1, 15], "length": [1, 15], **models.modality_flags(["a", "b"])},
                               f"stride <= length AND ({models.any_flag(['a', 'b'])})")
     assert grid.count() == 3 * 3
     assert models.shuffled_configs(grid, ["stride", "length", "a", "b"], 1, 4).count() == 4
