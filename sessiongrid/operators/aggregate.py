@@ -113,7 +113,7 @@ def box_stats(
     df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5, blocks: Blocks | None = None
 ) -> DataFrame:
     """Quartiles and whiskers (furthest values within ``reach`` times the quartile range)."""
-    ranked = value_counts_ranked(df.where(column(value).isNotNull()), keys, value, (), blocks)
+    ranked = value_counts_ranked(df.where(column(value).isNotNull()), keys, value, (), blocks, total="_n")
     quartiles = exact_quantiles(df, keys, value, (0.25, 0.5, 0.75), blocks, ranked).select(
         *map(column, keys), *[F.get("quantiles", i).alias(name) for i, name in enumerate(("q1", "median", "q3"))]
     )

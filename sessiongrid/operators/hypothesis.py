@@ -108,20 +108,22 @@ def kruskal_h(sums: DataFrame, classes: int, p_value: bool = True) -> DataFrame:
     return tested.withColumn("p_value", tails.on_results(tails.chi2_upper, F.col("h"), F.lit(classes - 1)))
 
 
-def dunn(sums: DataFrame, classes: Sequence, p_value: bool = True) -> DataFrame:
-    """Dunn's z per pair of classes from :func:`rank_sums`, p with Bonferroni over pairs, at most 1."""
+def _dunn_pairs(classes: Sequence) -> list[tuple[object, object, Column]]:
+    """Every pair of classes with its z, from a row of :func:`rank_sums`."""
     n = F.col("n").cast("double")
     spread = n * (n + 1) / 12 - ratio(F.col("ties"), (n - 1) * 12)
-    pairs = list(combinations(range(len(classes)), 2))
-    rows = []
-    for a, b in pairs:
+    pairs = []
+    for a, b in combinations(range(len(classes)), 2):
         difference = ratio(F.col(f"r_{a}"), F.col(f"n_{a}")) - ratio(F.col(f"r_{b}"), F.col(f"n_{b}"))
         error = F.sqrt(spread * (ratio(F.lit(1.0), F.col(f"n_{a}")) + ratio(F.lit(1.0), F.col(f"n_{b}"))))
-        rows.append(
-            F.struct(
-                F.lit(classes[a]).alias("class_a"), F.lit(classes[b]).alias("class_b"), ratio(difference, error).alias("z")
-            )
-        )
+        pairs.append((classes[a], classes[b], ratio(difference, error)))
+    return pairs
+
+
+def dunn(sums: DataFrame, classes: Sequence, p_value: bool = True) -> DataFrame:
+    """Dunn's z per pair of classes from :func:`rank_sums`, p with Bonferroni over pairs, at most 1."""
+    pairs = _dunn_pairs(classes)
+    rows = [F.struct(F.lit(a).alias("class_a"), F.lit(b).alias("class_b"), z.alias("z")) for a, b, z in pairs]
     tested = sums.select("feature", F.inline(F.array(*rows)))
     if not p_value:
         return tested
@@ -129,55 +131,77 @@ def dunn(sums: DataFrame, classes: Sequence, p_value: bool = True) -> DataFrame:
     return tested.withColumn("p_value", F.least(p * len(pairs), F.lit(1.0)))
 
 
-def starred_table(kruskal: DataFrame, pairs: DataFrame, classes: Sequence, tests: int, alpha: float = 0.05) -> DataFrame:
-    """Significant features with corrected p (3 decimals) and stars for each pair of classes."""
-    chosen = significant(kruskal, tests, alpha).withColumn("p_value", F.round("p_value", 3))
-    marks = [
-        F.max(F.when((F.col("class_a") == F.lit(a)) & (F.col("class_b") == F.lit(b)), stars(F.col("p_value")))).alias(
-            f"dunn_{a}_{b}"
-        )
-        for a, b in combinations(classes, 2)
-    ]
-    return chosen.join(pairs.groupBy("feature").agg(*marks), "feature")
+def starred_table(sums: DataFrame, classes: Sequence, tests: int, alpha: float = 0.05) -> DataFrame:
+    """Significant features of :func:`rank_sums` with corrected p and stars per pair of classes.
+
+    All in the one row per feature: ``feature, p_value`` (3 decimals), ``dunn_<a>_<b>``.
+    """
+    corrected = bonferroni(F.col("p_value"), tests)
+    chosen = kruskal_h(sums, len(classes)).where(corrected < alpha)
+    pairs = _dunn_pairs(classes)
+    marks = {
+        f"dunn_{a}_{b}": stars(F.least(tails.on_results(tails.normal_two_sided, z) * len(pairs), F.lit(1.0)))
+        for a, b, z in pairs
+    }
+    return chosen.select("feature", F.round(corrected, 3).alias("p_value"), *[m.alias(name) for name, m in marks.items()])
+
 
+def class_table(moments: DataFrame, classes: Sequence) -> DataFrame:
+    """One row per feature: n, mean and variance of each class, and the one-way ANOVA of them.
 
-def anova_f(moments: DataFrame, classes: Sequence, p_value: bool = True) -> DataFrame:
-    """One-way ANOVA from :func:`class_moments`: ``f``, degrees of freedom, mean square within."""
+    Returns ``f, df_between, df_within, ms_within`` beside ``n_<i>, mean_<i>, var_<i>``.
+    """
+    places = range(len(classes))
     k = len(classes)
-    used = moments.where(F.col("class").isin(*classes) & (F.col("n") > 0))
-    n, mean = F.col("n"), F.col("mean")
-    grand = used.groupBy("feature").agg((F.sum(n * mean) / F.sum(n)).alias("_grand"))
-    within = F.sum((n - 1) * F.coalesce(F.col("var"), F.lit(0.0)))
-    between = F.sum(n * (mean - F.col("_grand")) * (mean - F.col("_grand")))
-    table = (
-        used.join(grand, "feature")
-        .groupBy("feature")
-        .agg((F.sum(n) - k).alias("df_within"), within.alias("_within"), between.alias("_between"))
-        .withColumn("ms_within", ratio(F.col("_within"), F.col("df_within")))
-        .withColumn("f", ratio(F.col("_between"), F.col("ms_within") * (k - 1)))
-        .select("feature", "f", F.lit(k - 1).alias("df_between"), "df_within", "ms_within")
-    )
-    if not p_value:
-        return table
-    return table.withColumn(
-        "p_value", tails.on_results(tails.f_upper, F.col("f"), F.col("df_between"), F.col("df_within"))
+    n = [F.coalesce(F.col(f"n_{i}"), F.lit(0)) for i in places]
+    weighted = [F.coalesce(n[i] * F.col(f"mean_{i}"), F.lit(0.0)) for i in places]
+    total, grand = _sum(n), ratio(_sum(weighted), _sum(n))
+    away = [F.col(f"mean_{i}") - grand for i in places]
+    between = _sum([F.coalesce(n[i] * away[i] * away[i], F.lit(0.0)) for i in places])
+    within = _sum([F.coalesce((n[i] - 1) * F.col(f"var_{i}"), F.lit(0.0)) for i in places])
+    return (
+        by_class(moments, classes, ["n", "mean", "var"])
+        .withColumn("df_between", F.lit(k - 1))
+        .withColumn("df_within", total - k)
+        .withColumn("ms_within", ratio(within, F.col("df_within")))
+        .withColumn("f", ratio(between, F.col("ms_within") * (k - 1)))
     )
 
 
-def tukey_hsd(moments: DataFrame, anova: DataFrame, classes: Sequence, p_value: bool = True) -> DataFrame:
-    """Tukey-Kramer per pair of classes: mean difference, q, p."""
-    wide = by_class(moments, classes, ["n", "mean"]).join(anova, "feature")
+def _sum(parts: Sequence[Column]) -> Column:
+    return sum(parts[1:], parts[0])
+
+
+def _anova_p() -> Column:
+    return tails.on_results(tails.f_upper, F.col("f"), F.col("df_between"), F.col("df_within"))
+
+
+def anova_f(table: DataFrame, p_value: bool = True) -> DataFrame:
+    """One-way ANOVA per feature from :func:`class_table`."""
+    tested = table.select("feature", "f", "df_between", "df_within", "ms_within")
+    return tested.withColumn("p_value", _anova_p()) if p_value else tested
+
+
+def tukey_hsd(table: DataFrame, classes: Sequence, p_value: bool = True, alpha: float | None = None, tests: int = 1) -> DataFrame:
+    """Tukey-Kramer per pair of classes from :func:`class_table`: mean difference, q, p.
+
+    ``alpha`` keeps the features whose ANOVA is significant after correction for ``tests``.
+    """
+    if alpha is not None:
+        table = table.withColumn("_p", _anova_p()).where(bonferroni(F.col("_p"), tests) < alpha)
     rows = []
     for a, b in combinations(range(len(classes)), 2):
         difference = F.col(f"mean_{b}") - F.col(f"mean_{a}")
-        error = F.sqrt(F.col("ms_within") / 2 * (ratio(F.lit(1.0), F.col(f"n_{a}")) + ratio(F.lit(1.0), F.col(f"n_{b}"))))
+        error = F.sqrt(
+            F.col("ms_within") / 2 * (ratio(F.lit(1.0), F.col(f"n_{a}")) + ratio(F.lit(1.0), F.col(f"n_{b}")))
+        )
         rows.append(
             F.struct(
                 F.lit(classes[a]).alias("class_a"), F.lit(classes[b]).alias("class_b"),
                 difference.alias("mean_diff"), ratio(F.abs(difference), error).alias("q"),
             )
         )
-    tested = wide.select("feature", "df_within", F.inline(F.array(*rows)))
+    tested = table.select("feature", "df_within", F.inline(F.array(*rows)))
     if p_value:
         k = F.lit(len(classes))
         p = tails.on_results(tails.studentized_range_upper, F.col("q"), k, F.col("df_within"))
@@ -241,31 +265,25 @@ def shapiro_wilk(
     """Shapiro-Wilk W over all rows, per feature (and class), for groups of 3 rows or more.
 
     The weight of a value is a function of its rank and the group size alone, so W needs one
-    blocked rank and two aggregates and no sample. The p-value is Royston's approximation,
-    calibrated up to 5000 rows.
+    blocked rank and one aggregate and no sample. The weights of a group add up to 0, so values
+    need no centring. The p-value is Royston's approximation, calibrated up to 5000 rows.
     """
     keep = [label] if label else []
     keys = [*keep, "feature"]
-    long = long_values(df, features, keep)
-    ranked = row_index(long, keys, ["value"], "_i", blocks)
-    sizes = long.groupBy(*map(column, keys)).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"), F.var_pop("value").alias("_var")
-    )
-    joined = ranked.join(sizes, keys).where(F.col("n") >= 3)
-    i, n = F.col("_i") + 1, F.col("n").cast("double")
+    ranked = row_index(long_values(df, features, keep), keys, ["value"], "_i", blocks, total="n").where("n >= 3")
+    i, n, x = F.col("_i") + 1, F.col("n").cast("double"), F.col("value")
     m = normal_quantile((i - 0.375) / (n + 0.25))
     outer = (i == 1) | (i == n)
     second = (n > 5) & ((i == 2) | (i == n - 1))
     inner = ~(outer | second)
-    centred = F.col("value") - F.col("_mean")
-    sums = joined.groupBy(*map(column, keys)).agg(
-        F.first("n").alias("n"),
-        F.first("_var").alias("_var"),
+    sums = ranked.groupBy(*map(column, keys)).agg(
+        F.max("n").alias("n"),
+        F.var_pop("value").alias("_var"),
         F.sum(m * m).alias("_mm"),
         F.sum(F.when(inner, m * m).otherwise(0.0)).alias("_inner_mm"),
-        F.sum(F.when(inner, m * centred).otherwise(0.0)).alias("_inner"),
-        F.sum(F.when(outer, F.signum(m) * centred).otherwise(0.0)).alias("_outer"),
-        F.sum(F.when(second, F.signum(m) * centred).otherwise(0.0)).alias("_second"),
+        F.sum(F.when(inner, m * x).otherwise(0.0)).alias("_inner"),
+        F.sum(F.when(outer, F.signum(m) * x).otherwise(0.0)).alias("_outer"),
+        F.sum(F.when(second, F.signum(m) * x).otherwise(0.0)).alias("_second"),
         F.max(m).alias("_m1"),
         F.max(F.when(second, m)).alias("_m2"),
     )

@@ -59,10 +59,13 @@ def long_values(df: DataFrame, features: Sequence[str], keep: Sequence[str]) ->
 
 
 def value_counts_ranked(
-    df: DataFrame, keys: Sequence[str], value: str, counts: Sequence[Column] = (), blocks: Blocks | None = None
+    df: DataFrame, keys: Sequence[str], value: str, counts: Sequence[Column] = (), blocks: Blocks | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """One row per (keys, value): ``ties`` equal values, ``before`` smaller ones, ``midrank``.
 
+    ``total`` adds the number of rows of the group.
+
     Equal values collapse in a partial aggregate first, so the ordered pass sees distinct values.
     """
     if blocks is None:
@@ -71,18 +74,20 @@ def value_counts_ranked(
     same = df.withColumn(value, column(value) + F.lit(0.0)).withColumn("_block", blocks.number(column(value)))
     key_columns = [column(k) for k in keys]
     distinct = same.groupBy(*key_columns, "_block", column(value)).agg(F.count(F.lit(1)).alias("ties"), *counts)
-    upto = F.sum("ties").over(
-        W.partitionBy(*key_columns, F.col("_block")).orderBy(column(value)).rowsBetween(W.unboundedPreceding, 0)
-    )
+    inside = W.partitionBy(*key_columns, F.col("_block")).orderBy(column(value))
+    upto = F.sum("ties").over(inside.rowsBetween(W.unboundedPreceding, 0))
     if blocks.single:
-        ranked = distinct.withColumn("before", upto - F.col("ties"))
+        every = F.sum("ties").over(inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        ranked = distinct.withColumns({"before": upto - F.col("ties"), **({total: every} if total else {})})
     else:
         # rows in earlier blocks come straight from the input, so the distinct values are made once
-        earlier = W.partitionBy(*key_columns).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+        in_order = W.partitionBy(*key_columns).orderBy("_block")
+        base = F.coalesce(F.sum("_size").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base")
+        every = F.sum("_size").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
         sizes = (
             same.groupBy(*key_columns, "_block")
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .select(*key_columns, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+            .agg(F.count(F.lit(1)).alias("_size"))
+            .select(*key_columns, "_block", base, *([every.alias(total)] if total else []))
         )
         ranked = join_per_block(distinct, sizes, keys).withColumn("before", upto - F.col("ties") + F.col("_base"))
     return ranked.withColumn("midrank", F.col("before") + (F.col("ties") + 1) / 2).drop("_block", "_base")
@@ -99,12 +104,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """Quantiles with linear interpolation, as one array per group, without gathering a group.
 
-    The two neighbours of each quantile are found among the ranked distinct values.
+    The two neighbours of each quantile are found among the ranked distinct values (``ranked``,
+    if made already, with its total ``_n``).
     """
     if ranked is None:
-        ranked = value_counts_ranked(df.where(column(value).isNotNull()), keys, value, (), blocks)
-    sizes = ranked.groupBy(*map(column, keys)).agg(F.sum("ties").alias("_n"))
-    joined = ranked.join(sizes, list(keys)) if keys else _with_single(ranked, sizes, "_n")
+        ranked = value_counts_ranked(df.where(column(value).isNotNull()), keys, value, (), blocks, total="_n")
     holds = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("ties"))
     picks, results = [], []
     for i, share in enumerate(shares):
@@ -116,11 +120,7 @@ def exact_quantiles(
         part = at - F.floor(at)
         results.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part)
     return (
-        joined.groupBy(*map(column, keys))
+        ranked.groupBy(*map(column, keys))
         .agg(*picks, F.max("_n").alias("_n"))
         .select(*map(column, keys), F.array(*results).alias("quantiles"))
     )
-
-
-def _with_single(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, F.lit(one_row.first()[name]))

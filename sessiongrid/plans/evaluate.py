@@ -53,9 +53,9 @@ def cross_validate(
     """Rows ``config_id, fold, split, metric, value`` for the val and test rows of every fold.
 
     ``balance(train)`` may resample the train rows. Every fit reads its rows several times, so the
-    table is written once before. The predictions of all folds are evaluated together.
+    table and the folds are written once before. The predictions of all folds are evaluated together.
     """
-    df = settle(df)
+    df, folds = settle(df), settle(folds)
     results = []
     for fold in range(count):
         split, names = prepare_fold(apply_folds(df, folds, entity, fold), features, flavour, fit_on)

@@ -24,16 +24,14 @@ def kruskal_table(
     names = [f for f in features if not f.endswith("_c")]
     classes = h.class_list(kept, label)
     sums = h.rank_sums(kept, names, label, classes)
-    return h.starred_table(h.kruskal_h(sums, len(classes)), h.dunn(sums, classes), classes, len(names), alpha)
+    return h.starred_table(sums, classes, len(names), alpha)
 
 
 def anova_tukey(df: DataFrame, features: Sequence[str], label: str = "multiclass_label", alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """ANOVA per feature, and Tukey's pairs for the features significant after Bonferroni."""
     classes = h.class_list(df, label)
-    moments = h.class_moments(df, features, label)
-    anova = h.anova_f(moments, classes)
-    chosen = h.significant(anova, len(features), alpha).select("feature")
-    return anova, h.tukey_hsd(moments, anova, classes).join(chosen, "feature", "left_semi")
+    table = h.class_table(h.class_moments(df, features, label), classes)
+    return h.anova_f(table), h.tukey_hsd(table, classes, alpha=alpha, tests=len(features))
 
 
 def significant_set(df: DataFrame, results: DataFrame) -> DataFrame:

@@ -24,6 +24,10 @@ def lines(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", *MEASURES)
 
 
+def _table(spark, sf_dir):
+    return h.class_table(h.class_moments(lines(spark, sf_dir), MEASURES, "l_returnflag"), FLAGS)
+
+
 def rounded(table, **places):
     return table.withColumns({name: F.round(name, digits) for name, digits in places.items()})
 
@@ -111,25 +115,24 @@ an AS (SELECT mo.feature, sum(mo.n * (m - g) * (m - g)) / 2 AS msb, sum((mo.n -
 
 @query(f"""WITH {ANOVA_SQL} SELECT feature, round(msb / msw, 6) AS f, dfw::BIGINT AS df_within FROM an""")
 def anova_f(spark, sf_dir):
-    moments = h.class_moments(lines(spark, sf_dir), MEASURES, "l_returnflag")
-    return rounded(h.anova_f(moments, FLAGS, p_value=False).select("feature", "f", "df_within"), f=6)
+    return rounded(h.anova_f(_table(spark, sf_dir), p_value=False).select("feature", "f", "df_within"), f=6)
 
 
 @query(f"""WITH {ANOVA_SQL}
 SELECT a.feature, a.flag AS class_a, b.flag AS class_b, round(abs(b.m - a.m) / sqrt(msw / 2 * (1 / a.n + 1 / b.n)), 6) AS q
 FROM mo a JOIN mo b ON a.feature = b.feature AND a.flag < b.flag JOIN an ON an.feature = a.feature""")
 def tukey_q(spark, sf_dir):
-    moments = h.class_moments(lines(spark, sf_dir), MEASURES, "l_returnflag")
-    anova = h.anova_f(moments, FLAGS, p_value=False)
-    return rounded(h.tukey_hsd(moments, anova, FLAGS, p_value=False).drop("mean_diff"), q=6)
+    return rounded(h.tukey_hsd(_table(spark, sf_dir), FLAGS, p_value=False).drop("mean_diff"), q=6)
+
+
+@query()
+def anova_p(spark, sf_dir):
+    return h.anova_f(_table(spark, sf_dir))
 
 
 @query()
-def anova_tukey_p(spark, sf_dir):
-    moments = h.class_moments(lines(spark, sf_dir), MEASURES, "l_returnflag")
-    anova = h.anova_f(moments, FLAGS)
-    pairs = h.tukey_hsd(moments, anova, FLAGS)
-    return pairs.join(anova.select("feature", F.col("p_value").alias("anova_p")), "feature")
+def tukey_p(spark, sf_dir):
+    return h.tukey_hsd(_table(spark, sf_dir), FLAGS)
 
 
 @query()

@@ -94,9 +94,8 @@ def test_kruskal_and_dunn(table, blocks):
 
 
 def test_anova_and_tukey(table):
-    moments = h.class_moments(table, ["a", "b", "flat"], "y")
-    anova = h.anova_f(moments, [0, 1, 2])
-    got = {r.feature: r for r in anova.collect()}
+    classes = h.class_table(h.class_moments(table, ["a", "b", "flat"], "y"), [0, 1, 2])
+    got = {r.feature: r for r in h.anova_f(classes).collect()}
     for f in ("a", "b"):
         g = groups(table, f)
         every = np.concatenate(list(g.values()))
@@ -104,7 +103,7 @@ def test_anova_and_tukey(table):
         between = sum(len(x) * (x.mean() - every.mean()) ** 2 for x in g.values()) / 2
         assert got[f].f == pytest.approx(between / within)
         assert got[f].p_value == pytest.approx(tails.f_upper(between / within, 2, len(every) - 3))
-    pairs = h.tukey_hsd(moments, anova, [0, 1, 2]).where("feature = 'a'").collect()
+    pairs = h.tukey_hsd(classes, [0, 1, 2]).where("feature = 'a'").collect()
     assert len(pairs) == 3 and all(0 <= r.p_value <= 1 for r in pairs)
     assert got["flat"].f is None
 
@@ -112,10 +111,9 @@ def test_anova_and_tukey(table):
 def test_two_class_tests_agree(table):
     """F of two classes is the square of the pooled t, so Tukey and ANOVA give one p-value."""
     two = table.where("y < 2")
-    moments = h.class_moments(two, ["a"], "y")
-    anova = h.anova_f(moments, [0, 1])
-    p = anova.first().p_value
-    assert h.tukey_hsd(moments, anova, [0, 1]).first().p_value == pytest.approx(p, rel=1e-3)
+    classes = h.class_table(h.class_moments(two, ["a"], "y"), [0, 1])
+    p = h.anova_f(classes).first().p_value
+    assert h.tukey_hsd(classes, [0, 1]).first().p_value == pytest.approx(p, rel=1e-3)
 
 
 # Published example: fuel economy of 32 cars, W = 0.94756, p = 0.1229.
@@ -141,6 +139,12 @@ def test_normal_quantile(spark):
         assert r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-6, abs=1e-6)
 
 
+def test_anova_then_tukey(table):
+    anova, pairs = significance.anova_tukey(table, ["a", "b", "flat"], "y")
+    chosen = {r.feature for r in anova.collect() if r.p_value is not None and r.p_value * 3 < 0.05}
+    assert chosen and {r.feature for r in pairs.collect()} == chosen
+
+
 def test_starred_table(table):
     found = significance.kruskal_table(table, ["a", "b", "flat"], "y", drop=(9,)).collect()
     assert found and {"dunn_0_1", "dunn_0_2", "dunn_1_2"} <= set(found[0].asDict())
