@@ -108,14 +108,31 @@ def hash_blocks_for(rows: int, rows_per_block: int = ROWS_PER_BLOCK) -> HashBloc
     return HashBlocks(0 if wanted <= 1 else min(4, math.ceil(math.log(wanted, 16))))
 
 
-def join_per_block(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach one summary row per (keys, block); null keys match null keys."""
-    names = [*keys, "_block"]
-    renamed = summary.withColumnsRenamed({name: f"_of_{name}" for name in names})
-    on = F.lit(True)
-    for name in names:
-        on = on & column(name).eqNullSafe(column(f"_of_{name}"))
-    return df.join(renamed, on, "left").drop(*[f"_of_{name}" for name in names])
+def add_carry(df: DataFrame, carried: DataFrame) -> DataFrame:
+    """Put each block's carried values in front of its rows, as a row of their own.
+
+    A window over (keys, block) in the order of :func:`carry_first` then starts from them. So
+    there is no join, one shuffle serves carry and window, and null keys need no care.
+    """
+    return df.withColumn("_carry", F.lit(False)).unionByName(
+        carried.withColumn("_carry", F.lit(True)), allowMissingColumns=True
+    )
+
+
+def carry_first() -> Column:
+    return F.col("_carry").desc()
+
+
+def block_sizes(cut: DataFrame, keys: Sequence[str], base: str, total: str | None = None) -> DataFrame:
+    """Rows of the group in earlier blocks, and in all blocks, per (keys, block)."""
+    in_order = W.partitionBy(*map(column, keys)).orderBy("_block")
+    before = F.coalesce(F.sum("_size").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    every = F.sum("_size").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return (
+        cut.groupBy(*map(column, keys), "_block")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .select(*map(column, keys), "_block", before.alias(base), *([every.alias(total)] if total else []))
+    )
 
 
 def row_index(
@@ -141,20 +158,13 @@ def row_index(
             added[total] = F.count(F.lit(1)).over(whole)
         return df.withColumns(added)
     cut = df.withColumn("_block", blocks.number(by[0]))
-    in_order = W.partitionBy(*map(column, keys)).orderBy("_block")
-    base = F.coalesce(F.sum("_size").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base")
-    every = F.sum("_size").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    sizes = (
-        cut.groupBy(*map(column, keys), "_block")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select(*map(column, keys), "_block", base, *([every.alias(total)] if total else []))
-    )
-    local = F.row_number().over(W.partitionBy(*map(column, keys), F.col("_block")).orderBy(*by))
-    return (
-        join_per_block(cut, sizes, keys)
-        .withColumn(name, local.cast("long") - 1 + F.col("_base"))
-        .drop("_block", "_base")
-    )
+    both = add_carry(cut.withColumn("_one", F.lit(1).cast("long")), block_sizes(cut, keys, "_one", total))
+    window = W.partitionBy(*map(column, keys), F.col("_block")).orderBy(carry_first(), *by)
+    so_far = window.rowsBetween(W.unboundedPreceding, 0)
+    added = {name: F.sum("_one").over(so_far) - 1}
+    if total:
+        added[total] = F.first(total).over(so_far)
+    return both.withColumns(added).where(~F.col("_carry")).drop("_block", "_one", "_carry")
 
 
 def running(
@@ -187,7 +197,6 @@ def running(
         return df.withColumn(name, fold(value).over(window))
 
     cut = df.withColumn("_block", blocks.number(column(order[0]))).withColumn("_value", value)
-    inside = W.partitionBy(*key_columns, F.col("_block")).orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
     if how == "last":
         position = F.when(F.col("_value").isNotNull(), F.struct(*[column(o) for o in order]))
         pick = F.min_by if reverse else F.max_by
@@ -199,19 +208,13 @@ def running(
     carried = (
         cut.groupBy(*key_columns, "_block")
         .agg(summary.alias("_value"))
-        .select(*key_columns, "_block", fold(F.col("_value")).over(earlier).alias("_carry"))
+        .select(*key_columns, "_block", fold(F.col("_value")).over(earlier).alias("_value"))
+        .where(F.col("_value").isNotNull())
     )
-    joined = join_per_block(cut, carried, keys).withColumn("_local", fold(F.col("_value")).over(inside))
-    local, carry = F.col("_local"), F.col("_carry")
-    combined = {
-        "last": F.coalesce(local, carry),
-        "max": F.greatest(local, carry),
-        "min": F.least(local, carry),
-        "sum": F.when(local.isNull() & carry.isNull(), None).otherwise(
-            F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
-        ),
-    }[how]
-    return joined.withColumn(name, combined).drop("_block", "_value", "_local", "_carry")
+    inside = W.partitionBy(*key_columns, F.col("_block")).orderBy(carry_first(), *by)
+    folded = fold(F.col("_value")).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    walked = add_carry(cut, carried).withColumn("_folded", folded).where(~F.col("_carry"))
+    return walked.withColumn(name, F.col("_folded")).drop("_block", "_value", "_carry", "_folded")
 
 
 def over_neighbours(

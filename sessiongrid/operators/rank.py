@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessiongrid.operators.ordered import Blocks, column, join_per_block, over_neighbours, plan_blocks, row_index
+from sessiongrid.operators.ordered import (
+    Blocks, add_carry, block_sizes, carry_first, column, over_neighbours, plan_blocks, row_index,
+)
 
 
 def ranked_drops(
@@ -74,23 +76,20 @@ def value_counts_ranked(
     same = df.withColumn(value, column(value) + F.lit(0.0)).withColumn("_block", blocks.number(column(value)))
     key_columns = [column(k) for k in keys]
     distinct = same.groupBy(*key_columns, "_block", column(value)).agg(F.count(F.lit(1)).alias("ties"), *counts)
-    inside = W.partitionBy(*key_columns, F.col("_block")).orderBy(column(value))
-    upto = F.sum("ties").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    within = W.partitionBy(*key_columns, F.col("_block"))
     if blocks.single:
+        inside, both = within.orderBy(column(value)), distinct
         every = F.sum("ties").over(inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-        ranked = distinct.withColumns({"before": upto - F.col("ties"), **({total: every} if total else {})})
     else:
         # rows in earlier blocks come straight from the input, so the distinct values are made once
-        in_order = W.partitionBy(*key_columns).orderBy("_block")
-        base = F.coalesce(F.sum("_size").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base")
-        every = F.sum("_size").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-        sizes = (
-            same.groupBy(*key_columns, "_block")
-            .agg(F.count(F.lit(1)).alias("_size"))
-            .select(*key_columns, "_block", base, *([every.alias(total)] if total else []))
-        )
-        ranked = join_per_block(distinct, sizes, keys).withColumn("before", upto - F.col("ties") + F.col("_base"))
-    return ranked.withColumn("midrank", F.col("before") + (F.col("ties") + 1) / 2).drop("_block", "_base")
+        both = add_carry(distinct, block_sizes(same, keys, "ties", total))
+        inside = within.orderBy(carry_first(), column(value))
+        every = F.first(total).over(inside.rowsBetween(W.unboundedPreceding, 0)) if total else None
+    upto = F.sum("ties").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    ranked = both.withColumns({"before": upto - F.col("ties"), **({total: every} if total else {})})
+    if not blocks.single:
+        ranked = ranked.where(~F.col("_carry"))
+    return ranked.withColumn("midrank", F.col("before") + (F.col("ties") + 1) / 2).drop("_block", "_carry")
 
 
 def midranks(df: DataFrame, keys: Sequence[str], value: str, blocks: Blocks | None = None) -> DataFrame:
