@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from sessiongrid.catalog import keep_features
+from sessiongrid.catalog import NON_FEATURES, keep_features
 from sessiongrid.operators import hypothesis as h
 from sessiongrid.operators.clean import exclude_classes
 from sessiongrid.operators.rank import cut_at_drop, ranked_drops
@@ -34,11 +34,13 @@ def anova_tukey(df: DataFrame, features: Sequence[str], label: str = "multiclass
     return h.anova_f(table), h.tukey_hsd(table, classes, alpha=alpha, tests=len(features))
 
 
-def significant_set(df: DataFrame, results: DataFrame) -> DataFrame:
+def significant_set(df: DataFrame, results: DataFrame, non_features: Sequence[str] = NON_FEATURES) -> DataFrame:
     """The frame table cut to the features of a result table, whose length is that of the schema."""
-    return keep_features(df, [r["feature"] for r in results.select("feature").collect()])
+    return keep_features(df, [r["feature"] for r in results.select("feature").collect()], non_features)
 
 
-def important_set(df: DataFrame, importances: DataFrame, threshold: float = 0.4) -> DataFrame:
+def important_set(
+    df: DataFrame, importances: DataFrame, threshold: float = 0.4, non_features: Sequence[str] = NON_FEATURES
+) -> DataFrame:
     """The frame table cut to the features ranked before the first big drop in importance."""
-    return significant_set(df, cut_at_drop(ranked_drops(importances), threshold))
+    return significant_set(df, cut_at_drop(ranked_drops(importances), threshold), non_features)

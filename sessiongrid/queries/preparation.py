@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sessiongrid import catalog
 from sessiongrid.operators import sampling, scaling, splits
 from sessiongrid.operators import smote as synthetic
+from sessiongrid.plans import significance
 from sessiongrid.queries.base import MEASURES, SESSIONS_SQL, load, query, sessions
 
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -22,6 +24,25 @@ def standardize(spark, sf_dir):
     return scaled.withColumns({m: F.round(m, 6) for m in MEASURES})
 
 
+@query(f"""SELECT l_orderkey, l_linenumber, {_scaled_sql("l_quantity")}, {_scaled_sql("l_tax")} FROM lineitem""")
+def modality_norm(spark, sf_dir):
+    """Two feature groups, standardised, with the keys once."""
+    groups = {"pose": ["l_quantity"], "audio": ["l_tax"], "facial": ["l_discount"]}
+    lines = load(spark, sf_dir, "lineitem").select(*KEYS, *MEASURES)
+    chosen = catalog.select_modalities(lines, "pose_audio", None, groups, KEYS)
+    scaled = scaling.prepared(chosen, catalog.feature_names(chosen, KEYS), "norm")
+    return scaled.withColumns({m: F.round(m, 6) for m in ("l_quantity", "l_tax")})
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem""")
+def important_features(spark, sf_dir):
+    """The table cut to the features ranked before the first big drop; here by spread."""
+    lines = load(spark, sf_dir, "lineitem").select(*KEYS, *MEASURES)
+    spread = [F.struct(F.lit(m).alias("feature"), F.log10(F.stddev_pop(m) + 1).alias("importance")) for m in MEASURES]
+    importances = lines.agg(F.array(*spread).alias("_s")).select(F.inline("_s"))
+    return significance.important_set(lines, importances, 4.0, KEYS)
+
+
 USERS_SQL = """us AS (SELECT user_id, row_number() OVER (ORDER BY md5(user_id || '|42'), user_id) - 1 AS p,
   count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events)),
 rf AS (SELECT user_id, n, fold::INTEGER AS fold, (((p - fold * ceil(0.2::DOUBLE * n)) % n) + n) % n AS q FROM us, range(5) AS f(fold)),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessiongrid import catalog
 from sessiongrid.functions import clock, text, vectors
 from sessiongrid.operators import align, clean, rank, sampling
 from sessiongrid.operators.annotations import label_rows
 from sessiongrid.queries.base import SESSIONS_SQL, load, query, sessions
+from sessiongrid.session import new_path
 from sessiongrid.sources import captions, keypoints, metric_files, store, tables as table_source
 
 JOINTS = tuple(f"j{i}" for i in range(21))
@@ -88,6 +90,45 @@ def vector_lookup(spark, sf_dir):
     return align.left_align(wanted, vectors_, ["doc_id"])
 
 
+@query("""SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer""")
+def csv_files(spark, sf_dir):
+    """A table written as CSV files and read back by name with declared types."""
+    path = new_path(spark)
+    store.write_frames(load(spark, sf_dir, "customer"), path, file_format="csv")
+    types = {"c_custkey": T.LongType(), "c_name": T.StringType(), "c_acctbal": T.DoubleType(), "c_mktsegment": T.StringType()}
+    return table_source.read_table(spark, path, table_source.declared(**types))
+
+
+@query("""SELECT s_nationkey AS nation, count(*)::BIGINT AS n FROM supplier GROUP BY s_nationkey""")
+def entity_folders(spark, sf_dir):
+    """A table written in a folder per entity and read back with the entity."""
+    path = new_path(spark)
+    suppliers = load(spark, sf_dir, "supplier").withColumn("nation", F.col("s_nationkey"))
+    store.write_frames(suppliers, path, ["nation"])
+    return spark.read.parquet(path).groupBy("nation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT l_linenumber AS fold, l_returnflag AS metric, min(l_extendedprice) AS value FROM lineitem GROUP BY l_linenumber, l_returnflag""")
+def metric_folders(spark, sf_dir):
+    """Metrics written as text lines in a folder per fold, then read and parsed."""
+    path = new_path(spark)
+    lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("fold"), F.col("l_returnflag").alias("metric"))
+    metric_files.write_metric_files(lines.agg(F.min("l_extendedprice").alias("value")), path)
+    read = metric_files.read_metric_files(spark, path)
+    fold = F.regexp_extract("file", "fold=([0-9]+)", 1).cast("int").alias("fold")
+    return read.select(fold, "metric", "value")
+
+
+@query("""SELECT l.doc_id, e.embedding[2]::DOUBLE AS f_1 FROM labels l LEFT JOIN embeddings e ON e.vec_id = l.doc_id""")
+def vector_store(spark, sf_dir):
+    """Vectors written to a store and fetched for wanted keys."""
+    path = new_path(spark)
+    vectors_ = load(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    store.write_vectors(vectors_, path, ["doc_id"], "embedding")
+    found = store.read_vectors(spark, path, load(spark, sf_dir, "labels").select("doc_id"), ["doc_id"])
+    return found.select("doc_id", F.get("embedding", 1).cast("double").alias("f_1"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_quantity, l_tax FROM lineitem""")
 def keep_listed(spark, sf_dir):
     return catalog.keep_features(load(spark, sf_dir, "lineitem"), [" l_tax", "l_quantity", "absent"], ["l_orderkey", "l_linenumber"])

@@ -36,12 +36,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/sessiongrid-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
     For tables that later steps read many times: the work before is done once, survives lost
     executors, and readers still prune columns and count rows from file footers.
     """
-    path = f"{shared_folder(df.sparkSession)}/sessiongrid-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
