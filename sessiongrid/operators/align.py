@@ -53,6 +53,20 @@ def keep_entities(df: DataFrame, entities: DataFrame, keys: Sequence[str]) -> Da
     return df.join(entities.select(*[column(k) for k in keys]), list(keys), "left_semi")
 
 
+def join_entities(df: DataFrame, per_entity: DataFrame, keys: Sequence[str], salts: int = 1) -> DataFrame:
+    """Attach a table with few rows per entity to the rows of a big one.
+
+    Adaptive execution broadcasts a small table and splits skewed partitions. With ``salts`` the
+    rows of an entity are spread over that many keys from the start and the small table is copied.
+    """
+    if salts == 1:
+        return df.join(per_entity, list(keys))
+    rest = [column(c) for c in df.columns if c not in keys]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    copies = per_entity.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def dense_entity_number(df: DataFrame, entity: str, order: Sequence[str], name: str = "entity_no") -> DataFrame:
     """Attach 0, 1, 2… to entities in order of first appearance by ``order``."""
     first = df.groupBy(column(entity)).agg(F.min(F.struct(*[column(o) for o in order])).alias("_first"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessiongrid.operators.align import join_entities
 from sessiongrid.operators.ordered import HashBlocks, column, hash_blocks_for, hash_order, plan_hash_blocks, row_index
 
 
@@ -23,14 +24,14 @@ def hash_ranked(
 
 def undersample_to_smallest(
     df: DataFrame, label: str, ids: Sequence[str], keys: Sequence[str] = (), seed: int | str = 42,
-    blocks: HashBlocks | None = None,
+    blocks: HashBlocks | None = None, salts: int = 1,
 ) -> DataFrame:
     """Each class cut to the size of the smallest one, per entity if ``keys`` are given."""
     ranked = hash_ranked(df, [*keys, label], ids, seed, "_pos", blocks)
     sizes = df.groupBy(*map(column, keys), column(label)).agg(F.count(F.lit(1)).alias("_n"))
     smallest = sizes.groupBy(*map(column, keys)).agg(F.min("_n").alias("_least"))
     if keys:
-        limited = ranked.join(smallest, list(keys))
+        limited = join_entities(ranked, smallest, keys, salts)
     else:
         limited = ranked.withColumn("_least", F.lit(smallest.first()["_least"]))
     return limited.where(F.col("_pos") < F.col("_least")).drop("_pos", "_least")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessiongrid.operators.align import join_entities
 from sessiongrid.operators.ordered import Blocks, HashBlocks, column, hash_order, row_index
 from sessiongrid.operators.sampling import hash_ranked
 
@@ -94,10 +95,12 @@ def within_entity_split(
     )
 
 
-def apply_folds(df: DataFrame, folds: DataFrame, entity: str, fold: int | None = None) -> DataFrame:
-    """Rows with their ``split``, for one fold or for all of them."""
+def apply_folds(
+    df: DataFrame, folds: DataFrame, entity: str, fold: int | None = None, salts: int = 1
+) -> DataFrame:
+    """Rows with their ``split``, for one fold or for all of them; ``salts`` as in ``join_entities``."""
     chosen = folds if fold is None else folds.where(F.col("fold") == fold)
-    return df.join(chosen, entity)
+    return join_entities(df, chosen, [entity], salts)
 
 
 def require_filled(split: DataFrame) -> DataFrame:

@@ -52,6 +52,9 @@ def test_other_splits(spark):
     within = splits.within_entity_split(df, "e", ["i"], 0.6).where("e = 3").orderBy("i").collect()
     assert [r.split for r in within] == ["train"] * 12 + ["val"] * 2 + ["test"] * 6
     assert set(r.fold for r in splits.row_folds(df, ["i"]).collect()) == set(range(5))
+    folds = splits.rotating_folds(df, "e")
+    plain, salted = splits.apply_folds(df, folds, "e", 1), splits.apply_folds(df, folds, "e", 1, salts=7)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.select(plain.columns).collect()))
     with pytest.raises(ValueError):
         splits.require_filled(splits.apply_folds(df, splits.block_folds(df, "e"), "e", 4))
 
