@@ -48,8 +48,8 @@ RESPONSES = [
 STARTS = {2: 9.728605977460557, 4: 8.533750148760332, 5: 6.449416033057852}
 # Speaker turns of one session and the gaps picked from them.
 TURNS = [
-    ("participant", 9.650, 10.848), ("nodbot", 9.920, 12.097), ("participant", 12.434, 13.953), ("nodbot", 16.349, 18.576),
-    ("participant", 19.977, 22.323), ("nodbot", 22.964, 25.175), ("nodbot", 29.630, 34.254), ("participant", 34.928, 36.059),
+    ("participant", 9.650, 10.848), ("robot", 9.920, 12.097), ("participant", 12.434, 13.953), ("robot", 16.349, 18.576),
+    ("participant", 19.977, 22.323), ("robot", 22.964, 25.175), ("robot", 29.630, 34.254), ("participant", 34.928, 36.059),
 ]
 GAPS = "[0.33699999999999974, 1.4009999999999998, 0.6739999999999995]"
 # Label counts and percentages of five sessions.

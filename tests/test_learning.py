@@ -164,7 +164,7 @@ def test_raw_tables_to_labelled_frames(spark):
         [(p, f"0 days 00:00:00.{i * 20:03d}", f"0 days 00:00:00.{i * 20 + 20:03d}", "2.0" if i else "") for p in ("p1", "p2") for i in range(45)],
         "participant string, start string, end string, Loudness_sma3 string",
     )
-    turns = spark.createDataFrame([("p1", "participant", 0.0, 0.5), ("p2", "nodbot", 0.0, 9.0)], "participant string, speaker string, start double, end double")
+    turns = spark.createDataFrame([("p1", "participant", 0.0, 0.5), ("p2", "robot", 0.0, 9.0)], "participant string, speaker string, start double, end double")
     errors = spark.createDataFrame([("p1", [5, 10, 20]), ("p2", [])], "participant string, errors array<int>")
     sound = frames.audio_frames(audio, turns)
     made = frames.merge_modalities(frames.pose_frames(pose), face, sound, gaze, errors)

@@ -15,12 +15,12 @@ def rows_of(df, *order):
 
 
 def test_entity_files_with_spaced_names(spark, tmp_path):
-    (tmp_path / "p2nodbot_audio.csv").write_text("speaker, start,end,duration\nparticipant,09.650,10.848,1.198\nnodbot,x,12.0,\n")
-    (tmp_path / "p4nodbot_audio.csv").write_text("speaker, start,end,duration\nparticipant,1,2,1\n")
+    (tmp_path / "p2_audio.csv").write_text("speaker, start,end,duration\nparticipant,09.650,10.848,1.198\nrobot,x,12.0,\n")
+    (tmp_path / "p4_audio.csv").write_text("speaker, start,end,duration\nparticipant,1,2,1\n")
     read = tables.read_entity_files(spark, str(tmp_path), tables.TURNS)
     assert rows_of(read, "participant", "end") == [
-        ("p2nodbot", "participant", 9.65, 10.848, 1.198), ("p2nodbot", "nodbot", None, 12.0, None),
-        ("p4nodbot", "participant", 1.0, 2.0, 1.0),
+        ("p2", "participant", 9.65, 10.848, 1.198), ("p2", "robot", None, 12.0, None),
+        ("p4", "participant", 1.0, 2.0, 1.0),
     ]
 
 
@@ -106,11 +106,11 @@ def test_clock_texts(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("a/b\\p7nodbot.wav_x.csv", 8), ("p2_cam0123_k.json", 9)], "p string, n int")
+    df = spark.createDataFrame([("a/b\\p7.wav_x.csv", 8), ("p2_cam0123_k.json", 9)], "p string, n int")
     got = df.select(
         text.file_stem(F.col("p")).alias("stem"), text.frame_of_name(F.col("p")).alias("frame"), text.pair_session_id(F.col("n")).alias("s")
     ).collect()
-    assert [tuple(r) for r in got] == [("p7nodbot.wav_x", None, "89_0"), ("p2_cam0123_k", 123, "89_1")]
+    assert [tuple(r) for r in got] == [("p7.wav_x", None, "89_0"), ("p2_cam0123_k", 123, "89_1")]
 
 
 def test_label_lists(spark):
