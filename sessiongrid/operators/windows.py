@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessiongrid.functions.vectors import to_columns
 from sessiongrid.operators.ordered import Blocks, column, over_neighbours, row_index
 
 
@@ -85,6 +86,12 @@ def strided_windows(
     )
 
 
+def flat_windows(windows: DataFrame, length: int, features: int, x: str = "x", prefix: str = "f_") -> DataFrame:
+    """Window arrays laid out row by row as columns ``f_0…``, for models on flat vectors."""
+    rest = [column(c) for c in windows.columns if c != x]
+    return windows.select(*rest, *to_columns(F.flatten(column(x)), length * features, prefix))
+
+
 def window_summaries(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], length: int, features: Sequence[str],
     label: str, blocks: Blocks | None = None, **options,

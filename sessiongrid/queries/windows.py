@@ -35,6 +35,16 @@ def sliding_seq(spark, sf_dir):
     return made.select("user_id", *ORDER, "event_type", _window_text(F.col("x")).alias("window"))
 
 
+@query(f"""
+WITH {FRAMES_SQL}, w AS (SELECT user_id, us, event_id, event_type, frame, lag(value, 2) OVER w AS f_0, lag(k, 2) OVER w AS f_1,
+  lag(value) OVER w AS f_2, lag(k) OVER w AS f_3, value AS f_4, k AS f_5 FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY frame))
+SELECT * EXCLUDE (frame) FROM w WHERE frame >= 2""")
+def flat_windows(spark, sf_dir):
+    """Windows of three rows as flat feature columns."""
+    made = windows.sliding_sequences(sessions(spark, sf_dir), ["user_id"], ORDER, 3, ["value", "k"], "event_type")
+    return windows.flat_windows(made, 3, 2)
+
+
 @query(f"""
 WITH {FRAMES_SQL}, kept AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY frame) - 1 AS p FROM fr WHERE k >= 10),
 w AS (SELECT user_id, event_id, event_type, frame, count(*) OVER w AS n, first_value(frame) OVER w AS f0
