@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sessiongrid.llm import language, quality, toxicity
+from sessiongrid.llm import embeddings, language, mixing, quality, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +28,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query(mixing.mix_sql())
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -34,6 +45,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out(toxicity.score(docs, model, keep=["doc_id"])).select("doc_id", "held_out", "score", "predicted")
 
 
+@query(sharding.assign_sql())
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "shard", "depth", "n_bytes", "shard_bytes")
+
+
 @query()
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,6 +58,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out(quality.score(docs, model, keep=["doc_id"])).select("doc_id", "held_out", "score", "predicted", "n_passages")
 
 
+@query()
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 @query()
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")

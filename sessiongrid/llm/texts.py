@@ -92,8 +92,9 @@ def class_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, r
     """Labelled documents to learn from, about ``bound`` / 2 a class, and the number of label rows of each class.
 
     Rows whose crc32(id as text) mod ``modulus`` is ``remainder`` are never used. The rows of a class are those
-    with the least hash shares; labels other than 0 and 1, null labels and ids without a document are left out.
-    The chosen ids are at most about ``bound`` rows, so the join with the documents broadcasts them.
+    with the least hash shares; labels other than 0 and 1, null labels and ids without a document are left out,
+    and of rows with one id the least text is taken. The chosen ids are at most 2 * ``bound`` rows, so the join
+    with the documents broadcasts them.
     """
     known = labels.select(F.col(doc_id), F.col(label).cast("int").alias("__label")).where(
         F.col("__label").isin(0, 1) & F.col(doc_id).isNotNull() & (crc_bucket(F.col(doc_id), modulus) != remainder)
@@ -103,4 +104,4 @@ def class_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, r
     for value, n in counts.items():
         share = F.when(F.col("__label") == value, F.lit(bound / 2 / n)).otherwise(share)
     chosen = known.where(hash_share(F.col(doc_id)) < share).limit(2 * bound)
-    return docs.select(doc_id, "text").join(F.broadcast(chosen), doc_id).limit(4 * bound), counts
+    return docs.select(doc_id, "text").join(F.broadcast(chosen), doc_id).groupBy(doc_id, "__label").agg(F.min("text").alias("text")), counts

@@ -49,10 +49,9 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> dict:
     return {"buckets": pa.array([part.astype(np.uint32).tobytes() for part in np.split(code & (1 << BITS) - 1, cuts)], pa.binary())}
 
 
-def log_count_ratios(row: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, weight: np.ndarray, columns: int) -> np.ndarray:
-    """Log ratio of the add-one smoothed shares of each column among toxic and other rows."""
-    counts = [1 + np.bincount(bucket, np.where(toxic == k, weight, 0.0)[row], columns) for k in (1, 0)]
-    return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
+def log_count_ratios(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Log ratio of the add-one smoothed shares of each bucket among toxic and other documents."""
+    return np.log((1 + toxic) / (1 + toxic).sum()) - np.log((1 + other) / (1 + other).sum())
 
 
 def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, target: np.ndarray, weight: np.ndarray, columns: int, penalty: float = 0.02, rounds: int = 150) -> tuple[np.ndarray, float]:
@@ -80,18 +79,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     weight = np.where(target == 1, sizes[1] / target.sum(), sizes[0] / (len(target) - target.sum()))
     each = [np.frombuffer(r["buckets"], np.uint32) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in each])
-    bucket = np.concatenate(each).astype(np.int64)
-    documents = np.bincount(bucket, minlength=1 << BITS)
-    even = np.where(target == 1, 1 / target.sum(), 1 / (len(target) - target.sum())) * len(target) / 2
-    ratio = log_count_ratios(row, bucket, target, even, 1 << BITS)
-    strength = np.where(documents >= LEAST_DOCUMENTS, np.abs(ratio), 0)
+    documents = np.zeros((2, 1 << BITS))
+    for kind, found in zip(target.astype(int), each):
+        documents[kind, found] += 1  # distinct within a document
+    scale = len(rows) / 2 / np.array([[len(rows) - target.sum()], [target.sum()]])
+    ratio = log_count_ratios(documents[1] * scale[1], documents[0] * scale[0])
+    strength = np.where(documents.sum(0) >= LEAST_DOCUMENTS, np.abs(ratio), 0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
     chosen = chosen[strength[chosen] > 0]
-    place = np.full(1 << BITS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    used = place[bucket] >= 0
-    row, column = row[used], place[bucket[used]]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
+    columns = [c[c >= 0] for c in (place[found] for found in each)]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns])
+    column = np.concatenate(columns)
     weights, intercept = logistic(row, column, ratio[chosen][column], target, weight, len(chosen))
     return Model(chosen, weights * ratio[chosen], intercept)
 
