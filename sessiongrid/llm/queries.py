@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessiongrid.llm import embeddings, language, mixing, quality, sharding, simhash, toxicity
+from sessiongrid.llm import decontamination, embeddings, language, mixing, quality, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,6 +58,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out(quality.score(docs, model, keep=["doc_id"])).select("doc_id", "held_out", "score", "predicted", "n_passages")
 
 
+@query(decontamination.contaminated_sql())
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "n_windows", "first_word")
+
+
 @query()
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
