@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessiongrid.llm.texts import crc_bucket, hash_share, lower_ascii, map_texts, ngram_buckets, text_of_byte
+from sessiongrid.llm.texts import Shared, crc_bucket, hash_share, lower_ascii, map_texts, ngram_buckets, text_of_byte
 
 BITS = 16
 BOUND = 400
@@ -94,7 +94,7 @@ def mixtures(like: np.ndarray, top: np.ndarray, owner: np.ndarray, firsts: np.nd
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (its proportion), ``languages`` and ``proportions`` of the chosen set."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict:
         m = shared.value

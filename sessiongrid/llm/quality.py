@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessiongrid.llm.texts import class_sample, crc_bucket, map_texts, text_of_byte
+from sessiongrid.llm.texts import Shared, class_sample, crc_bucket, map_texts, text_of_byte
 
 PASSAGE = 512
 BOUND = 3000
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``score`` in [0, 1], ``predicted`` and ``n_passages``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict:
         m = shared.value

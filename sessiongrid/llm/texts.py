@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,6 +18,20 @@ SLICE_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+class Shared:
+    """A broadcast model, with its class by value: workers need not have the package."""
+
+    def __init__(self, spark: SparkSession, model: Any):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+        self.model = None
+
+    @property
+    def value(self) -> Any:
+        if self.model is None:
+            self.model = pickle.loads(self.sent.value)
+        return self.model
+
+
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
