@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessiongrid.llm import decontamination, embeddings, language, lattice, mixing, quality, sharding, simhash, toxicity
+from sessiongrid.llm import decontamination, embeddings, language, lattice, mixing, quality, repeats, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +56,11 @@ def op5_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(load(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.removed(load(spark, sf_dir, "documents")))
+
+
 @query()
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
