@@ -54,8 +54,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         ends = np.cumsum(sizes + 1) - 1
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[i:j], SEED) for i, j in zip((ends - sizes)[: -shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes.
+
+    Eight sums hold eight byte lanes each; a lane of sum j counts the bits j, j + 8, ..., in pieces of 255 hashes.
+    """
+    pieces = np.arange(0, len(hashes), 255)
+    counts = np.empty((8, 8), np.int64)
+    for j in range(8):
+        lanes = np.add.reduceat((hashes >> np.uint64(j)) & np.uint64(0x0101010101010101), pieces)
+        counts[:, j] = lanes.astype("<u8").view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
@@ -93,16 +105,38 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     ).select(a.alias("a"), b.alias("b"))
 
 
+def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, root) for every fingerprint of ``prints``: those joined by links have one root."""
+    distinct = prints.select("fingerprint").distinct()
+    roots = components(links(distinct, radius), "a", "b")
+    return settle(distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint, component_id): a row per document, with the least id reachable over links."""
     prints = settle(fingerprints(docs.select(doc_id, "text"), shingle, keep=[doc_id]))
-    distinct = prints.groupBy("fingerprint").agg(F.min(doc_id).alias("__least"))
-    roots = components(links(distinct.select("fingerprint"), radius), "a", "b")
-    placed = settle(distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "__least", F.coalesce("root", "fingerprint").alias("root")))
-    least = placed.groupBy("root").agg(F.min("__least").alias("component_id"))
+    placed = fingerprint_components(prints, radius)
+    least = prints.groupBy("fingerprint").agg(F.min(doc_id).alias("__least")).join(placed, "fingerprint").groupBy("root").agg(F.min("__least").alias("component_id"))
     component = placed.join(least, "root").select("fingerprint", "component_id")
     return prints.join(component, "fingerprint").select(doc_id, "fingerprint", "component_id")
 
 
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` of each component: the one with the least id, nulls last, and of equal ids the least hash.
+
+    Only ids, hashes and fingerprints are grouped; the texts are joined once with the rows that stay.
+    """
+    key = F.xxhash64(F.col(doc_id), F.col("text"))
+    prints = settle(fingerprints(docs.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), key.alias("key")).alias("__row"), "text"), shingle, keep=["__row"]))
+    rows = prints.groupBy("fingerprint").agg(F.min(F.struct("__row")).alias("first"))
+    placed = fingerprint_components(prints, radius)
+    stays = settle(rows.join(placed, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row.key").alias("__key")))
+    kept = docs.withColumn("__key", key).join(stays, "__key", "left_semi")
+    repeated = prints.groupBy("__row.key").count().where(F.col("count") > 1).select(F.col("key").alias("__key"))
+    if repeated.join(stays, "__key", "left_semi").isEmpty():
+        return kept.drop("__key")
+    return kept.dropDuplicates(["__key"]).drop("__key")
+
+
 def hex_digits(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
