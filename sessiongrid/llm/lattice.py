@@ -118,7 +118,7 @@ class Lattice:
                 break
             for n in range(done, length):
                 shifted = np.zeros(len(data), np.uint64)
-                shifted[: len(data) - n] = code[n:]
+                shifted[: max(0, len(data) - n)] = code[n:]
                 running = running * MULTIPLIER + shifted
             done = length
             at = np.flatnonzero(seen[_slot(running)] & (room >= length))

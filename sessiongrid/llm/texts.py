@@ -98,7 +98,7 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...]
     running = np.zeros(len(data), np.uint32)
     for n in range(1, max(orders) + 1):
         shifted = np.zeros(len(data), np.uint32)
-        shifted[: len(data) - n + 1] = code[n - 1 :]
+        shifted[: max(0, len(data) - n + 1)] = code[n - 1 :]
         running = running * np.uint32(0x01000193) + shifted
         if n in orders:
             mixed = (running ^ (running >> np.uint32(15))) * np.uint32(0x9E3779B1) + np.uint32(n)

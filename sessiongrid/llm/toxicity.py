@@ -3,7 +3,7 @@
 Fitting takes a bounded sample of labelled documents (``bound``, about half of each class, weighted back to
 the classes' real sizes); scoring reads every whole text. A feature is the presence of a byte n-gram, hashed
 to 2^BITS buckets; its value is the log ratio of its smoothed shares in toxic and other documents, and a
-logistic regression with an L2 term weighs the scaled features.
+logistic regression with an L2 term weighs the FEATURES scaled features whose shares differ most surely.
 
 Defined results: a null text scores as an empty one; without labels of both classes every score is the share
 of toxic labels (0 where there are none); repeated rows score alike; columns named as an output are replaced.
@@ -24,7 +24,7 @@ from sessiongrid.llm.texts import Shared, class_sample, crc_bucket, lower_ascii,
 ORDERS = (3, 4, 5)
 BITS = 20
 BOUND = 3000
-FEATURES = 20_000
+FEATURES = 2_000
 LEAST_DOCUMENTS = 4
 THRESHOLD = 0.3
 
@@ -54,7 +54,13 @@ def log_count_ratios(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.log((1 + toxic) / (1 + toxic).sum()) - np.log((1 + other) / (1 + other).sum())
 
 
-def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, target: np.ndarray, weight: np.ndarray, columns: int, penalty: float = 0.02, rounds: int = 150) -> tuple[np.ndarray, float]:
+def share_deviation(documents: np.ndarray, others: float, toxic: float) -> np.ndarray:
+    """By how many standard deviations the two classes' shares of documents with a bucket differ."""
+    pooled = documents.sum(0) / (others + toxic)
+    return np.abs(documents[1] / toxic - documents[0] / others) / np.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / others) + 1e-12)
+
+
+def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, target: np.ndarray, weight: np.ndarray, columns: int, penalty: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression on sparse rows, by Adam on the whole sample."""
     theta, first, second = np.zeros(columns + 1), np.zeros(columns + 1), np.zeros(columns + 1)
     weight = weight / weight.sum()
@@ -84,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         documents[kind, found] += 1  # distinct within a document
     scale = len(rows) / 2 / np.array([[len(rows) - target.sum()], [target.sum()]])
     ratio = log_count_ratios(documents[1] * scale[1], documents[0] * scale[0])
-    strength = np.where(documents.sum(0) >= LEAST_DOCUMENTS, np.abs(ratio), 0)
+    strength = np.where(documents.sum(0) >= LEAST_DOCUMENTS, share_deviation(documents, len(rows) - target.sum(), target.sum()), 0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
     chosen = chosen[strength[chosen] > 0]
     place = np.full(1 << BITS, -1, np.int32)
