@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessiongrid.functions.text import other_bucket, split_labels
-from sessiongrid.operators.asof import interleave, plan_times
-from sessiongrid.operators.ordered import Blocks, column, running
+from sessiongrid.operators.asof import interleave
+from sessiongrid.operators.ordered import Blocks, column, plan_blocks, running
 from sessiongrid.operators.rank import first_per_group
 
 
@@ -45,29 +46,6 @@ def response_times(
     )
 
 
-def later_responses(
-    annotations: DataFrame, errors: DataFrame, entity: str, anchor: str = "end", buckets: int = 64
-) -> DataFrame:
-    """Every annotation after every error of its entity: rows ``(entity, error, response_time)``.
-
-    The result is a pair per error and later annotation by definition. Annotations of an entity
-    are spread over hash buckets and each error goes to all of them, so that no task holds a
-    whole entity. :func:`response_summary` gives counts and means without the pairs.
-    """
-    spread = annotations.select(
-        column(entity), column("start").alias("_at"), F.pmod(F.xxhash64(column("start")), F.lit(buckets)).alias("_bucket")
-    )
-    copies = errors.select(
-        column(entity), column("error"), column(anchor).alias("_anchor"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("_bucket"),
-    )
-    return (
-        copies.join(spread, [entity, "_bucket"])
-        .where(F.col("_at") > F.col("_anchor"))
-        .select(column(entity), "error", (F.col("_at") - F.col("_anchor")).alias("response_time"))
-    )
-
-
 def response_summary(
     annotations: DataFrame, errors: DataFrame, entity: str, anchor: str = "end",
     blocks: Blocks | None = None,
@@ -75,22 +53,27 @@ def response_summary(
     """Per error row the number of later annotations, their mean and least response time.
 
     One ordered pass from the end counts and sums the annotations behind each error, so the work
-    is linear although the pairs are quadratic. Columns of ``errors`` are kept.
+    is linear although the pairs are quadratic. Times are summed as offsets from the least one, whole
+    numbers exactly, so epoch times keep their digits. Columns of ``errors`` are kept.
     """
-    probes = errors.withColumn("_anchor", column(anchor).cast("double"))
-    taken = annotations.select(column(entity), column("start").cast("double").alias("_at"))
+    probes = errors.withColumn("_anchor", column(anchor))
+    taken = annotations.select(column(entity), column("start").alias("_at"))
     both = interleave(probes, taken, [entity], "_anchor", "_at", [F.col("_at")], 1, 0)
+    whole = isinstance(both.schema["_time"].dataType, T.IntegralType)
+    base = both.agg(F.min("_time")).first()[0]
     if blocks is None:
-        blocks = plan_times(probes, taken, "_anchor", "_at")
+        blocks = plan_blocks(both, ["_time", "_side"])
     order = ["_time", "_side"]
     hit = F.when(~F.col("_left"), F.col("_time"))
+    offset = (F.col("_time") - F.lit(base)).cast("decimal(20,0)" if whole else "double")
     counted = running(both, [entity], order, F.when(~F.col("_left"), 1).otherwise(0), "sum", "_later", blocks, True)
-    summed = running(counted, [entity], order, F.coalesce(hit, F.lit(0.0)), "sum", "_sum", blocks, True)
+    summed = running(counted, [entity], order, F.when(~F.col("_left"), offset).otherwise(0), "sum", "_sum", blocks, True)
     nearest = running(summed, [entity], order, hit, "last", "_next", blocks, True)
     some = F.col("_later") > 0
+    behind = (F.col("_sum") - F.col("_later") * offset).cast("double")
     return nearest.where("_left").select(
         *[column(c) for c in errors.columns],
         F.col("_later").cast("long").alias("n_later"),
-        F.when(some, F.col("_sum") / F.col("_later") - F.col("_anchor")).alias("mean_response"),
-        F.when(some, F.col("_next") - F.col("_anchor")).alias("first_response"),
+        F.when(some, behind / F.col("_later")).alias("mean_response"),
+        F.when(some, (F.col("_next") - F.col("_anchor")).cast("double")).alias("first_response"),
     )

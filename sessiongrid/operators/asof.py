@@ -18,13 +18,14 @@ def interleave(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
     right_columns, left_side: int, right_side,
 ) -> DataFrame:
-    """One table of left rows (``_left`` true) and right rows, with ``_time`` and ``_side``."""
-    probes = left.withColumns(
-        {"_time": column(left_time).cast("double"), "_side": F.lit(left_side), "_left": F.lit(True)}
-    )
+    """One table of left rows (``_left`` true) and right rows, with ``_time`` and ``_side``.
+
+    Times keep their type, or take the common type of both sides if they differ.
+    """
+    probes = left.withColumns({"_time": column(left_time), "_side": F.lit(left_side), "_left": F.lit(True)})
     found = right.select(
         *[column(k) for k in keys],
-        column(right_time).cast("double").alias("_time"),
+        column(right_time).alias("_time"),
         (F.lit(right_side) if isinstance(right_side, int) else right_side).alias("_side"),
         F.lit(False).alias("_left"),
         *right_columns,
@@ -34,8 +35,8 @@ def interleave(
 
 def plan_times(left: DataFrame, right: DataFrame, left_time: str, right_time: str) -> Blocks:
     """Blocks of the times of both sides, from nothing but the two time columns."""
-    times = left.select(column(left_time).cast("double").alias("_time"))
-    return plan_blocks(times.unionByName(right.select(column(right_time).cast("double").alias("_time"))), "_time")
+    times = left.select(column(left_time).alias("_time"))
+    return plan_blocks(times.unionByName(right.select(column(right_time).alias("_time"))), "_time")
 
 
 def asof_join(
@@ -67,7 +68,7 @@ def asof_join(
     seq = (column(tiebreak) if tiebreak else F.lit(0)).alias("_seq")
     both = interleave(left, right, keys, left_time, right_time, [hit, seq], 1, right_side)
     if blocks is None:
-        blocks = plan_times(left, right, left_time, right_time)
+        blocks = plan_blocks(both, ["_time", "_side", "_seq"])
     walked = running(
         both, keys, ["_time", "_side", "_seq"], F.col("_hit"), "last", "_hit", blocks, reverse=forward
     )

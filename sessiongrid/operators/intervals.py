@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessiongrid.operators.asof import asof_join, interleave, plan_times
-from sessiongrid.operators.ordered import Blocks, column, plan_blocks, row_index, running
+from sessiongrid.operators.ordered import Blocks, column, over_neighbours, plan_blocks, row_index, running
 
 
 def mark_contained(
@@ -34,7 +34,7 @@ def mark_contained(
     Some interval contains the row exactly if the greatest end among intervals starting at or
     before the row's start reaches the row's end. ``half_open`` asks ``end < interval_end``.
     """
-    reach = column(interval_end).cast("double").alias("_reach")
+    reach = column(interval_end).alias("_reach")
     usable = intervals.where(column(interval_start) <= column(interval_end))
     both = interleave(rows, usable, keys, start, interval_start, [reach], 1, 0)
     if blocks is None:
@@ -88,7 +88,7 @@ def boundaries_to_intervals(
     pairs = F.transform(
         F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))),
         lambda end, i: F.struct(
-            (i + 1).alias("k"), F.get(b, i).cast("double").alias("start"), end.cast("double").alias("end")
+            (i + 1).alias("k"), F.get(b, i).alias("start"), end.alias("end")
         ),
     )
     return boundaries.select(*map(column, keys), F.inline(pairs))
@@ -98,14 +98,17 @@ def consecutive_intervals(
     events: DataFrame, keys: Sequence[str], time: str, blocks: Blocks | None = None
 ) -> DataFrame:
     """Rows ``(k, start, end)`` between neighbouring boundary rows of an entity, k from 1."""
+    if blocks is None:
+        blocks = plan_blocks(events, time)
     numbered = row_index(events, keys, [time], "_n", blocks)
-    here = numbered.select(
-        *map(column, keys), (F.col("_n") + 1).cast("int").alias("k"), column(time).cast("double").alias("start")
-    )
-    after = numbered.select(
-        *map(column, keys), F.col("_n").cast("int").alias("k"), column(time).cast("double").alias("end")
+
+    def following(window: W) -> dict[str, Column]:
+        return {"_end": F.lead(column(time)).over(window), "_next": F.lead("_n").over(window)}
+
+    paired = over_neighbours(numbered, keys, [time], 0, 1, following, blocks, index="_n")
+    return paired.where(F.col("_next").isNotNull()).select(
+        *map(column, keys), F.col("_next").cast("int").alias("k"), column(time).alias("start"), F.col("_end").alias("end")
     )
-    return here.join(after, [*keys, "k"])
 
 
 WIDE_LEVEL = 12
@@ -204,8 +207,8 @@ def lookup_interval(
     ``priority`` is unique per entity; both interval ends are included.
     """
     if blocks is None:
-        ends = intervals.select(F.explode(F.array(column(start), column(end)).cast("array<double>")).alias("_time"))
-        blocks = plan_blocks(points.select(column(time).cast("double").alias("_time")).unionByName(ends), "_time")
+        ends = intervals.select(F.explode(F.array(column(start), column(end))).alias("_time"))
+        blocks = plan_blocks(points.select(column(time).alias("_time")).unionByName(ends), "_time")
     steps = winning_steps(intervals, keys, start, end, priority, take, pick, blocks)
     hit = F.struct(*[column(c) for c in take]).alias("_hit")
     both = interleave(points, steps, keys, time, "_time", [hit], 1, F.col("_side"))
@@ -225,10 +228,12 @@ def multiclass_label(
     belongs to the earlier one. So one as-of pass is enough; :func:`lookup_interval` takes
     intervals that overlap.
     """
-    before = intervals.select(*map(column, keys), (column("k") + 1).alias("k"), column("end").alias("_previous"))
-    joined = intervals.join(before, [*keys, "k"], "left")
+    def previous(window: W) -> dict[str, Column]:
+        return {"_previous": F.when(F.lag("k").over(window) == column("k") - 1, F.lag("end").over(window))}
+
+    joined = over_neighbours(intervals, keys, ["k"], 1, 0, previous)
     shared = F.coalesce(F.col("_previous") == column("start"), F.lit(False))
-    hit = F.struct(column("k").cast("int").alias("k"), column("end").cast("double").alias("end")).alias("_hit")
+    hit = F.struct(column("k").cast("int").alias("k"), column("end").alias("end")).alias("_hit")
     both = interleave(points, joined, keys, time, "start", [hit], 1, F.when(shared, 2).otherwise(0))
     if blocks is None:
         blocks = plan_times(points, intervals, time, "start")
@@ -259,7 +264,9 @@ def next_window(
     found = asof_join(points, windows, keys, time, end_time, [window_id], "forward", True, window_id, **options)
     if not legacy:
         return found
-    first = windows.groupBy(*map(column, keys)).agg(F.min(column(window_id)).alias("_first"))
+    first = windows.groupBy(*map(column, keys)).agg(
+        F.min_by(column(window_id), F.struct(column(end_time), column(window_id))).alias("_first")
+    )
     return (
         found.join(first, list(keys), "left")
         .withColumn(window_id, F.coalesce(column(window_id), F.col("_first")))

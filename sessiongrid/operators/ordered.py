@@ -3,9 +3,10 @@
 A plain ``Window.partitionBy(entity)`` sends a whole entity to one task. Here the order column is
 cut into blocks, the window runs per (entity, block), and what a block needs from its neighbours
 comes from a small per-block summary (counts, last values, sums) or from a halo of copied rows.
-Blocks are quantiles of the order column over *all* rows, so a group of (entity, block) holds at
-most about ``rows_per_block`` rows whatever the entity sizes are. A table that fits in one block
-takes the plain window.
+Blocks are quantiles of the order columns over *all* rows, so a group of (entity, block) holds at
+most about ``rows_per_block`` rows whatever the entity sizes are. Cuts compare all order columns in
+their own types, so text, dates and timestamps work at any size and ties in the first column split.
+A table that fits in one block takes the plain window.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 2_000_000
-MAX_BLOCKS = 8192
-FEW_CUTS = 32
+#: sampled rows per cut; the size of a block varies by about its inverse square root
+SAMPLED_PER_BLOCK = 40
 
 
 def quoted(name: str) -> str:
@@ -34,27 +35,31 @@ def column(name: str | Column) -> Column:
 
 @dataclass(frozen=True)
 class Blocks:
-    """Ascending cut points of an order column; block ``i`` lies after ``i`` cuts."""
+    """Ascending cut points of the leading order columns; block ``i`` lies after ``i`` cuts.
 
-    cuts: tuple[float, ...] = ()
+    A cut is a tuple of the columns' values as text, ``kinds`` their Spark types; a plain number cuts
+    the first column as a double.
+    """
+
+    cuts: tuple = ()
+    kinds: tuple[str, ...] = ("double",)
 
     @property
     def single(self) -> bool:
         return not self.cuts
 
-    def number(self, order: Column) -> Column:
-        """Block of a value, so that blocks follow the order.
-
-        A few cuts are compared one by one in generated code; many take a binary search.
-        """
+    def number(self, *order: Column) -> Column:
+        """Block of the order columns' values, so that blocks follow the order: a binary search."""
         if self.single:
             return F.lit(0)
-        if len(self.cuts) <= FEW_CUTS:
-            passed = [F.when(order.cast("double") > F.lit(cut), 1).otherwise(0) for cut in self.cuts]
-            return sum(passed[1:], passed[0])
-        cuts = F.from_json(F.lit(json.dumps(list(self.cuts))), "array<double>")
-        value = order.cast("double")
-        bounds = F.struct(F.lit(0).alias("lo"), F.lit(len(self.cuts)).alias("hi"))
+        names = [f"c{i}" for i in range(len(self.kinds))]
+        rows = [cut if isinstance(cut, tuple) else (cut,) for cut in self.cuts]
+        text = json.dumps([{n: None if v is None else str(v) for n, v in zip(names, row)} for row in rows])
+        as_text = "array<struct<" + ", ".join(f"{n}: string" for n in names) + ">>"
+        typed = "array<struct<" + ", ".join(f"{n}: {k}" for n, k in zip(names, self.kinds)) + ">>"
+        cuts = F.sort_array(F.from_json(F.lit(text), as_text).cast(typed))
+        value = F.struct(*[c.cast(k).alias(n) for c, k, n in zip(order, self.kinds, names)])
+        bounds = F.struct(F.lit(0).alias("lo"), F.lit(len(rows)).alias("hi"))
 
         def halve(b: Column, _: Column) -> Column:
             middle = F.shiftright(b["lo"] + b["hi"], 1)
@@ -64,7 +69,7 @@ class Blocks:
                 F.when(right, b["hi"]).otherwise(middle).alias("hi"),
             )
 
-        steps = F.sequence(F.lit(1), F.lit(len(self.cuts).bit_length()))
+        steps = F.sequence(F.lit(1), F.lit(len(rows).bit_length()))
         return F.aggregate(steps, bounds, halve, lambda b: b["lo"])
 
 
@@ -78,24 +83,29 @@ class HashBlocks:
     def single(self) -> bool:
         return self.digits == 0
 
-    def number(self, order: Column) -> Column:
+    def number(self, order: Column, *_: Column) -> Column:
         if self.single:
             return F.lit(0)
-        return F.conv(F.substring(order, 1, self.digits), 16, 10).cast("int")
+        return F.conv(F.substring(order, 1, self.digits), 16, 10).cast("long")
 
 
-def plan_blocks(df: DataFrame, order: str | Column, rows_per_block: int = ROWS_PER_BLOCK) -> Blocks:
-    """Cut points of ``order`` giving about ``rows_per_block`` rows per block over the table.
+def plan_blocks(df: DataFrame, order: str | Column | Sequence[str | Column], rows_per_block: int = ROWS_PER_BLOCK) -> Blocks:
+    """Cut points of the ``order`` columns giving about ``rows_per_block`` rows per block over the table.
 
-    Costs a count, and for a table beyond one block one more pass over a single column.
+    Costs a count, and for a table beyond one block one more pass over the order columns, of which
+    SAMPLED_PER_BLOCK rows per block reach the driver.
     """
-    blocks = min(MAX_BLOCKS, math.ceil(df.count() / rows_per_block))
+    columns = [column(o) for o in ([order] if isinstance(order, (str, Column)) else order)]
+    rows = df.count()
+    blocks = math.ceil(rows / rows_per_block)
     if blocks <= 1:
         return Blocks()
-    shares = [i / blocks for i in range(1, blocks)]
-    value = column(order).cast("double")
-    found = df.agg(F.percentile_approx(value, shares, max(1_000, 8 * blocks))).first()[0]
-    return Blocks(tuple(sorted(set(found or ()))))
+    keys = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    share = min(1.0, SAMPLED_PER_BLOCK * blocks / rows)
+    sample = keys if share == 1.0 else keys.sample(share, seed=17)
+    found = sample.orderBy(*keys.columns).select(*[F.col(c).cast("string") for c in keys.columns]).collect()
+    cuts = dict.fromkeys(tuple(found[len(found) * i // blocks]) for i in range(1, blocks)) if found else {}
+    return Blocks(tuple(cuts), tuple(f.dataType.simpleString() for f in keys.schema.fields))
 
 
 def plan_hash_blocks(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> HashBlocks:
@@ -105,7 +115,7 @@ def plan_hash_blocks(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> Has
 
 def hash_blocks_for(rows: int, rows_per_block: int = ROWS_PER_BLOCK) -> HashBlocks:
     wanted = rows / rows_per_block
-    return HashBlocks(0 if wanted <= 1 else min(4, math.ceil(math.log(wanted, 16))))
+    return HashBlocks(0 if wanted <= 1 else math.ceil(math.log(wanted, 16)))
 
 
 def add_carry(df: DataFrame, carried: DataFrame) -> DataFrame:
@@ -148,7 +158,7 @@ def row_index(
     ``total`` adds the number of rows of the group, which saves a join by group.
     """
     if blocks is None:
-        blocks = plan_blocks(df, order[0])
+        blocks = plan_blocks(df, order)
     by = [column(o) for o in order]
     if blocks.single:
         group = W.partitionBy(*map(column, keys))
@@ -157,7 +167,7 @@ def row_index(
             whole = group.orderBy(*by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
             added[total] = F.count(F.lit(1)).over(whole)
         return df.withColumns(added)
-    cut = df.withColumn("_block", blocks.number(by[0]))
+    cut = df.withColumn("_block", blocks.number(*by))
     both = add_carry(cut.withColumn("_one", F.lit(1).cast("long")), block_sizes(cut, keys, "_one", total))
     window = W.partitionBy(*map(column, keys), F.col("_block")).orderBy(carry_first(), *by)
     so_far = window.rowsBetween(W.unboundedPreceding, 0)
@@ -182,7 +192,7 @@ def running(
     ``reverse`` runs from the end, so ``last`` gives the next non-null value.
     """
     if blocks is None:
-        blocks = plan_blocks(df, order[0])
+        blocks = plan_blocks(df, order)
     folds = {
         "last": lambda c: F.last(c, ignorenulls=True),
         "max": F.max,
@@ -196,7 +206,7 @@ def running(
         window = W.partitionBy(*key_columns).orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(name, fold(value).over(window))
 
-    cut = df.withColumn("_block", blocks.number(column(order[0]))).withColumn("_value", value)
+    cut = df.withColumn("_block", blocks.number(*[column(o) for o in order])).withColumn("_value", value)
     if how == "last":
         position = F.when(F.col("_value").isNotNull(), F.struct(*[column(o) for o in order]))
         pick = F.min_by if reverse else F.max_by
@@ -237,7 +247,7 @@ def over_neighbours(
     """
     key_columns = [column(k) for k in keys]
     if blocks is None:
-        blocks = plan_blocks(df, order[0], rows_per_block)
+        blocks = plan_blocks(df, order, rows_per_block)
     if blocks.single:
         window = W.partitionBy(*key_columns).orderBy(*[column(o) for o in order])
         return df.withColumns(columns(window))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +32,30 @@ IMPORTANCES = declared(feature=STRING, importance=DOUBLE)
 P_VALUES = declared(feature=STRING, p_value=DOUBLE)
 
 
+def files_by_header(spark: SparkSession, paths: str | Sequence[str]) -> list[list[str]]:
+    """The files of ``paths`` in groups with the same header line; a row per file reaches the driver."""
+    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    first = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "line").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for r in first.orderBy("file_path").collect():
+        groups.setdefault(r["header"], []).append(unquote(r["file_path"]))
+    return list(groups.values())
+
+
+def _by_name(spark: SparkSession, paths: str | Sequence[str], file: str | None = None, **options) -> DataFrame:
+    """Header CSV as text by column name: files with other headers or another order are read apart and united."""
+    groups = files_by_header(spark, paths)
+    read = spark.read.options(header=True, escape='"', **options)
+    parts = [read.csv(g) for g in (groups if len(groups) > 1 else [paths])]
+    if file:
+        parts = [p.select("*", F.col("_metadata.file_name").alias(file)) for p in parts]
+    parts = [trimmed_names(p) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_raw(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
     """Header CSV with every column as text and names trimmed."""
-    return trimmed_names(spark.read.options(header=True, escape='"', **options).csv(paths))
+    return _by_name(spark, paths, **options)
 
 
 def read_table(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, **options) -> DataFrame:
@@ -45,11 +68,9 @@ def read_entity_files(
     spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, entity: str = "participant",
     pattern: str = r"^([^_.]+)",
 ) -> DataFrame:
-    """One file per entity in a single read; the entity is a match in the file name."""
-    raw = spark.read.options(header=True, escape='"').csv(paths)
-    named = raw.select("*", F.regexp_extract("_metadata.file_name", pattern, 1).alias("_entity"))
-    named = trimmed_names(named)
-    return named.select(F.col("_entity").alias(entity), *_declared(named, schema, skip=(entity,)))
+    """One file per entity, by column name; the entity is a match in the file name."""
+    named = _by_name(spark, paths, "_file")
+    return named.select(F.regexp_extract("_file", pattern, 1).alias(entity), *_declared(named, schema, skip=(entity,)))
 
 
 def _declared(raw: DataFrame, schema: T.StructType, skip: Sequence[str] = ()) -> list:

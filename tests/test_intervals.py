@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessiongrid.operators import annotations, asof, intervals
-from sessiongrid.operators.ordered import Blocks
+from sessiongrid.operators.ordered import Blocks, plan_blocks
 
 MANY = Blocks((5.0, 10.0, 20.5, 33.0))
 BLOCKS = [None, MANY]
@@ -105,15 +105,13 @@ def test_next_window_past_the_end(spark):
     assert {r.t: r.k for r in closed} == strict
 
 
-def test_later_responses_are_all_pairs_and_agree_with_the_summary(spark):
+def test_response_summary_agrees_with_all_pairs(spark):
     r = random.Random(2)
     notes = spark.createDataFrame([(r.choice("ab"), float(r.randint(0, 40))) for _ in range(50)], "e string, start double")
     errors = spark.createDataFrame([(r.choice("abc"), i, float(i * 3)) for i in range(12)], "e string, error int, end double")
     want = sorted(
         (x.e, x.error, n.start - x.end) for x in errors.collect() for n in notes.collect() if n.e == x.e and n.start > x.end
     )
-    got = sorted(map(tuple, annotations.later_responses(notes, errors, "e").collect()))
-    assert got == want
     for blocks in BLOCKS:
         for x in annotations.response_summary(notes, errors, "e", blocks=blocks).collect():
             mine = [t for e, k, t in want if (e, k) == (x.e, x.error)]
@@ -130,3 +128,49 @@ def test_window_labels(spark):
     assert first == {0.0: "x", 0.5: "y", 1.0: None, 3.0: None}
     mode = {r.window_id: r.label for r in intervals.window_mode_label(labels, ["e"], "t", "label", 1.0, 0.5).collect()}
     assert mode == {0: "y", 1: "y", 2: "x"}
+
+
+@pytest.mark.parametrize("blocks", BLOCKS)
+def test_times_above_2_to_53_keep_their_digits(spark, blocks):
+    base = 1_700_000_000_000_000_000
+    left = spark.createDataFrame([("a", base + 1), ("a", base + 3)], "e string, t long")
+    right = spark.createDataFrame([("a", base), ("a", base + 2)], "e string, at long").withColumn("hit", F.col("at") - base)
+    got = {r.t - base: r.hit for r in asof.asof_join(left, right, ["e"], "t", "at", ["hit"], blocks=blocks).collect()}
+    assert got == {1: 0, 3: 2}
+    spans = right.select("e", F.col("at").alias("start"), (F.col("at") + 1).alias("end"), F.col("hit").alias("k"))
+    marked = {r.t - base: r.binary_label for r in intervals.binary_label(left.union(spark.createDataFrame([("a", base + 5)], "e string, t long")), spans, ["e"], "t", blocks=blocks).collect()}
+    assert marked == {1: 1, 3: 1, 5: 0}
+    found = {r.t - base: r.k for r in intervals.lookup_interval(left, spans, ["e"], "t", "start", "end", "k", ["k"], blocks=blocks).collect()}
+    assert found == {1: 0, 3: 2}
+
+
+def test_asof_on_timestamps_in_blocks(spark):
+    left = spark.sql("SELECT 'a' AS e, timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS t FROM range(60)")
+    right = spark.sql("SELECT 'a' AS e, timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 7) AS at, id AS hit FROM range(9)")
+    both = left.select("t").union(right.select("at"))
+    cut = plan_blocks(both, "t", 10)
+    assert len(cut.cuts) > 3
+    got = sorted(asof.asof_join(left, right, ["e"], "t", "at", ["hit"], blocks=cut).collect())
+    assert [r.hit for r in got] == [k // 7 for k in range(60)]
+
+
+def test_response_summary_of_epoch_micros(spark):
+    base = 1_704_067_200_000_000
+    notes = spark.range(200_000).select(F.lit("a").alias("e"), (base + F.col("id") + 1).alias("start"))
+    errors = spark.createDataFrame([("a", 0, base)], "e string, error int, end long")
+    for times in (notes, notes.withColumn("start", F.col("start").cast("double"))):
+        row = annotations.response_summary(times, errors, "e").first()
+        assert (row.n_later, row.mean_response, row.first_response) == (200_000, 100_000.5, 1.0)
+
+
+def test_legacy_window_is_the_first_in_time(spark):
+    points = spark.createDataFrame([("a", 9.0)], "e string, t double")
+    windows = spark.createDataFrame([("a", 7, 1.0), ("a", 3, 2.0)], "e string, window_id int, end_time double")
+    assert intervals.next_window(points, windows, ["e"], "t", legacy=True).first().window_id == 7
+
+
+def test_consecutive_intervals_in_blocks(spark):
+    events = spark.createDataFrame([("a", float(t)) for t in range(0, 40, 3)] + [("b", 1.0), ("c", 5.0), ("c", 20.0)], "e string, t double")
+    for blocks in BLOCKS:
+        rows = sorted(map(tuple, intervals.consecutive_intervals(events, ["e"], "t", blocks).collect()))
+        assert rows == [("a", k + 1, 3.0 * k, 3.0 * k + 3) for k in range(13)] + [("c", 1, 5.0, 20.0)]

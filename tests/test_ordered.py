@@ -37,6 +37,29 @@ def test_block_numbers_follow_the_order(spark):
     assert all(b == sum(c < v for c in cuts[:5]) for v, b in got.items())
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "timestamp_ntz", "decimal(20,3)", "long", "binary"])
+def test_order_columns_of_any_type(spark, kind):
+    r = random.Random(8)
+    made = {"string": lambda k: f"name, \"{k % 13}\"", "date": lambda k: f"2024-01-{k % 28 + 1:02d}", "binary": lambda k: f"b{k % 17}"}
+    text = made.get(kind, (lambda k: f"2024-01-01 00:00:{k % 60:02d}.{k:06d}") if "time" in kind else (lambda k: str(k % 19)))
+    data = [(i, None if i % 31 == 0 else text(r.randrange(200))) for i in range(200)]
+    df = spark.createDataFrame(data, "i int, o string").withColumn("o", F.col("o").cast(kind))
+    planned = plan_blocks(df, ["o", "i"], 9)
+    assert len(planned.cuts) > 10
+    one = table(row_index(df.select("o", "i"), [], ["o", "i"], blocks=Blocks()))
+    two = table(row_index(df.select("o", "i"), [], ["o", "i"], blocks=planned))
+    assert (one.idx == two.idx).all()
+    sizes = df.select(planned.number(F.col("o"), F.col("i")).alias("b")).groupBy("b").count().collect()
+    assert max(s["count"] for s in sizes) < 30
+
+
+def test_ties_in_the_first_column_split(spark):
+    df = spark.range(1000).select((F.col("id") % 10 == 0).cast("double").alias("t"), "id")
+    planned = plan_blocks(df, ["t", "id"], 100)
+    sizes = [r["count"] for r in df.select(planned.number(F.col("t"), F.col("id")).alias("b")).groupBy("b").count().collect()]
+    assert len(sizes) >= 9 and max(sizes) < 300
+
+
 def test_row_index(rows, blocks):
     one = table(row_index(rows, ["e"], ["t", "i"], blocks=Blocks()))
     two = table(row_index(rows, ["e"], ["t", "i"], blocks=blocks))

@@ -24,6 +24,17 @@ def test_entity_files_with_spaced_names(spark, tmp_path):
     ]
 
 
+def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
+    (tmp_path / "p1_audio.csv").write_text("speaker,start,end,duration\nrobot,1,2,1\n")
+    (tmp_path / "p2_audio.csv").write_text("start, end,speaker,duration\n5,7,participant,2\n6,9,robot,3\n")
+    (tmp_path / "p3_audio.csv").write_text("speaker,end\nrobot,4\n")
+    read = tables.read_entity_files(spark, str(tmp_path), tables.TURNS)
+    assert rows_of(read, "participant", "end") == [
+        ("p1", "robot", 1.0, 2.0, 1.0), ("p2", "participant", 5.0, 7.0, 2.0), ("p2", "robot", 6.0, 9.0, 3.0), ("p3", "robot", None, 4.0, None),
+    ]
+    assert rows_of(tables.read_table(spark, str(tmp_path), tables.TURNS), "end")[1] == ("robot", None, 4.0, None)
+
+
 def test_table_by_name_and_feature_list(spark, tmp_path):
     path = tmp_path / "list.csv"
     path.write_text(',feature,p_value\n0, AU01_r,0.5\n1,"logRelF0-H1-H2_sma3nz",bad\n')
