@@ -181,7 +181,7 @@ def block_fusion(
 def majority_predictions(split: DataFrame, label: str, fold: str = "fold") -> DataFrame:
     """Test rows of every fold with the majority class of that fold's train rows as ``yhat``.
 
-    The majorities are one row per fold, a broadcast of known size.
+    The majorities are one row per fold, which Spark broadcasts if they are small.
     """
     counts = split.where(F.col("split") == "train").groupBy(column(fold), column(label)).agg(
         F.count(F.lit(1)).alias("_n")
@@ -189,7 +189,7 @@ def majority_predictions(split: DataFrame, label: str, fold: str = "fold") -> Da
     chosen = counts.groupBy(column(fold)).agg(
         F.min_by(column(label), F.struct(-F.col("_n"), column(label))).alias("yhat")
     )
-    return split.where(F.col("split") == "test").join(F.broadcast(chosen), fold)
+    return split.where(F.col("split") == "test").join(chosen, fold)
 
 
 def config_grid(base: DataFrame, axes: Mapping[str, Sequence[Any]], keep: str | None = None) -> DataFrame:

@@ -52,7 +52,7 @@ def standardize(df: DataFrame, features: Sequence[str], fit_on: DataFrame | None
 def standardize_per_fold(df: DataFrame, features: Sequence[str], fold: str = "fold", split: str = "split") -> DataFrame:
     """Every fold standardised with its own train rows: one aggregate for all folds.
 
-    The moments are one row per fold, so the join broadcasts a table of known size.
+    The moments are one row per fold, which Spark broadcasts if they are small.
     """
     moments = df.where(column(split) == "train").groupBy(column(fold)).agg(
         *[F.avg(column(f)).alias(f"_m{i}") for i, f in enumerate(features)],
@@ -62,7 +62,7 @@ def standardize_per_fold(df: DataFrame, features: Sequence[str], fold: str = "fo
         f: F.when(F.col(f"_s{i}") > 0, (column(f) - F.col(f"_m{i}")) / F.col(f"_s{i}")).otherwise(0.0)
         for i, f in enumerate(features)
     }
-    return df.join(F.broadcast(moments), fold).withColumns(scaled).select(*map(column, df.columns))
+    return df.join(moments, fold).withColumns(scaled).select(*map(column, df.columns))
 
 
 @dataclass(frozen=True)

@@ -24,7 +24,7 @@ def multiclass_share_by_user(spark, sf_dir):
     return aggregate.label_shares(events, ["user_id"], "y", [0, 1, 2, 3])
 
 
-CONFIDENCES = [f"c_{i}" for i in range(6)]
+CONFIDENCES = [f"c_{i}" for i in range(64)]
 
 
 def _confidences(spark, sf_dir):
@@ -33,7 +33,7 @@ def _confidences(spark, sf_dir):
 
 
 CONFIDENCES_SQL = """kp AS (SELECT label, 'c_' || i AS keypoint, embedding[i + 1]::DOUBLE AS v
-  FROM embeddings, range(6) AS r(i)),
+  FROM embeddings, range(64) AS r(i)),
 pk AS (SELECT label, keypoint, count_if(v > 0)::BIGINT AS n_positive, coalesce(avg(v) FILTER (WHERE v > 0), 0) AS mean_positive
   FROM kp GROUP BY label, keypoint)"""
 

@@ -203,10 +203,10 @@ def drop_missing(spark, sf_dir):
     return clean.drop_missing(_holes(spark, sf_dir), ["a"])
 
 
-@query("""SELECT doc_id, TRY_CAST(trim(substring(text, 1, 2)) AS DOUBLE) AS number, n_chars::DOUBLE AS n_chars FROM documents""")
+@query("""SELECT doc_id, TRY_CAST(trim(text) AS DOUBLE) AS number, n_chars::DOUBLE AS n_chars FROM documents""")
 def coerce_numeric(spark, sf_dir):
     texts = load(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, 2).alias("number"), F.concat(F.lit(" "), F.col("n_chars")).alias("n_chars")
+        "doc_id", F.col("text").alias("number"), F.concat(F.lit(" "), F.col("n_chars")).alias("n_chars")
     )
     return clean.coerce_numeric(texts, ["number", "n_chars"])
 
