@@ -17,7 +17,7 @@ from sessiongrid.operators.ordered import column
 
 @dataclass(frozen=True)
 class Standardizer:
-    """Mean and population sd per feature; a constant feature becomes 0."""
+    """Mean and population sd per feature; a constant feature becomes 0, a feature without values stays null."""
 
     means: dict[str, float]
     deviations: dict[str, float]
@@ -25,17 +25,19 @@ class Standardizer:
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str], scale: bool = True) -> Standardizer:
         """One aggregate over all features; only two numbers per feature reach the driver."""
-        aggregates = [F.avg(column(f)).alias(f"m{i}") for i, f in enumerate(features)]
+        aggregates = [F.count(F.lit(1)).alias("rows")] + [F.avg(column(f)).alias(f"m{i}") for i, f in enumerate(features)]
         if scale:
             aggregates += [F.stddev_pop(column(f)).alias(f"s{i}") for i, f in enumerate(features)]
         row = df.agg(*aggregates).first()
-        if row["m0"] is None:
+        if not row["rows"]:
             raise ValueError("cannot standardise an empty table")
         means = {f: row[f"m{i}"] for i, f in enumerate(features)}
         return cls(means, {f: row[f"s{i}"] if scale else 1.0 for i, f in enumerate(features)})
 
     def scaled(self, feature: str) -> Column:
         sd = self.deviations[feature]
+        if self.means[feature] is None:
+            return F.lit(None).cast("double")
         if not sd:
             return F.when(column(feature).isNotNull(), F.lit(0.0))
         return (column(feature) - F.lit(self.means[feature])) / F.lit(sd)
@@ -59,7 +61,7 @@ def standardize_per_fold(df: DataFrame, features: Sequence[str], fold: str = "fo
         *[F.stddev_pop(column(f)).alias(f"_s{i}") for i, f in enumerate(features)],
     )
     scaled = {
-        f: F.when(F.col(f"_s{i}") > 0, (column(f) - F.col(f"_m{i}")) / F.col(f"_s{i}")).otherwise(0.0)
+        f: F.when(F.col(f"_s{i}") > 0, (column(f) - F.col(f"_m{i}")) / F.col(f"_s{i}")).when(column(f).isNotNull(), 0.0)
         for i, f in enumerate(features)
     }
     return df.join(moments, fold).withColumns(scaled).select(*map(column, df.columns))

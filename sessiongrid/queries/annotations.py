@@ -15,13 +15,14 @@ KINDS = ["click", "view", "purchase", "signup", "error"]
 WITH c AS (SELECT user_id, list_position(['click', 'view', 'purchase', 'signup', 'error'], event_type) - 1 AS y FROM events)
 SELECT user_id, count(*)::BIGINT AS total,
   count_if(y = 0)::BIGINT AS n_0, count_if(y = 1)::BIGINT AS n_1, count_if(y = 2)::BIGINT AS n_2, count_if(y = 3)::BIGINT AS n_3,
+  count_if(y = 4)::BIGINT AS n_4, round(count_if(y = 4) * 100.0::DOUBLE / count(*), 1) AS pct_4,
   round(count_if(y = 0) * 100.0::DOUBLE / count(*), 1) AS pct_0, round(count_if(y = 1) * 100.0::DOUBLE / count(*), 1) AS pct_1,
   round(count_if(y = 2) * 100.0::DOUBLE / count(*), 1) AS pct_2, round(count_if(y = 3) * 100.0::DOUBLE / count(*), 1) AS pct_3
 FROM c GROUP BY user_id""")
 def multiclass_share_by_user(spark, sf_dir):
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_type")) - 1
     events = load(spark, sf_dir, "events").select("user_id", place.alias("y"))
-    return aggregate.label_shares(events, ["user_id"], "y", [0, 1, 2, 3])
+    return aggregate.label_shares(events, ["user_id"], "y", [0, 1, 2, 3, 4])
 
 
 CONFIDENCES = [f"c_{i}" for i in range(64)]

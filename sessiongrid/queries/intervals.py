@@ -24,6 +24,9 @@ def episodes_sql(kind: str, length: int) -> str:
   FROM ev WHERE event_type = '{kind}')"""
 
 
+VECTOR = 64
+
+
 @query(f"""
 WITH {FRAMES_SQL}, {episodes_sql("error", 12 * HOUR)},
 lab AS (SELECT f.user_id, CASE WHEN EXISTS (
@@ -90,24 +93,23 @@ def point_in_interval_first(spark, sf_dir):
 
 @query(f"""
 WITH {FRAMES_SQL}, cap AS (
-  SELECT f.user_id, f.event_id AS seq, f.frame / 30.0::DOUBLE AS s, f.frame / 30.0::DOUBLE + 0.25 AS e, m.embedding[1:4] AS v
+  SELECT f.user_id, f.event_id AS seq, f.frame / 30.0::DOUBLE AS s, f.frame / 30.0::DOUBLE + 0.25 AS e, m.embedding AS v
   FROM fr f JOIN embeddings m ON m.vec_id = f.event_id)
-SELECT f.user_id, f.event_id, coalesce(max_by(c.v[1], c.seq), 0)::DOUBLE AS f_0, coalesce(max_by(c.v[2], c.seq), 0)::DOUBLE AS f_1,
-       coalesce(max_by(c.v[3], c.seq), 0)::DOUBLE AS f_2, coalesce(max_by(c.v[4], c.seq), 0)::DOUBLE AS f_3
+SELECT f.user_id, f.event_id, {", ".join(f"coalesce(max_by(c.v[{i + 1}], c.seq), 0)::DOUBLE AS f_{i}" for i in range(VECTOR))}
 FROM fr f LEFT JOIN cap c ON c.user_id = f.user_id AND f.frame / 30.0::DOUBLE BETWEEN c.s AND c.e
 GROUP BY f.user_id, f.event_id""")
 def caption_vectors(spark, sf_dir):
     """Text vectors on frames: the vector of the last caption at the frame's time, zeros in silence."""
     rows = frames(spark, sf_dir)
     vectors = load(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("event_id"), F.slice("embedding", 1, 4).alias("embedding")
+        F.col("vec_id").alias("event_id"), "embedding"
     )
     at = F.col("frame") / F.lit(30.0)
     captions = rows.join(vectors, "event_id").select(
         "user_id", F.col("event_id").alias("seq"), at.alias("start_time"), (at + 0.25).alias("end_time"), "embedding"
     )
-    found = intervals.attach_captions(rows, captions, ["user_id"], 4)
-    parts = [F.get("embedding", i).cast("double").alias(f"f_{i}") for i in range(4)]
+    found = intervals.attach_captions(rows, captions, ["user_id"], VECTOR)
+    parts = [F.get("embedding", i).cast("double").alias(f"f_{i}") for i in range(VECTOR)]
     return found.select("user_id", "event_id", *parts)
 
 
@@ -183,6 +185,25 @@ def backward_asof(spark, sf_dir):
     return found.select("user_id", "event_id", "error")
 
 
+@query("""
+WITH p AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase')
+SELECT e.user_id, e.event_id, max_by(p.event_id, epoch_us(p.ts)::HUGEINT * 1000000000 + p.event_id) AS purchase
+FROM events e LEFT JOIN p ON p.user_id = e.user_id AND p.ts <= e.ts WHERE e.event_type <> 'purchase' GROUP BY e.user_id, e.event_id""")
+def timestamp_asof(spark, sf_dir):
+    """The latest purchase at or before each event, by the timestamp column itself."""
+    events = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    bought = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("purchase"))
+    rest = events.where("event_type <> 'purchase'")
+    return asof.asof_join(rest, bought, ["user_id"], "ts", "at", ["purchase"], tiebreak="purchase").select("user_id", "event_id", "purchase")
+
+
+@query("""SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) - 1 AS place FROM documents""")
+def text_order(spark, sf_dir):
+    """Positions by a text column."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return row_index(docs, ["lang"], ["source", "doc_id"], "place").select("doc_id", "place")
+
+
 @query(f"""
 WITH {SESSIONS_SQL}, {NUMBERED_SQL},
 a AS (SELECT user_id, event_id, us, CAST(k AS BIGINT) % 5 AS error FROM ev WHERE event_type IN ('click', 'view'))

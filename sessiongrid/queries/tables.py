@@ -99,6 +99,18 @@ def csv_files(spark, sf_dir):
     return table_source.read_table(spark, path, table_source.declared(**types))
 
 
+@query("""SELECT c_custkey, c_name, c_acctbal FROM customer""")
+def csv_column_orders(spark, sf_dir):
+    """Files of one table whose headers differ in order and in columns, read back by name."""
+    path = new_path(spark)
+    customers = load(spark, sf_dir, "customer")
+    orders = [["c_custkey", "c_name", "c_acctbal"], ["c_acctbal", "c_mktsegment", "c_name", "c_custkey"]]
+    for i, names in enumerate(orders):
+        store.write_frames(customers.where(F.col("c_custkey") % 2 == i).select(names), f"{path}/{i}", file_format="csv")
+    types = {"c_custkey": T.LongType(), "c_name": T.StringType(), "c_acctbal": T.DoubleType()}
+    return table_source.read_table(spark, [f"{path}/0", f"{path}/1"], table_source.declared(**types))
+
+
 @query("""SELECT s_nationkey AS nation, count(*)::BIGINT AS n FROM supplier GROUP BY s_nationkey""")
 def entity_folders(spark, sf_dir):
     """A table written in a folder per entity and read back with the entity."""
