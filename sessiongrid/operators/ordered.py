@@ -133,14 +133,14 @@ def carry_first() -> Column:
     return F.col("_carry").desc()
 
 
-def block_sizes(cut: DataFrame, keys: Sequence[str], base: str, total: str | None = None) -> DataFrame:
-    """Rows of the group in earlier blocks, and in all blocks, per (keys, block)."""
+def block_sizes(cut: DataFrame, keys: Sequence[str], base: str, total: str | None = None, weight: str | None = None) -> DataFrame:
+    """Rows (or the sum of ``weight``) of the group in earlier blocks, and in all blocks, per (keys, block)."""
     in_order = W.partitionBy(*map(column, keys)).orderBy("_block")
     before = F.coalesce(F.sum("_size").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     every = F.sum("_size").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return (
         cut.groupBy(*map(column, keys), "_block")
-        .agg(F.count(F.lit(1)).alias("_size"))
+        .agg((F.sum(column(weight)) if weight else F.count(F.lit(1))).alias("_size"))
         .select(*map(column, keys), "_block", before.alias(base), *([every.alias(total)] if total else []))
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sessiongrid.operators.ordered import (
     Blocks, add_carry, block_sizes, carry_first, column, over_neighbours, plan_blocks, row_index,
 )
+from sessiongrid.session import settle
 
 
 def ranked_drops(
@@ -68,21 +69,22 @@ def value_counts_ranked(
 
     ``total`` adds the number of rows of the group.
 
-    Equal values collapse in a partial aggregate first, so the ordered pass sees distinct values.
+    Equal values collapse in a partial aggregate first, whose result is settled; blocks are planned and
+    sized on it, so the rows are read once and heavily tied columns stay small.
     """
-    if blocks is None:
-        blocks = plan_blocks(df, value)
-    # -0.0 and 0.0 tie
-    same = df.withColumn(value, column(value) + F.lit(0.0)).withColumn("_block", blocks.number(column(value)))
     key_columns = [column(k) for k in keys]
-    distinct = same.groupBy(*key_columns, "_block", column(value)).agg(F.count(F.lit(1)).alias("ties"), *counts)
+    # -0.0 and 0.0 tie
+    same = df.withColumn(value, column(value) + F.lit(0.0))
+    collapsed = settle(same.groupBy(*key_columns, column(value)).agg(F.count(F.lit(1)).alias("ties"), *counts))
+    if blocks is None:
+        blocks = plan_blocks(collapsed, value)
+    distinct = collapsed.withColumn("_block", blocks.number(column(value)))
     within = W.partitionBy(*key_columns, F.col("_block"))
     if blocks.single:
         inside, both = within.orderBy(column(value)), distinct
         every = F.sum("ties").over(inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     else:
-        # rows in earlier blocks come straight from the input, so the distinct values are made once
-        both = add_carry(distinct, block_sizes(same, keys, "ties", total))
+        both = add_carry(distinct, block_sizes(distinct, keys, "ties", total, "ties"))
         inside = within.orderBy(carry_first(), column(value))
         every = F.first(total).over(inside.rowsBetween(W.unboundedPreceding, 0)) if total else None
     upto = F.sum("ties").over(inside.rowsBetween(W.unboundedPreceding, 0))

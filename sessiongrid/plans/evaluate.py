@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -32,6 +33,10 @@ def evaluate(
     return rows
 
 
+#: fits that are submitted together; Spark shares its cores among their jobs
+AT_ONCE = 5
+
+
 def prepare_fold(split: DataFrame, features: Sequence[str], flavour: str, fit_on: str) -> tuple[DataFrame, list[str]]:
     """Rows of one fold as clean, norm or pca, fitted on ``all`` rows or on ``train`` rows."""
     if flavour == "clean":
@@ -53,16 +58,20 @@ def cross_validate(
     """Rows ``config_id, fold, split, metric, value`` for the val and test rows of every fold.
 
     ``balance(train)`` may resample the train rows. Every fit reads its rows several times, so the
-    table and the folds are written once before. The predictions of all folds are evaluated together.
+    table and the folds are written once before. Folds are fitted side by side, AT_ONCE at a time, and the
+    predictions of all folds are evaluated together.
     """
     df, folds = settle(df), settle(folds)
-    results = []
-    for fold in range(count):
+
+    def one(fold: int) -> DataFrame:
         split, names = prepare_fold(apply_folds(df, folds, entity, fold), features, flavour, fit_on)
         train = split.where(F.col("split") == "train")
         model = fit(balance(train) if balance else train, names, label)
         held = predict(model, split.where(F.col("split") != "train"), names)
-        results.append(held.select("fold", "split", *map(column, [entity, *order, label]), "yhat"))
+        return held.select("fold", "split", *map(column, [entity, *order, label]), "yhat")
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        results = list(pool.map(one, range(count)))
     predictions = reduce(lambda a, b: a.unionByName(b), results)
     held_out = settle(predictions) if tolerance else predictions
     rows = evaluate(held_out, label, ["fold", "split"], ["fold", "split", entity], order, tolerance)
