@@ -7,9 +7,10 @@ a multi-index join on (item size, block, value) finds all of them. Candidates ar
 similarity: the sum of the lesser shingle counts over the sum of the greater ones, SIMILARITY or more.
 
 At a similarity of 0.8 the expected distance is about 10 bits with a deviation of 3; the radius of 20 leaves room.
-Windows without any shingle of an item have similarity zero, so they are not fingerprinted: a first pass over
-the documents joins their shingles with the items', and the second reads the documents that had a hit. The items'
-shingles are broadcast up to BROADCAST_SHINGLES, beyond that joined by shuffle.
+Only windows that can be similar are fingerprinted: a first pass over the documents joins their shingles with those of
+items of each size, and windows with fewer of them than the similarity needs are left out, which loses none; the
+second pass reads the documents that have windows left. The items' shingles are broadcast up to BROADCAST_SHINGLES,
+the windows' places up to BROADCAST_PLACES, beyond that they are joined by shuffle.
 
 Defined results: null and empty items and documents match nothing; a document with fewer words than an item is
 one window; an item of fewer than SHINGLE words matches the same word sequence; repeated rows of a document
@@ -30,6 +31,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
 BROADCAST_SHINGLES = 400_000
+BROADCAST_PLACES = 1_000_000
 MOST_WORDS = 16_000
 SPACE = r"[\x20\x09-\x0D]+"
 LANES = 0x0001000100010001
@@ -108,12 +110,17 @@ def contaminated(docs: DataFrame, items: DataFrame, radius: int = RADIUS, simila
         hits = runs.join(bounded(wanted.where(F.col("size") == size).drop("size")), "shingle")
         first = F.greatest(F.lit(0), F.col("at") + size - F.col("n_words"))
         last = F.greatest(F.lit(0), F.least(F.col("at"), F.col("long") - F.col("n_words")))
-        starts.append(hits.select("key", "n_words", F.lit(size).alias("size"), F.explode(F.sequence(first, last)).alias("start")).distinct())
+        counted_starts = hits.select("key", "n_words", "long", F.explode(F.sequence(first, last)).alias("start")).groupBy("key", "n_words", "long", "start").agg(F.count(F.lit(1)).alias("shared"))
+        weights = F.col("n_words") - size + 1 + F.least(F.col("n_words"), F.col("long")) - size + 1
+        enough = F.col("shared") >= weights * (similarity / (1 + similarity)) - 1e-6
+        starts.append(counted_starts.where(enough).select("key", F.struct("n_words", F.lit(size).alias("size"), "start").alias("place")))
     none = "key long, doc_id long, item_id long, similarity double, n_windows long, first_word int"
     if not starts:
         return docs.sparkSession.createDataFrame([], none).withColumn("doc_id", F.lit(None).cast(docs.schema[doc_id].dataType))
-    places = settle(reduce(lambda x, y: x.union(y), starts).groupBy("key").agg(F.collect_list(F.struct("n_words", "size", "start")).alias("places")))
-    found = hashed.join(places, "key")
+    places = settle(reduce(lambda x, y: x.union(y), starts).groupBy("key").agg(F.collect_list("place").alias("places")))
+    few = (places.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
+    again = docs.select(document_key(doc_id).alias("key"), F.col(doc_id).alias("doc_id"), "text").join(F.broadcast(places) if few else places, "key")
+    found = again.select("key", "doc_id", "places", F.transform(words(F.col("text")), lambda v: F.xxhash64(v)).alias("h"))
     windows = []
     for size in sorted(counted["sizes"]):
         own = found.select("key", "doc_id", shingle_hashes(F.col("h"), size).alias("all"), F.filter("places", lambda p: p["size"] == size).alias("places"))
@@ -124,12 +131,12 @@ def contaminated(docs: DataFrame, items: DataFrame, radius: int = RADIUS, simila
     left = prints.select("*", F.posexplode(blocks(F.col("fingerprint"), radius)).alias("block", "value"))
     right = known.select("item_id", F.col("n_words").alias("item_words"), "shingles", F.col("fingerprint").alias("item_print"), F.posexplode(blocks(F.col("fingerprint"), radius)).alias("item_block", "item_value"))
     agree = F.zip_with(blocks(F.col("fingerprint"), radius), blocks(F.col("item_print"), radius), lambda x, y: x == y)
-    near = left.join(
-        bounded(right),
-        (F.col("n_words") == F.col("item_words")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value"))
-        & (F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= radius) & (F.array_position(agree, True) == F.col("block") + 1),
-    )
-    scored = near.select("key", "doc_id", "item_id", "start", weighted_similarity(F.col("window"), F.col("shingles")).alias("similarity")).where(F.col("similarity") >= similarity)
+    near = left.join(bounded(right), (F.col("n_words") == F.col("item_words")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")))
+    within = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= radius
+    first_block = F.array_position(agree, True) == F.col("block") + 1  # a pair counts at the first block it agrees in
+    # nested conditions: the costly ones see only what the cheap ones let through
+    verified = F.when(within, F.when(first_block, weighted_similarity(F.col("window"), F.col("shingles"))))
+    scored = near.select("key", "doc_id", "item_id", "start", verified.alias("similarity")).where(F.col("similarity") >= similarity)
     return scored.groupBy("key", "doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.count_distinct("start").alias("n_windows"), F.min("start").alias("first_word"))
 
 
