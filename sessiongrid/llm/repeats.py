@@ -39,6 +39,13 @@ CHUNK = 1 << 19
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what a task holds beside the texts stays small."""
+    for batch in batches:
+        for first in range(0, len(batch), rows):
+            yield batch.slice(first, rows)
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM (a power of two) bytes from each position, as far as there are so many."""
     value, power, size = data.astype(np.uint64) + np.uint64(1), MULTIPLIER, 1
@@ -189,7 +196,7 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for batch in batches:
+        for batch in in_pieces(batches):
             rows, ids, found = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("runs").to_pylist()
             lines = []
             for row, own_id, own_runs, text in zip(rows, ids, found, batch.column("text")):
@@ -272,10 +279,11 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
     spans = marks.union(within_anchor).union(across).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, spans = [], []
+        for batch in in_pieces(batches):
+            kept, spans, sizes = [], [], []
             for text, found in zip(batch.column("text"), batch.column("marks")):
                 raw = text.as_py().encode()
+                sizes.append(len(raw))
                 own = []
                 for mark in sorted((m["start"], m["end"]) for m in (found.as_py() or ())):
                     if own and mark[0] <= own[-1][1]:
@@ -285,7 +293,7 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
                 spans.append([{"start": a, "end": b} for a, b in own])
                 cuts = [0, *(x for span in own for x in span), len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t.as_py().encode()) for t in batch.column("text")], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_bytes", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_bytes", "kept", "spans"])
 
     return texts.join(spans, "row", "left").select("row", "doc_id", "marks", "text").mapInArrow(finish, f"doc_id {kind}, n_bytes bigint, kept binary, spans array<struct<start: int, end: int>>")
 
