@@ -11,7 +11,7 @@ training words, each distinct word once, by expected piece counts from forward a
 rounds on about WARM_WORDS distinct words, and a last round on all of them.
 
 Words are counted over all documents, so what is gathered grows with the corpus. A word's two scores are worked
-out once. Documents then meet them in two ways: the HEAD most frequent words are broadcast, all others
+out once. Documents then meet them in two ways: the most frequent words, at most HEAD, are broadcast, all others
 are joined by the 64-bit hash of the word, and partial sums are added up for each document.
 
 Defined results: a null text is an empty one and has the end alone; without training documents no token is
@@ -245,6 +245,22 @@ def scored_words(words: DataFrame, pieces: Pieces, tokens: int, distinct: int) -
     return words.select("word", "n", "c").mapInArrow(run, "word string, n bigint, c bigint, lattice double")
 
 
+def _steps():
+    """Counts on a logarithmic scale, 16 steps to a doubling."""
+    return F.floor(F.log2(F.col("n").cast("double")) * 16)
+
+
+def least_step(words: DataFrame, head: int) -> int:
+    """The least step such that at most ``head`` words lie at or above it; about a thousand rows are read."""
+    most, total = 1 << 20, 0
+    for r in sorted(words.groupBy(_steps().alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > head:
+            break
+        most = r["step"]
+    return most
+
+
 def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row per document.
 
@@ -266,7 +282,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, vocabulary: str
         pieces = pieces.reweighed(expected_counts(learned, pieces))
     scored = settle(scored_words(words, pieces, tokens, distinct))
     base_of = np.log10(tokens + kinds + 1)
-    frequent = scored.orderBy(F.desc("n"), "word").limit(head).collect()
+    frequent = scored.where(_steps() >= least_step(scored, head)).collect()
     shared = session.sparkContext.broadcast({r["word"].encode(): (r["c"] > 0, np.log10(r["c"] + 1), r["lattice"]) for r in frequent})
     pattern = re.compile(WORD.encode())
     end = (ends > 0, np.log10(ends + 1), float(np.log(ends / tokens)) if ends else 0.0)
