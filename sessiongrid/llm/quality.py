@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
     """Learn from labelled documents outside the held-out remainder."""
     sample, sizes = class_sample(docs, labels, label, modulus, remainder, bound)
     fields = [T.StructField("passages", T.BinaryType())]
-    rows = sorted(map_texts(sample, _features, fields, keep=["doc_id", "__label"]).collect(), key=lambda r: (r["doc_id"], r["__label"], bytes(r["passages"])))
+    rows = sorted(map_texts(sample, _features, fields, keep=["doc_id", "__label"]).collect(), key=lambda r: (r["doc_id"], r["__label"]))
     target = np.array([r["__label"] for r in rows], np.float32)
     if len(set(target)) < 2:
         share = sizes.get(1, 0) / max(1, sum(sizes.values()))

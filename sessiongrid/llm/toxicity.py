@@ -23,7 +23,7 @@ from sessiongrid.llm.texts import Shared, class_sample, crc_bucket, lower_ascii,
 
 ORDERS = (3, 4, 5)
 BITS = 20
-BOUND = 3000
+BOUND = 2000
 FEATURES = 2_000
 LEAST_DOCUMENTS = 4
 THRESHOLD = 0.3
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     """Learn from labelled documents outside the held-out remainder."""
     sample, sizes = class_sample(docs, labels, label, modulus, remainder, bound)
     fields = [T.StructField("buckets", T.BinaryType())]
-    rows = sorted(map_texts(sample, _features, fields, keep=["doc_id", "__label"]).collect(), key=lambda r: (r["doc_id"], r["__label"], bytes(r["buckets"])))
+    rows = sorted(map_texts(sample, _features, fields, keep=["doc_id", "__label"]).collect(), key=lambda r: (r["doc_id"], r["__label"]))
     target = np.array([r["__label"] for r in rows], np.float64)
     if len(set(target)) < 2:
         share = sizes.get(1, 0) / max(1, sum(sizes.values()))
