@@ -15,7 +15,7 @@ the windows' places up to BROADCAST_PLACES, beyond that they are joined by shuff
 Defined results: null and empty items and documents match nothing; a document with fewer words than an item is
 one window; an item of fewer than SHINGLE words matches the same word sequence; repeated rows of a document
 count once; a null id takes part (documents are told apart by a hash of id and text); columns named as an output
-are replaced. Items of more than 16000 words are refused, because a window's counts fill 14 bits.
+are replaced. Counts of windows up to MOST_WORDS words fill 14 bits; those of longer ones are added up in wider lanes.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ BROADCAST_PLACES = 1_000_000
 MOST_WORDS = 16_000
 SPACE = r"[\x20\x09-\x0D]+"
 LANES = 0x0001000100010001
+WIDE_LANES = 0x0000000100000001
 
 
 def words(text: Column) -> Column:
@@ -47,37 +48,71 @@ def shingle_hashes(hashes: Column, size: int) -> Column:
     return F.when(F.size(hashes) >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(shingles: Column, weight: Column) -> Column:
+def simhash(shingles: Column, weight: Column, wide: bool = False) -> Column:
     """Bit b is 1 if it is set in over half of the shingles.
 
     16 sums of four 16-bit lanes count the bits: lane k of sum j counts bit 16 k + j. Adding 0x3FFF minus half of
     the weight carries into bit 14 of a lane where the count is over the half; bit 15 stays free of overflow.
+    With ``wide``, 32 sums of two 32-bit lanes do the same for up to 2^30 - 1 shingles.
     """
+    width, lanes = (32, WIDE_LANES) if wide else (16, LANES)
 
     def lane_counts(j: int) -> Column:
-        return F.aggregate(shingles, F.lit(0).cast("long"), lambda total, s: total + F.shiftrightunsigned(s, j).bitwiseAND(F.lit(LANES)))
+        return F.aggregate(shingles, F.lit(0).cast("long"), lambda total, s: total + F.shiftrightunsigned(s, j).bitwiseAND(F.lit(lanes)))
 
-    push = (F.lit(0x3FFF) - F.floor(weight / 2)).cast("long") * F.lit(LANES)
+    top = width - 2
+    push = (F.lit((1 << top) - 1) - F.floor(weight / 2)).cast("long") * F.lit(lanes)
     bits = []
-    for j in range(16):
-        carried = (lane_counts(j) + push).bitwiseAND(F.lit(0x4000 * LANES))
-        bits.append(F.shiftrightunsigned(carried, 14 - j) if j < 15 else F.shiftleft(carried, 1))
+    for j in range(width):
+        carried = (lane_counts(j) + push).bitwiseAND(F.lit((1 << top) * lanes))
+        bits.append(F.shiftrightunsigned(carried, top - j) if j <= top else F.shiftleft(carried, 1))
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
+def fingerprint(shingles: Column, most: int) -> Column:
+    """The SimHash of windows of up to ``most`` shingles: wide lanes only for those that need them."""
+    narrow = simhash(shingles, F.size(shingles))
+    return narrow if most <= MOST_WORDS else F.when(F.size(shingles) <= MOST_WORDS, narrow).otherwise(simhash(shingles, F.size(shingles), wide=True))
+
+
 def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
     """The values of radius + 1 blocks of nearly equal width."""
     cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
     return F.array(*[F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in zip(cuts, cuts[1:])])
 
 
-def weighted_similarity(a: Column, b: Column) -> Column:
-    """Sum of the lesser over the sum of the greater counts of two arrays of shingles."""
+def _numbered(values: Column) -> Column:
+    """The values with the k-th copy of each told apart, so that the elements are distinct."""
+
+    def bound(value: Column, use) -> Column:  # worked out once, not for each element
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def number(own: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
+
+        def copies(at: Column) -> Column:
+            ends = F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(own)))
+            runs = F.zip_with(at, ends, lambda p, q: F.transform(F.sequence(p, q - 1), lambda i: F.when(i == p, F.get(own, i)).otherwise(F.xxhash64(F.get(own, i), i - p))))
+            return F.flatten(runs)
+
+        return bound(firsts, copies)
+
+    return bound(F.array_sort(values), number)
+
+
+def weighted_similarity(a: Column, b: Column, most: int = 0) -> Column:
+    """Sum of the lesser over the sum of the greater counts of two arrays of shingles.
+
+    Arrays of more than MOST_WORDS, if ``most`` says that there can be such, are compared by their numbered copies,
+    in n log n.
+    """
 
     def times(values: Column, value: Column) -> Column:
         return F.size(F.filter(values, lambda v: v == value))
 
     common = F.aggregate(F.array_distinct(b), F.lit(0), lambda n, s: n + F.least(times(a, s), times(b, s)))
+    if most > MOST_WORDS:
+        common = F.when(F.size(b) > MOST_WORDS, F.size(F.array_intersect(_numbered(a), _numbered(b)))).otherwise(common)
     return common / (F.size(a) + F.size(b) - common)
 
 
@@ -86,7 +121,9 @@ def _shingled_items(items: DataFrame, item_id: str) -> DataFrame:
     sized = split.select("item_id", F.size("w").alias("n_words"), F.least(F.size("w"), F.lit(SHINGLE)).alias("size"), F.transform("w", lambda v: F.xxhash64(v)).alias("h"))
     parts = [sized.where(F.col("size") == k).withColumn("shingles", shingle_hashes(F.col("h"), k)) for k in range(1, SHINGLE + 1)]
     every = reduce(lambda x, y: x.union(y), parts).drop("h").distinct()
-    return settle(every.withColumn("fingerprint", simhash(F.col("shingles"), F.size("shingles"))))
+    every = settle(every)
+    most = every.agg(F.max(F.size("shingles"))).first()[0] or 0
+    return settle(every.withColumn("fingerprint", fingerprint(F.col("shingles"), most)))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
@@ -95,9 +132,8 @@ def contaminated(docs: DataFrame, items: DataFrame, radius: int = RADIUS, simila
     ``key`` is ``document_key``; ``first_word`` is the start of the first of the ``n_windows`` similar windows.
     """
     known = _shingled_items(items, item_id)
-    counted = known.agg(F.sum(F.size("shingles")).alias("n"), F.max("n_words").alias("most"), F.collect_set("size").alias("sizes")).first()
-    if (counted["most"] or 0) > MOST_WORDS:
-        raise ValueError(f"an item has more than {MOST_WORDS} words")
+    counted = known.agg(F.sum(F.size("shingles")).alias("n"), F.max(F.size("shingles")).alias("most"), F.collect_set("size").alias("sizes")).first()
+    most = counted["most"] or 0
 
     def bounded(table: DataFrame) -> DataFrame:
         return F.broadcast(table) if (counted["n"] or 0) <= BROADCAST_SHINGLES else table
@@ -127,7 +163,7 @@ def contaminated(docs: DataFrame, items: DataFrame, radius: int = RADIUS, simila
         each = own.select("key", "doc_id", "all", F.explode("places").alias("p"))
         windows.append(each.select("key", "doc_id", F.col("p.n_words").alias("n_words"), F.col("p.start").alias("start"), F.slice("all", F.col("p.start") + 1, F.col("p.n_words") - size + 1).alias("window")))
     windows = reduce(lambda x, y: x.union(y), windows)
-    prints = windows.withColumn("fingerprint", simhash(F.col("window"), F.size("window")))
+    prints = windows.withColumn("fingerprint", fingerprint(F.col("window"), most))
     left = prints.select("*", F.posexplode(blocks(F.col("fingerprint"), radius)).alias("block", "value"))
     right = known.select("item_id", F.col("n_words").alias("item_words"), "shingles", F.col("fingerprint").alias("item_print"), F.posexplode(blocks(F.col("fingerprint"), radius)).alias("item_block", "item_value"))
     agree = F.zip_with(blocks(F.col("fingerprint"), radius), blocks(F.col("item_print"), radius), lambda x, y: x == y)
@@ -135,7 +171,7 @@ def contaminated(docs: DataFrame, items: DataFrame, radius: int = RADIUS, simila
     within = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= radius
     first_block = F.array_position(agree, True) == F.col("block") + 1  # a pair counts at the first block it agrees in
     # nested conditions: the costly ones see only what the cheap ones let through
-    verified = F.when(within, F.when(first_block, weighted_similarity(F.col("window"), F.col("shingles"))))
+    verified = F.when(within, F.when(first_block, weighted_similarity(F.col("window"), F.col("shingles"), most)))
     scored = near.select("key", "doc_id", "item_id", "start", verified.alias("similarity")).where(F.col("similarity") >= similarity)
     return scored.groupBy("key", "doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.count_distinct("start").alias("n_windows"), F.min("start").alias("first_word"))
 

@@ -102,6 +102,46 @@ def test_decontamination_near_copies(spark):
     assert found.select("doc_id").distinct().count() > len(texts) / 2
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 40, 999])
+def test_wide_lanes_equal_narrow_ones(spark, n):
+    import numpy as np
+
+    rows = [(np.random.default_rng([n, k]).integers(-(2**63), 2**63 - 1, n).tolist(),) for k in range(4)] + [([-1] * n,), ([0] * n,)]
+    table = spark.createDataFrame(rows, "s array<long>")
+    found = table.select(decontamination.simhash(F.col("s"), F.size("s")).alias("narrow"), decontamination.simhash(F.col("s"), F.size("s"), wide=True).alias("wide")).collect()
+    expected = [sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in r[0]) > n) for r in rows]
+    assert [r.narrow % (1 << 64) for r in found] == expected and [r.wide % (1 << 64) for r in found] == expected
+
+
+def test_decontamination_items_beyond_a_narrow_lane(spark):
+    """An item of more than 16000 words, with repeated shingles, beside a short one, against plain counts."""
+    from collections import Counter
+
+    def shingles(own):
+        return Counter(tuple(own[i : i + 5]) for i in range(len(own) - 4))
+
+    def similarities(text, item):
+        own, known = text.split(), item.split()
+        for at in range(max(1, len(own) - len(known) + 1)):
+            a, b = shingles(own[at : at + len(known)]), shingles(known)
+            yield at, (a & b).total() / (a | b).total()
+
+    words = [f"w{i % 15_000}" for i in range(16_500)]
+    changed = [f"changed{i}" if i % 400 == 7 else w for i, w in enumerate(words)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, ITEM)], "item_id long, text string")
+    docs = documents(spark, [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:9_000])), (4, ITEM + " and more"), (5, "before " + " ".join(words) + " after"), (6, " ".join(words[400:]))])
+    found = decontamination.contaminated(docs, items)
+    expected = {}
+    for d in docs.collect():
+        for item in items.collect():
+            near = [(at, v) for at, v in similarities(d.text, item.text) if v >= 0.8]
+            if near:
+                expected[d.doc_id, item.item_id] = (round(max(v for _, v in near), 12), len(near), near[0][0])
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 12), r.n_windows, r.first_word) for r in found.collect()} == expected
+    assert set(expected) == {(1, 1), (2, 1), (4, 2), (5, 1), (6, 1)}
+    assert [r.doc_id for r in decontamination.clean(docs, items).collect()] == [3]
+
+
 def test_decontamination_empty_tables(spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontamination.contaminated(documents(spark, []), items).count() == 0
