@@ -7,8 +7,8 @@ end. Byte pieces cover what no other piece does. A word of the training document
 lattice, from start to end, weighed by its count less DISCOUNT; what the discount takes is the weight of all paths of pieces.
 
 The vocabulary's own scores (merge ranks) give the pieces' first weights, 1 / (rank + RANK_OFFSET). They are fitted to the
-training words, each distinct word once, by expected piece counts from forward and backward sums: WARM_ROUNDS
-rounds on about WARM_WORDS distinct words, and a last round on all of them.
+training words, each distinct word once, by expected piece counts from forward and backward sums: ROUNDS
+rounds, each on all of them.
 
 Words are counted over all documents, so what is gathered grows with the corpus. A word's two scores are worked
 out once. Documents then meet them in two ways: the most frequent words, at most HEAD, are broadcast, all others
@@ -33,14 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessiongrid.llm.texts import WORD, Shared, crc_bucket, hash_share, lower_ascii, text_slices
+from sessiongrid.llm.texts import WORD, Shared, crc_bucket, lower_ascii, text_slices
 from sessiongrid.session import settle
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 RANK_OFFSET = 10.0
 HEAD = 65_536
-WARM_WORDS = 60_000
-WARM_ROUNDS = 3
+ROUNDS = 4
 SMOOTHING = 0.05
 DISCOUNT = 0.75
 WORD_START = "▁"
@@ -276,10 +275,8 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, vocabulary: str
     pieces = read_pieces(vocabulary)
     learned = words.where(F.col("c") > 0)
     if distinct:
-        warm = learned.where(hash_share(F.col("word")) < WARM_WORDS / distinct)
-        for _ in range(WARM_ROUNDS):
-            pieces = pieces.reweighed(expected_counts(warm, pieces))
-        pieces = pieces.reweighed(expected_counts(learned, pieces))
+        for _ in range(ROUNDS):
+            pieces = pieces.reweighed(expected_counts(learned, pieces))
     scored = settle(scored_words(words, pieces, tokens, distinct))
     base_of = np.log10(tokens + kinds + 1)
     frequent = scored.where(_steps() >= least_step(scored, head)).collect()
