@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessiongrid.llm import decontamination, embeddings, language, lattice, mixing, quality, repeats, sharding, simhash, toxicity
+from sessiongrid.llm import (
+    conversations, decontamination, divergence, embeddings, language, lattice, mixing, pieces, quality, repeats, sharding, simhash, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +88,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs)
     found = language.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return language.held_out(found).select("doc_id", "held_out", "lang_pred", "score", "languages", "proportions")
+
+
+@query(divergence.audit_sql())
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = load(spark, sf_dir, "conversations")
+    told, turns = conversations.repaired(conversations.damaged(original), original)
+    return conversations.digest(turns, told)
+
+
+@query()
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces.encode(load(spark, sf_dir, "documents"), model, keep=["doc_id"])
+    return pieces.digest(pieces.decode(encoded, model), ["doc_id"])

@@ -32,6 +32,14 @@ class Shared:
         return self.model
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it until no column has it; names differ in more than case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
