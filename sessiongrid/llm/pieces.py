@@ -35,7 +35,9 @@ from sessiongrid.llm.texts import Shared, free_name, text_slices
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-PARTS_KEPT = 500_000
+PARTS_KEPT = 200_000
+#: texts are worked on in pieces of about so many bytes
+SLICE = 1 << 18
 #: parts of more characters are merged one by one with a queue
 LONG = 64
 #: two ids or a rank and an id are one number
@@ -409,23 +411,31 @@ def read_model(path: str) -> PieceModel:
     )
 
 
-def encode(docs: DataFrame, model: PieceModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Kept columns with ``ids`` and, for each id, ``begins`` and ``ends``: the bytes of the source text it stands for."""
+def encode(docs: DataFrame, model: PieceModel, text: str = "text", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """Kept columns with ``ids`` and, for each id, ``begins`` and ``ends``: the bytes of the source text it stands for.
+
+    ``decoded`` names a further column with the text that :func:`decode` gives for the ids, worked out in the same pass.
+    """
     new = ["ids", "begins", "ends"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in [*new, decoded]]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, T.ArrayType(T.IntegerType())) for n in new])
+    if decoded:
+        schema.add(decoded, T.StringType())
     shared = Shared(docs.sparkSession, model)
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
         for batch in batches:
-            for first, last, data, offsets in text_slices(batch.column(len(kept))):
+            for first, last, data, offsets in text_slices(batch.column(len(kept)), SLICE):
                 raw = data.tobytes()
                 *found, counts = pieces.encode([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
-                ends = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+                stops = np.append(0, np.cumsum(counts)).astype(np.int32)
                 columns = [batch.column(i).slice(first, last - first) for i in range(len(kept))]
-                columns += [pa.ListArray.from_arrays(ends, pa.array(f.astype(np.int32))).cast(out.field(n).type) for f, n in zip(found, new)]
+                columns += [pa.ListArray.from_arrays(pa.array(stops), pa.array(f.astype(np.int32))).cast(out.field(n).type) for f, n in zip(found, new)]
+                if decoded:
+                    ids, bounds = found[0].tolist(), stops.tolist()
+                    columns.append(pa.array([pieces.decode(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], out.field(decoded).type))
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(free_name("__text", kept))).mapInArrow(run, schema)

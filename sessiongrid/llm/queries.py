@@ -107,5 +107,4 @@ def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = pieces.encode(load(spark, sf_dir, "documents"), model, keep=["doc_id"])
-    return pieces.digest(pieces.decode(encoded, model), ["doc_id"])
+    return pieces.digest(pieces.encode(load(spark, sf_dir, "documents"), model, keep=["doc_id"], decoded="decoded"), ["doc_id"])

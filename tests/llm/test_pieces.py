@@ -113,6 +113,7 @@ def test_round_trip_with_odd_rows(spark, model, odd_texts):
         docs = docs.withColumn(name, F.lit("extra"))
     rows = pieces.decode(pieces.encode(docs, model), model).collect()
     assert len(rows) == len(odd_texts) and {"begins", "ends", "decoded", "n_tokens"} <= set(rows[0].asDict())
+    assert sorted(map(str, rows)) == sorted(map(str, pieces.encode(docs, model, decoded="decoded").collect()))
     for r in rows:
         assert r.decoded == (r.text or "").replace("▁", " ") and len(r.ids) == len(r.begins) == len(r.ends)
         assert bool(r.ids) == bool(r.text)
