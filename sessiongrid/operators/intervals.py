@@ -1,8 +1,9 @@
 """Interval predicates, labels and lookups.
 
 No operator here pairs points with intervals. Containment is a running maximum of interval ends;
-"which interval wins at this time" is first solved on the interval side alone, as a step function,
-and then looked up by an as-of pass.
+"which interval wins at this time" is first solved on the interval side alone, as a step function.
+The steps are then looked up: in a broadcast index if they are measured to be small (:mod:`lookup`), so that points
+stay where they lie, else by an as-of pass over both sides. ``index`` forces one or the other; ``blocks`` asks for the pass.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessiongrid.operators.asof import asof_join, interleave, plan_times
+from sessiongrid.operators.lookup import INDEX_BYTES, fits, look_up, winners
 from sessiongrid.operators.ordered import Blocks, column, over_neighbours, plan_blocks, row_index, running
 
 
@@ -28,6 +30,7 @@ def mark_contained(
     name: str = "contained",
     half_open: bool = False,
     blocks: Blocks | None = None,
+    index: bool | None = None,
 ) -> DataFrame:
     """Flag rows whose ``[start, end]`` lies inside at least one interval of the same keys.
 
@@ -36,6 +39,15 @@ def mark_contained(
     """
     reach = column(interval_end).alias("_reach")
     usable = intervals.where(column(interval_start) <= column(interval_end))
+    if index is None:
+        index = blocks is None and fits(usable, [*keys, interval_start, interval_end])
+    if index:
+        ends = usable.groupBy(*map(column, keys), column(interval_start).alias("_time")).agg(F.max(column(interval_end)).alias("_end"))
+        so_far = W.partitionBy(*map(column, keys)).orderBy("_time").rowsBetween(W.unboundedPreceding, 0)
+        steps = ends.select(*map(column, keys), "_time", F.lit(0).alias("_side"), F.max("_end").over(so_far).alias("_hit"))
+        found = look_up(rows, steps, keys, start, "_reach", side=0)
+        reached = F.col("_reach") > column(end) if half_open else F.col("_reach") >= column(end)
+        return found.select(*[column(c) for c in rows.columns], F.coalesce(reached, F.lit(False)).alias(name))
     both = interleave(rows, usable, keys, start, interval_start, [reach], 1, 0)
     if blocks is None:
         blocks = plan_times(rows, usable, start, interval_start)
@@ -201,11 +213,19 @@ def lookup_interval(
     take: Sequence[str],
     pick: str = "last",
     blocks: Blocks | None = None,
+    index: bool | None = None,
 ) -> DataFrame:
     """Each point with the ``take`` columns of the first or last matching interval, or nulls.
 
     ``priority`` is unique per entity; both interval ends are included.
     """
+    if pick not in ("first", "last"):
+        raise ValueError(f"pick must be first or last, not {pick}")
+    if index is None:
+        index = blocks is None and fits(intervals, list(dict.fromkeys([*keys, start, end, priority, *take])), INDEX_BYTES // 2)
+    if index:
+        found = look_up(points, winners(intervals, keys, start, end, priority, take, pick), keys, time)
+        return found.select(*[column(c) for c in points.columns], *[F.col("_hit")[c].alias(c) for c in take])
     if blocks is None:
         ends = intervals.select(F.explode(F.array(column(start), column(end))).alias("_time"))
         blocks = plan_blocks(points.select(column(time).alias("_time")).unionByName(ends), "_time")
@@ -220,7 +240,7 @@ def lookup_interval(
 
 def multiclass_label(
     points: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str,
-    name: str = "multiclass_label", blocks: Blocks | None = None,
+    name: str = "multiclass_label", blocks: Blocks | None = None, index: bool | None = None,
 ) -> DataFrame:
     """Number k of the first interval ``(k, start, end)`` holding the time, 0 if none.
 
@@ -231,9 +251,19 @@ def multiclass_label(
     def previous(window: W) -> dict[str, Column]:
         return {"_previous": F.when(F.lag("k").over(window) == column("k") - 1, F.lag("end").over(window))}
 
-    joined = over_neighbours(intervals, keys, ["k"], 1, 0, previous)
+    if index is None:
+        index = blocks is None and fits(intervals, [*keys, "k", "start", "end"])
+    if index:
+        joined = intervals.withColumns(previous(W.partitionBy(*map(column, keys)).orderBy("k")))
+    else:
+        joined = over_neighbours(intervals, keys, ["k"], 1, 0, previous)
     shared = F.coalesce(F.col("_previous") == column("start"), F.lit(False))
     hit = F.struct(column("k").cast("int").alias("k"), column("end").alias("end")).alias("_hit")
+    if index:
+        steps = joined.select(*map(column, keys), column("start").alias("_time"), F.when(shared, 2).otherwise(0).alias("_side"), hit)
+        found = look_up(points, steps, keys, time)
+        label = F.coalesce(F.when(column(time) <= F.col("_hit.end"), F.col("_hit.k")), F.lit(0))
+        return found.select(*map(column, points.columns), label.alias(name))
     both = interleave(points, joined, keys, time, "start", [hit], 1, F.when(shared, 2).otherwise(0))
     if blocks is None:
         blocks = plan_times(points, intervals, time, "start")
