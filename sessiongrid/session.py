@@ -49,3 +49,34 @@ def settle(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Settled tables of one piece of work, deleted at its end or before by :meth:`drop`.
+
+    What is returned from inside the ``with`` block must not read them: settle it for itself. Deleting goes through
+    Spark's file systems, so the folder may be in any store.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for table, _ in list(self.paths.values()):
+            self.drop(table)
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = table, path
+        return table
+
+    def drop(self, table: DataFrame) -> None:
+        _, path = self.paths.pop(id(table))
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
