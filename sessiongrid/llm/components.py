@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,12 @@ def _signature(links: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, settle: Callable[[DataFrame], DataFrame] = settle) -> DataFrame:
     """(node, root): the least node reachable, for every node with an edge to another node.
 
     Each round links the larger neighbours of every node to its least neighbour, then all its smaller
     neighbours to the least; rounds grow with the logarithm of the component size. Every round is written
-    to the shared folder, so a lost executor costs a part of one round. Null ends and loops are ignored.
+    to the shared folder by ``settle``, so a lost executor costs a part of one round. Null ends and loops are ignored.
     """
     links = settle(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = _signature(links)
