@@ -14,16 +14,19 @@ from sessiongrid.operators.ordered import column
 
 # Fixed value: a cue's time line.
 CUE_TIMES = r"([\d:.]+)\s+-->\s+([\d:.]+)"
+#: a caption file is read as one value up to this length
+MOST_BYTES = 256 << 20
 
 
 def parse_captions(documents: DataFrame, content: str = "content", keep: Sequence[str] = ("participant",)) -> DataFrame:
     """Whole caption texts to rows ``keep…, seq, start_time, end_time, text``.
 
-    Cues are separated by blank lines; the speaker before the last colon is cut off.
+    A cue runs from its time line to the next blank line or time line, whichever comes first, so cues without a blank line between
+    them and any line ends are read. The speaker before the last colon is cut off.
     """
-    blocks = F.split(F.replace(column(content), F.lit("\r"), F.lit("")), r"\n[ \t]*\n")
-    cues = documents.select(*map(column, keep), F.posexplode(blocks).alias("_place", "_cue"))
-    said = F.regexp_extract(F.col("_cue"), CUE_TIMES + r"[^\n]*\n?([\s\S]*)$", 3)
+    plain = F.regexp_replace(column(content), r"\r\n?", "\n")
+    cues = documents.select(*map(column, keep), F.posexplode(F.split(plain, r"(?m)(?=^[ \t]*" + CUE_TIMES + ")")).alias("_place", "_cue"))
+    said = F.regexp_extract(F.split(F.col("_cue"), r"\n[ \t]*(?:\n|$)")[0], CUE_TIMES + r"[^\n]*\n?([\s\S]*)$", 3)
     return (
         cues.where(F.col("_cue").rlike(CUE_TIMES))
         .select(
@@ -36,11 +39,18 @@ def parse_captions(documents: DataFrame, content: str = "content", keep: Sequenc
     )
 
 
-def read_captions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    documents = spark.read.text(paths, wholetext=True).select(
-        file_stem(F.col("_metadata.file_name")).alias("participant"), F.col("value").alias("content")
-    )
-    return parse_captions(documents)
+def read_captions(spark: SparkSession, paths: str | Sequence[str], most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Cues of caption files, one a participant: the name of its folder ``participant=…``, or else of the file.
+
+    A file is one value, so files above ``most_bytes`` are refused before any is read; only their lengths are looked at.
+    """
+    lengths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length")
+    large = lengths.where(F.col("length") > most_bytes).first()
+    if large is not None:
+        raise ValueError(f"{large['path']} has {large['length']} bytes; cut caption files above {most_bytes} bytes")
+    read = spark.read.text(paths, wholetext=True)
+    named = column("participant") if "participant" in read.columns else file_stem(F.col("_metadata.file_name"))
+    return parse_captions(read.select(named.alias("participant"), F.col("value").alias("content")))
 
 
 def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], list[list[float]]], name: str = "embedding") -> DataFrame:

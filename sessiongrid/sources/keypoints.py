@@ -14,13 +14,26 @@ from sessiongrid.operators.ordered import column
 DOCUMENT = "people ARRAY<STRUCT<pose_keypoints_2d: ARRAY<DOUBLE>>>"
 
 
-def read_keypoints(spark: SparkSession, paths: str | Sequence[str], entity_pattern: str = r"^([^_]+)") -> DataFrame:
-    """Rows ``participant, frame, keypoints``; a frame without people has null keypoints."""
-    read = spark.read.schema(DOCUMENT).option("multiLine", True).json(paths)
+def read_keypoints(
+    spark: SparkSession, paths: str | Sequence[str], entity_pattern: str = r"^([^_]+)", broken: str = "null"
+) -> DataFrame:
+    """Rows ``participant, frame, keypoints``, one a document; a frame without people has null keypoints.
+
+    Keys are those of folders ``participant=…/frame=…`` if there are any, else parts of the file name. A document
+    that cannot be read has null keypoints too, or is left out (``broken="drop"``), or ends the work (``"fail"``). Small files
+    are packed into tasks by the reader.
+    """
+    if broken not in ("null", "drop", "fail"):
+        raise ValueError(f"broken must be null, drop or fail, not {broken}")
+    mode = {"null": "PERMISSIVE", "drop": "DROPMALFORMED", "fail": "FAILFAST"}[broken]
+    read = spark.read.schema(DOCUMENT).options(multiLine=True, mode=mode).json(paths)
+    foldered = {"participant", "frame"} <= set(spark.read.text(paths).columns)
+    if foldered:
+        read = spark.read.schema(f"{DOCUMENT}, participant STRING, frame INT").options(multiLine=True, mode=mode).json(paths)
     name = F.col("_metadata.file_name")
     return read.select(
-        F.regexp_extract(name, entity_pattern, 1).alias("participant"),
-        frame_of_name(name).alias("frame"),
+        (column("participant") if foldered else F.regexp_extract(name, entity_pattern, 1)).alias("participant"),
+        (column("frame") if foldered else frame_of_name(name)).alias("frame"),
         F.get(F.col("people"), 0)["pose_keypoints_2d"].alias("keypoints"),
     )
 

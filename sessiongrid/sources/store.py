@@ -39,11 +39,15 @@ def read_vectors(spark: SparkSession, path: str, wanted: DataFrame | None = None
     return stored if wanted is None else wanted.join(stored, list(keys), "left")
 
 
-def list_media(spark: SparkSession, path: str, suffix: str = "wav") -> DataFrame:
-    """File, stem, length and time of media files; contents are not read."""
+def list_media(spark: SparkSession, path: str, suffix: str = "wav", stem_pattern: str | None = None) -> DataFrame:
+    """File, stem, length and time of media files; contents are not read.
+
+    The stem is the file's name without its ending, or the first group of ``stem_pattern`` in its path.
+    """
     files = spark.read.format("binaryFile").options(pathGlobFilter=f"*.{suffix}", recursiveFileLookup=True).load(path)
     return files.select(
-        F.col("path").alias("file"), file_stem(F.col("path")).alias("stem"), "length", "modificationTime"
+        F.col("path").alias("file"), (F.regexp_extract("path", stem_pattern, 1) if stem_pattern else file_stem(F.col("path"))).alias("stem"),
+        "length", "modificationTime",
     )
 
 
