@@ -25,6 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessiongrid.llm.texts import free_name
 from sessiongrid.session import settle
 
 SHINGLE = 5
@@ -182,8 +183,9 @@ def document_key(doc_id: str = "doc_id") -> Column:
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The documents without any window similar to an item, with all their columns."""
-    keys = settle(contaminated(docs, items, doc_id=doc_id).select(F.col("key").alias("__key")).distinct())
-    return docs.join(keys, document_key(doc_id) == F.col("__key"), "left_anti")
+    name = free_name("__key", docs.columns)
+    keys = settle(contaminated(docs, items, doc_id=doc_id).select(F.col("key").alias(name)).distinct())
+    return docs.join(keys, document_key(doc_id) == F.col(name), "left_anti")
 
 
 def contaminated_sql(documents: str = "documents", benchmark: str = "benchmark") -> str:

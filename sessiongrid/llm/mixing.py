@@ -64,9 +64,12 @@ def with_distribution(table: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """The replicated documents with ``copy`` (from 0) and ``position`` (the number they are shuffled by)."""
     table = with_distribution(rates(docs, weights, source)).select(F.col("source").alias("__source"), "draws", "below")
-    kept = [c for c in docs.columns if c not in ("copy", "position")]
+    # the document is one value on the way, so its columns may have any names
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "position")]).alias("__doc")
+    kept = ["__doc"]
     own = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))]
-    drawn = docs.select(*kept, F.md5(F.concat_ws("|", F.lit(str(seed)), *own)).alias("__own")).join(table, F.col(source).eqNullSafe(F.col("__source")))
+    packed = docs.select(whole, F.col(source).alias("__from"), F.md5(F.concat_ws("|", F.lit(str(seed)), *own)).alias("__own"))
+    drawn = packed.join(table, F.col("__from").eqNullSafe(F.col("__source")))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("draws")), F.lit(0),
         lambda n, k: n + F.aggregate(F.transform("below", lambda b: (b < unit(F.col("__own"), k.cast("string"))).cast("int")), F.lit(0), lambda x, y: x + y),
@@ -74,7 +77,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SE
     copies = drawn.select(*kept, "__own", count.alias("__count")).where(F.col("__count") > 0)
     copies = copies.select(*kept, "__own", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)).alias("copy"))
     placed = copies.select(*kept, "copy", unit(F.col("__own"), F.lit("copy"), F.col("copy").cast("string")).alias("position"))
-    return placed.repartition("position").sortWithinPartitions("position")
+    return placed.repartition("position").sortWithinPartitions("position").select("__doc.*", "copy", "position")
 
 
 def mix_sql(documents: str = "documents") -> str:

@@ -47,9 +47,11 @@ def _directory(hashed: DataFrame, start: int, depth: int, limit: int) -> tuple[D
 def assign(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with ``shard`` (its bits, and ``-part`` beyond the first), ``depth``, ``n_bytes`` and ``shard_bytes``."""
     outputs = ("shard", "depth", "n_bytes", "shard_bytes")
-    kept = [c for c in docs.columns if c not in outputs]
+    # the document is one value on the way, so its columns may have any names
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in outputs]).alias("__doc")
+    kept = ["__doc"]
     own = F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))))
-    hashed = docs.withColumn("hash", F.conv(F.substring(own, 1, 15), 16, 10).cast("long")).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    hashed = docs.select(whole, F.conv(F.substring(own, 1, 15), 16, 10).cast("long").alias("hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     sizes = settle(hashed.groupBy("hash").agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n")))
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
     start, depth = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + AHEAD)
@@ -71,7 +73,7 @@ def assign(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id") -> DataF
     over = F.col("one") & (F.col("shard_bytes") > limit) & (F.col("shard_bytes") > F.col("n_bytes"))
     plain = placed.withColumn("shard", name)
     if sizes.where((F.col("n_bytes") > limit) & (F.col("n") > 1)).isEmpty():
-        return plain.select(*kept, *outputs)
+        return plain.select("__doc.*", *outputs)
     # equal rows beyond the limit: numbered within partitions, offset by the counts of the partitions before
     crowd = settle(plain.where(over).withColumn("__at", F.spark_partition_id()))
     counts = crowd.groupBy("hash", "__at").agg(F.count(F.lit(1)).alias("__n"))
@@ -81,7 +83,7 @@ def assign(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id") -> DataF
     numbered = crowd.withColumn("__number", number).join(before, ["hash", "__at"]).withColumn("__row", F.col("__number") + F.col("__before")).withColumn("__part", F.floor(F.col("__row") / each))
     parts = numbered.withColumn("shard", F.when(F.col("__part") > 0, F.concat("shard", F.lit("-"), F.col("__part").cast("string"))).otherwise(F.col("shard")))
     parts = parts.withColumn("shard_bytes", (F.least(each, F.col("__all") - F.col("__part") * each) * F.col("n_bytes")).cast("long"))
-    return plain.where(~over).select(*kept, *outputs).union(parts.select(*kept, *outputs))
+    return plain.where(~over).select("__doc.*", *outputs).union(parts.select("__doc.*", *outputs))
 
 
 def assign_sql(documents: str = "documents", limit: int = LIMIT) -> str:

@@ -79,14 +79,14 @@ def map_texts(df: DataFrame, work: Callable[[np.ndarray, np.ndarray], dict], fie
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = [work(data, offsets) for _, _, data, offsets in text_slices(batch.column("__text"))]
-            columns = [batch.column(c) for c in kept]
+            pieces = [work(data, offsets) for _, _, data, offsets in text_slices(batch.column(len(kept)))]
+            columns = [batch.column(i) for i in range(len(kept))]
             for f in fields:
                 parts = [pa.array(p[f.name], out.field(f.name).type) for p in pieces]
                 columns.append(pa.concat_arrays(parts) if parts else pa.array([], out.field(f.name).type))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return df.select(*[F.col(c) for c in kept], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*[F.col(c) for c in kept], F.col(text).cast("string").alias(free_name("__text", kept))).mapInArrow(run, schema)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
