@@ -1,8 +1,8 @@
-"""Caption files (WebVTT) to timed rows, and a hook for a text encoder."""
+"""Caption files (WebVTT) to timed rows, and hooks for a text encoder."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sessiongrid.functions.clock import clock_seconds
 from sessiongrid.functions.text import after_last_colon, file_stem
 from sessiongrid.operators.ordered import column
+from sessiongrid.session import settle
 
 # Fixed value: a cue's time line.
 CUE_TIMES = r"([\d:.]+)\s+-->\s+([\d:.]+)"
@@ -63,6 +64,32 @@ def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], list[list[fl
     return df.withColumn(name, vectors(column(text)))
 
 
+def encode_distinct(
+    df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], name: str = "embedding",
+    batch: int = 256, tasks: int | None = None,
+) -> DataFrame:
+    """Add vectors from an encoder that ``load()`` makes once a task and that sees each distinct text once.
+
+    Rows and vectors meet by the text's md5. A null text is encoded as the empty one. ``tasks`` spreads the distinct texts;
+    the vectors are written once, so a lost executor costs a lookup and no second encoding. A column called ``name`` is replaced.
+    """
+    said = F.coalesce(column(text), F.lit(""))
+    keyed = df.withColumn("_text_key", F.md5(said))
+    texts = keyed.groupBy("_text_key").agg(F.first(said).alias("_text"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = load()
+        for part in parts:
+            for at in range(0, len(part), batch):
+                some = part.iloc[at : at + batch]
+                yield pd.DataFrame({"_text_key": some["_text_key"].tolist(), "_vector": [list(v) for v in encoder(some["_text"].tolist())]})
+
+    spread = texts if tasks is None else texts.repartition(tasks, "_text_key")
+    vectors = settle(spread.mapInPandas(run, "_text_key string, _vector array<float>"))
+    kept = [column(c) for c in df.columns if c != name]
+    return keyed.join(vectors, "_text_key", "left").select(*kept, F.col("_vector").alias(name))
+
+
 def rttm_fields(line: Column) -> list[Column]:
     """Speaker, start, end and duration of a diarisation text line."""
     part = F.split(F.trim(line), r"\s+")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessiongrid.functions.text import file_stem
@@ -39,6 +39,42 @@ def read_vectors(spark: SparkSession, path: str, wanted: DataFrame | None = None
     return stored if wanted is None else wanted.join(stored, list(keys), "left")
 
 
+BUCKETS = "buckets_of_"
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*map(column, keys)), F.lit(buckets)).cast("int")
+
+
+def write_vectors_by_key(
+    df: DataFrame, path: str, keys: Sequence[str], vector: str, buckets: int = 256, mode: str = "error", rows_per_file: int = 1_000_000
+) -> None:
+    """Vectors in folders by a hash of their keys, so that a lookup opens the folders of its keys alone.
+
+    Rows are dealt by ranges of (folder, keys), not by folder, so a task's share does not depend on how even the folders are;
+    a file is sorted by its keys. Choose ``buckets`` so that a folder has a few files; the reader sees the number in the folders' names.
+    """
+    place = f"{BUCKETS}{buckets}"
+    rows = df.select(*map(column, keys), column(vector).cast("array<float>").alias(vector)).withColumn(place, _bucket(keys, buckets))
+    order = [place, *keys]
+    dealt = rows.repartitionByRange(*map(column, order)).sortWithinPartitions(*map(column, order))
+    dealt.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(place).parquet(path)
+
+
+def lookup_vectors(wanted: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``wanted`` with the vectors of their keys, null where there is none; other folders are not read.
+
+    Only the numbers of the folders reach the driver, which are at most as many as there are folders. The keys are
+    brought to the types they are stored in; a column of ``wanted`` named as the vector is replaced.
+    """
+    stored = wanted.sparkSession.read.parquet(path)
+    place = next(c for c in stored.columns if c.startswith(BUCKETS))
+    typed = wanted.withColumns({k: column(k).cast(stored.schema[k].dataType) for k in keys})
+    folders = typed.select(_bucket(keys, int(place.removeprefix(BUCKETS))).alias("n")).distinct().collect()
+    rows = stored.where(column(place).isin([r["n"] for r in folders])).drop(place)
+    return typed.drop(*set(rows.columns).difference(keys)).join(rows, list(keys), "left")
+
+
 def list_media(spark: SparkSession, path: str, suffix: str = "wav", stem_pattern: str | None = None) -> DataFrame:
     """File, stem, length and time of media files; contents are not read.
 
