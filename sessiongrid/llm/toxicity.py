@@ -3,7 +3,7 @@
 Fitting takes a bounded sample of labelled documents (``bound``, about half of each class, weighted back to
 the classes' real sizes); scoring reads every whole text. A feature is the presence of a byte n-gram, hashed
 to 2^BITS buckets; its value is the log ratio of its smoothed shares in toxic and other documents, and a
-logistic regression with an L2 term weighs the FEATURES scaled features whose shares differ most surely.
+logistic regression with an L2 term weighs all scaled features whose shares differ by SIGNIFICANT standard deviations.
 
 Defined results: a null text scores as an empty one; without labels of both classes every score is the share
 of toxic labels (0 where there are none); repeated rows score alike; columns named as an output are replaced.
@@ -11,21 +11,28 @@ of toxic labels (0 where there are none); repeated rows score alike; columns nam
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessiongrid.llm.texts import Shared, class_sample, crc_bucket, lower_ascii, map_texts, ngram_buckets, text_of_byte
+from sessiongrid.session import settle
 
 ORDERS = (3, 4, 5)
 BITS = 20
-BOUND = 2000
-FEATURES = 2_000
-LEAST_DOCUMENTS = 4
+BOUND = 3000
+#: standard deviations from which the shares of an n-gram in the classes differ surely
+SIGNIFICANT = 4.0
+PENALTY = 1.0
+ROUNDS = 100
+TASKS = 8
 THRESHOLD = 0.3
 
 
@@ -49,57 +56,66 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> dict:
     return {"buckets": pa.array([part.astype(np.uint32).tobytes() for part in np.split(code & (1 << BITS) - 1, cuts)], pa.binary())}
 
 
-def log_count_ratios(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Log ratio of the add-one smoothed shares of each bucket among toxic and other documents."""
-    return np.log((1 + toxic) / (1 + toxic).sum()) - np.log((1 + other) / (1 + other).sum())
-
-
-def share_deviation(documents: np.ndarray, others: float, toxic: float) -> np.ndarray:
-    """By how many standard deviations the two classes' shares of documents with a bucket differ."""
-    pooled = documents.sum(0) / (others + toxic)
-    return np.abs(documents[1] / toxic - documents[0] / others) / np.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / others) + 1e-12)
-
-
-def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, target: np.ndarray, weight: np.ndarray, columns: int, penalty: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on sparse rows, by Adam on the whole sample."""
-    theta, first, second = np.zeros(columns + 1), np.zeros(columns + 1), np.zeros(columns + 1)
-    weight = weight / weight.sum()
-    for step in range(1, rounds + 1):
-        margin = np.bincount(row, value * theta[column], len(target)) + theta[-1]
-        error = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target)
-        slope = np.append(np.bincount(column, value * error[row], columns) + penalty / len(target) * theta[:-1], error.sum())
-        first = 0.9 * first + 0.1 * slope
-        second = 0.999 * second + 0.001 * slope**2
-        theta -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return theta[:-1], float(theta[-1])
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, bound: int = BOUND) -> Model:
-    """Learn from labelled documents outside the held-out remainder."""
-    sample, sizes = class_sample(docs, labels, label, modulus, remainder, bound)
-    fields = [T.StructField("buckets", T.BinaryType())]
-    rows = sorted(map_texts(sample, _features, fields, keep=["doc_id", "__label"]).collect(), key=lambda r: (r["doc_id"], r["__label"]))
-    target = np.array([r["__label"] for r in rows], np.float64)
-    if len(set(target)) < 2:
+def bucket_counts(sample: DataFrame) -> DataFrame:
+    """(bucket, toxic, other): in how many documents of each class a bucket is, added up within each task before it is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            for kind, held in zip(batch.column("__label").to_pylist(), batch.column("buckets")):
+                documents[kind, np.frombuffer(held.as_buffer(), np.uint32)] += 1  # distinct within a document
+        bucket = np.flatnonzero(documents.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(documents[1, bucket]), pa.array(documents[0, bucket])], names=["bucket", "toxic", "other"])
+
+    counted = sample.select("__label", "buckets").mapInArrow(run, "bucket long, toxic long, other long")
+    return counted.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+
+
+def significant_buckets(counts: DataFrame, toxic: int, other: int, limit: float = SIGNIFICANT) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets whose shares in the classes differ by ``limit`` standard deviations or more, sorted, and their log-count ratios.
+
+    All of them, at most 2^BITS, whatever the sample's size; the counts of a class are brought to half of the sample.
+    """
+    half = (toxic + other) / 2
+    totals = counts.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).first()
+    pooled = (F.col("toxic") + F.col("other")) / F.lit(toxic + other)
+    apart = F.abs(F.col("toxic") / F.lit(toxic) - F.col("other") / F.lit(other))
+    sure = apart >= F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / other)) * limit
+    chosen = counts.where(sure & (apart > 0)).toArrow().sort_by("bucket")
+    bucket, one, two = (chosen.column(c).to_numpy() for c in ("bucket", "toxic", "other"))
+    every = 1 << BITS
+    ratio = np.log((1 + one * half / toxic) / (every + totals["toxic"] * half / toxic)) - np.log((1 + two * half / other) / (every + totals["other"] * half / other))
+    return bucket.astype(np.int64), ratio
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, bound: int = BOUND, limit: float = SIGNIFICANT) -> Model:
+    """Learn from labelled documents outside the held-out remainder.
+
+    The n-grams of the sample stay in a table; counts and the regression's slopes are summed by Spark, so the driver holds weights
+    alone, however long the texts are.
+    """
+    found, sizes = class_sample(docs, labels, label, modulus, remainder, bound)
+    sample = settle(map_texts(found, _features, [T.StructField("buckets", T.BinaryType())], keep=["__label"]).repartition(TASKS))
+    many = {r["__label"]: r["n"] for r in sample.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(many) < 2:
         share = sizes.get(1, 0) / max(1, sum(sizes.values()))
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    weight = np.where(target == 1, sizes[1] / target.sum(), sizes[0] / (len(target) - target.sum()))
-    each = [np.frombuffer(r["buckets"], np.uint32) for r in rows]
-    documents = np.zeros((2, 1 << BITS))
-    for kind, found in zip(target.astype(int), each):
-        documents[kind, found] += 1  # distinct within a document
-    scale = len(rows) / 2 / np.array([[len(rows) - target.sum()], [target.sum()]])
-    ratio = log_count_ratios(documents[1] * scale[1], documents[0] * scale[0])
-    strength = np.where(documents.sum(0) >= LEAST_DOCUMENTS, share_deviation(documents, len(rows) - target.sum(), target.sum()), 0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-    chosen = chosen[strength[chosen] > 0]
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen), dtype=np.int32)
-    columns = [c[c >= 0] for c in (place[found] for found in each)]
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns])
-    column = np.concatenate(columns)
-    weights, intercept = logistic(row, column, ratio[chosen][column], target, weight, len(chosen))
-    return Model(chosen, weights * ratio[chosen], intercept)
+    bucket, ratio = significant_buckets(settle(bucket_counts(sample)), many[1], many[0], limit)
+    if not len(bucket):
+        return Model(bucket, np.zeros(0), float(np.log(sizes[1] / sizes[0])))
+    shared = Shared(docs.sparkSession, (bucket, ratio))
+
+    @F.udf(VectorUDT())
+    def scaled(held: bytes) -> SparseVector:
+        buckets, ratios = shared.value
+        own = np.flatnonzero(np.isin(buckets, np.frombuffer(held, np.uint32), assume_unique=True))
+        return SparseVector(len(buckets), own, ratios[own])
+
+    weight = F.when(F.col("__label") == 1, F.lit(sizes[1] / many[1])).otherwise(F.lit(sizes[0] / many[0]))
+    rows = settle(sample.select(F.col("__label").cast("double").alias("label"), weight.alias("weight"), scaled("buckets").alias("features")))
+    regression = LogisticRegression(weightCol="weight", regParam=PENALTY / sum(many.values()), standardization=False, maxIter=ROUNDS)
+    model = regression.fit(rows)
+    return Model(bucket, model.coefficients.toArray() * ratio, float(model.intercept))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
