@@ -110,9 +110,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
             bucket, fits = next(ngram_buckets(low, offsets, (3,), BITS))
             logs = m.log_share[bucket]
             logs[~fits] = 0
+            whose = text_of_byte(offsets)
+            opening = np.full(texts, len(low))
+            np.minimum.at(opening, whose[words], words)
+            logs[np.arange(len(low)) < opening[whose]] = 0  # what precedes a text's first word is no part of the word before it
             each = TEMPER * np.add.reduceat(logs, words).astype(np.float64)
             top = each.max(1)
-            owner = text_of_byte(offsets)[words]
+            owner = whose[words]
             there, firsts, sizes = np.unique(owner, return_index=True, return_counts=True)
             proportions[there] = mixtures(np.exp(each - top[:, None]), top, np.repeat(np.arange(len(there)), sizes), firsts, sizes)
         chosen = proportions.argmax(1)
