@@ -74,25 +74,29 @@ def attend(x: np.ndarray, firsts: np.ndarray, counts: np.ndarray, w: dict[str, n
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "margin": z @ w["out"] + w["out_bias"][0]}
 
 
+def slopes(x: np.ndarray, counts: np.ndarray, target: np.ndarray, weight: np.ndarray, w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Gradients of the weighted log loss of ``attend``, written out; ``weight`` adds up to 1."""
+    firsts = np.cumsum(counts) - counts
+    s = attend(x, firsts, counts, w)
+    error = weight * (1 / (1 + np.exp(-s["margin"])) - target)
+    dz = np.repeat(error[:, None] * w["out"], counts, axis=0)
+    da = (dz * s["h"]).sum(1)
+    de = s["a"] * (da - np.repeat(np.add.reduceat(s["a"] * da, firsts), counts))
+    dt = de[:, None] * w["attend"] * s["g"] * (1 - s["t"] ** 2)
+    dg = de[:, None] * w["attend"] * s["t"] * s["g"] * (1 - s["g"])
+    dh = (s["a"][:, None] * dz + dt @ w["tanh"].T + dg @ w["gate"].T) * (1 - s["h"] ** 2)
+    return {"encode": x.T @ dh, "encode_bias": dh.sum(0), "tanh": s["h"].T @ dt, "gate": s["h"].T @ dg, "attend": (s["t"] * s["g"]).T @ de, "out": s["z"].T @ error, "out_bias": error.sum(keepdims=True)}
+
+
 def train(x: np.ndarray, counts: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 200, seed: int = 7) -> dict[str, np.ndarray]:
-    """Adam on the whole sample of bags; the gradients of ``attend`` written out."""
+    """Adam on the whole sample of bags."""
     random = np.random.default_rng(seed)
     shapes = {"encode": (x.shape[1], HIDDEN), "encode_bias": (HIDDEN,), "tanh": (HIDDEN, ATTENTION), "gate": (HIDDEN, ATTENTION), "attend": (ATTENTION,), "out": (HIDDEN,), "out_bias": (1,)}
     w = {k: (random.normal(0, 1 / np.sqrt(s[0]), s) if "bias" not in k else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    firsts = np.cumsum(counts) - counts
     weight = (weight / weight.sum()).astype(np.float32)
     for step in range(1, rounds + 1):
-        s = attend(x, firsts, counts, w)
-        error = weight * (1 / (1 + np.exp(-s["margin"])) - target)
-        dz = np.repeat(error[:, None] * w["out"], counts, axis=0)
-        da = (dz * s["h"]).sum(1)
-        de = s["a"] * (da - np.repeat(np.add.reduceat(s["a"] * da, firsts), counts))
-        dt = de[:, None] * w["attend"] * s["g"] * (1 - s["t"] ** 2)
-        dg = de[:, None] * w["attend"] * s["t"] * s["g"] * (1 - s["g"])
-        dh = (s["a"][:, None] * dz + dt @ w["tanh"].T + dg @ w["gate"].T) * (1 - s["h"] ** 2)
-        slope = {"encode": x.T @ dh, "encode_bias": dh.sum(0), "tanh": s["h"].T @ dt, "gate": s["h"].T @ dg, "attend": (s["t"] * s["g"]).T @ de, "out": s["z"].T @ error, "out_bias": error.sum(keepdims=True)}
-        for k, value in slope.items():
+        for k, value in slopes(x, counts, target, weight, w).items():
             value = value.astype(np.float32) + 1e-5 * w[k]
             first[k] = 0.9 * first[k] + 0.1 * value
             second[k] = 0.999 * second[k] + 0.001 * value**2
