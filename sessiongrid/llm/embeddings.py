@@ -12,7 +12,7 @@ by leaders and radii: all members linked, none, or, in between, member by member
 
 Defined results: a vector that is null, empty, zero, holds a null or non-finite component or has a null label
 has no links and is its own component; vectors of different lengths are never linked; repeated ids count as
-one vector each, and share a component if equal.
+one vector each, and share a component if equal; doubles of extreme size are divided by their largest before they are squared.
 """
 
 from __future__ import annotations
@@ -99,6 +99,9 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, tables: int = TABL
         F.col("label").isNotNull() & (F.size("vector") > 0) & F.col("vec_id").isNotNull()
         & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0), F.lit(False))
     distinct = rows.where(usable).groupBy("rid").agg(F.any_value("label").alias("label"), F.any_value("vector").alias("vector"), F.count(F.lit(1)).alias("copies"))
+    if dict(distinct.dtypes)["vector"] == "array<double>":  # squares of other types neither vanish nor overflow
+        most = F.array_max(F.transform("vector", F.abs))
+        distinct = distinct.withColumn("vector", F.when(most.between(1e-100, 1e100), F.col("vector")).otherwise(F.transform("vector", lambda v: v / most)))
     kinds = dict(distinct.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("rid", "label", "vector", "copies")) + ", keys array<bigint>"
     keyed = settle(distinct.mapInArrow(_bucket_keys(tables, projections, width, SEED), schema))
