@@ -15,7 +15,7 @@ strings of all texts are compared, without sending all suffixes to one place:
 ``removed`` takes every copy, or with ``keep_first`` only those after the first (in order of id, then place).
 
 Defined results: a null text is an empty one; shorter texts have no repeats; an exact copy of a text, the same id
-or not, repeats it; null ids come first; columns named as an output are replaced.
+or not, repeats it (with ``keep_first`` one of equal rows is the first); null ids come first; columns named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -184,6 +184,16 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
         raise ValueError(f"strings have at least {2 * GRAM} bytes")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
+    later = None
+    if keep_first:
+        times = settle(texts.groupBy("row").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1))
+        if not times.isEmpty():  # of equal rows one is looked at, and the others repeat it from end to end
+            texts = settle(texts.dropDuplicates(["row"]))
+            size, whole = F.octet_length("text"), F.octet_length("text") >= length
+            span = F.struct(F.lit(0).alias("start"), size.alias("end"))
+            later = texts.join(times, "row").select("*", F.explode(F.sequence(F.lit(2), F.col("times")))).select(
+                "doc_id", size.cast("long").alias("n_bytes"), F.when(whole, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("kept"),
+                F.when(whole, F.array(span)).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
     runs = settle(candidate_runs(texts, anchor_filter(texts, length), length))
     contents = settle(runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "row", "strings")).alias("one")))
     several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
@@ -295,7 +305,8 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
                 kept.append(b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_bytes", "kept", "spans"])
 
-    return texts.join(spans, "row", "left").select("row", "doc_id", "marks", "text").mapInArrow(finish, f"doc_id {kind}, n_bytes bigint, kept binary, spans array<struct<start: int, end: int>>")
+    found = texts.join(spans, "row", "left").select("row", "doc_id", "marks", "text").mapInArrow(finish, f"doc_id {kind}, n_bytes bigint, kept binary, spans array<struct<start: int, end: int>>")
+    return found if later is None else found.union(later)
 
 
 def digest(found: DataFrame) -> DataFrame:
