@@ -86,6 +86,18 @@ def assign(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id") -> DataF
     return plain.where(~over).select("__doc.*", *outputs).union(parts.select("__doc.*", *outputs))
 
 
+def write(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id") -> DataFrame:
+    """Write every shard as one Parquet file in the folder ``shard=s<its bits>`` of ``path``; returns (shard, documents, n_bytes) as read back.
+
+    A shard goes to one task, which its limit bounds; a task takes neighbouring shards by ranges of their names. ``path`` is
+    a folder that all executors reach. The column ``shard`` of the files' rows is the folder's.
+    """
+    named = assign(docs, limit, doc_id).withColumn("shard", F.concat(F.lit("s"), F.col("shard")))
+    named.repartitionByRange("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+    written = docs.sparkSession.read.option("basePath", path).schema(named.schema).parquet(path)
+    return written.groupBy("shard").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_bytes").alias("n_bytes"))
+
+
 def assign_sql(documents: str = "documents", limit: int = LIMIT) -> str:
     """DuckDB SQL of ``assign``: every depth of every hash, and the first that fits."""
     return f"""
