@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessiongrid.llm import decontamination, mixing, sharding
 from sessiongrid.llm.queries import QUERIES, SQL
+from sessiongrid.session import new_path
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -153,3 +154,19 @@ def test_decontamination_empty_tables(spark):
 def test_native_plans_have_no_python(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+def test_shards_are_written(spark):
+    """Each shard is a folder with one file, below the limit, and the folders together hold all rows."""
+    docs = documents(spark, [f"text {i} " + "x" * (i % 50) for i in range(400)] + [None, "", "y" * 900, *["same"] * 300]).withColumn("hash", F.lit("mine"))
+    path = new_path(spark)
+    table = sharding.write(docs, path, limit=600).collect()
+    back = spark.read.parquet(path)
+    assert len(table) == len({r.shard for r in table}) > 10 and sum(r.documents for r in table) == docs.count()
+    large = [r for r in table if r.n_bytes > 600]
+    assert [(r.documents, r.n_bytes) for r in large] == [(1, 900)]
+    assert back.select("doc_id", "text", "hash").exceptAll(docs.select("doc_id", "text", "hash")).count() == 0 and back.count() == docs.count()
+    files = back.select("shard", F.input_file_name().alias("file")).distinct().groupBy("shard").count().collect()
+    assert {r["count"] for r in files} == {1}
+    assert {r.shard: r.shard_bytes for r in back.collect()} == {r.shard: r.n_bytes for r in table}
+    assert sharding.write(docs.limit(0), new_path(spark), limit=600).count() == 0

@@ -138,3 +138,12 @@ def test_embedding_recall_near_the_limit(spark):
     found = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert all(found[2 * k] == 0 for k in range(0, 300, 2))
     assert np.mean([found[2 * k] == 1 for k in range(1, 300, 2)]) > 0.97
+
+
+def test_doubles_of_extreme_size(spark):
+    """Squares of such components vanish or overflow; their cosines are found all the same."""
+    rows = [(0, [1.0, 2.0]), (1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [2e200, -1e200]), (4, [5e-324, 5e-324]), (5, [1.7e308, 1.7e308]), (6, [0.0, 0.0])]
+    vectors = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(vectors).collect()}
+    # (1, 2) and (1, 1) meet at 0.9487
+    assert found == {0: (4, 0), 1: (4, 0), 2: (4, 0), 4: (4, 0), 5: (4, 0), 3: (0, 3), 6: (0, 6)}

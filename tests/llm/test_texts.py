@@ -61,6 +61,19 @@ def test_removed_odd_rows(spark, odd_texts):
     assert repeats.removed(documents(spark, [])).count() == 0
 
 
+def test_equal_rows_keep_their_first(spark):
+    """Rows with equal id and text are one after the other: the first is judged, the others repeat it."""
+    random.seed(5)
+    a, x = ("".join(random.choice("abcdefgh") for _ in range(n)) for n in (300, 40))
+    texts = [(1, a + x + a), (1, a + x + a), (2, "short"), (2, "short"), (3, a), (None, a[::-1]), (None, a[::-1]), (4, None), (4, None), (4, None)]
+    for group in (20_000, 1):
+        found = repeats.removed(documents(spark, texts).repartition(3), 100, keep_first=True, group=group).collect()
+        kept = sorted((str(r.doc_id), bytes(r.kept)) for r in found)
+        one = (a + x).encode()
+        assert kept == sorted([("1", one), ("1", b""), ("2", b"short"), ("2", b"short"), ("3", b""), ("None", a[::-1].encode()), ("None", b""), *[("4", b"")] * 3])
+        assert all(len(r.kept) == r.n_bytes - sum(s.end - s.start for s in r.spans) for r in found)
+
+
 def test_suffix_ranks_follow_the_bytes():
     random = np.random.default_rng(1)
     data = random.integers(97, 99, 600).astype(np.uint8)
