@@ -6,11 +6,13 @@ strings of all texts are compared, without sending all suffixes to one place:
 1. Each string has an anchor, the leftmost least-hashed gram of GRAM bytes in it, so equal strings have equal anchors.
    Neighbouring strings with one anchor form a run. Anchors that occur once are left out, by a filter of FILTER_BITS
    bits (a fixed size; a false hit only costs work).
-2. Runs with equal anchor and equal bytes (by hash) are counted: all their strings are repeated.
-3. Where one anchor has several distinct runs, the bytes of a representative of each go to the anchor's task. It sorts
-   their suffixes (prefix doubling up to LENGTH bytes, ties by position); the previous smaller position in suffix
-   order is an earlier match of at least LENGTH bytes, which is what the longest-previous-factor array is asked for, and the
-   next position a later one. An anchor with more than GROUP distinct runs is spread by string hashes instead.
+2. Runs with equal anchor and equal bytes (by hash) are collapsed: their first stands for them, the others repeat it whole.
+3. Where one anchor has several distinct runs, the bytes of those that stand for others or themselves go to the anchor's
+   task. It puts their suffixes in order (prefix doubling up to LENGTH bytes, ties by position), finds the previous and
+   next smaller positions in that order, and from the longer of the two common prefixes the longest-previous-factor array
+   (values up to LENGTH). A string whose value is LENGTH repeats an earlier one, its source, which so is repeated as well.
+4. The runs of an anchor with more than GROUP distinct ones are cut again by longer anchors, of twice the bytes, and take
+   steps 2 and 3 in these smaller groups; the last anchor is the string itself, so no group stays large.
 
 ``removed`` takes every copy, or with ``keep_first`` only those after the first (in order of id, then place).
 
@@ -21,6 +23,7 @@ or not, repeats it (with ``keep_first`` one of equal rows is the first); null id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from sessiongrid.session import settle
 LENGTH = 200
 GRAM = 32
 FILTER_BITS = 27
-GROUP = 20_000
+GROUP = 4_000
 CHUNK = 1 << 19
 MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -46,23 +49,24 @@ def in_pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa
             yield batch.slice(first, rows)
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM (a power of two) bytes from each position, as far as there are so many."""
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hash of the ``gram`` bytes from each position, as far as there are so many."""
     value, power, size = data.astype(np.uint64) + np.uint64(1), MULTIPLIER, 1
-    while size < GRAM:
-        value = value[:-size] * np.uint64(power) + value[size:] if len(value) > size else value[:0]
-        power, size = power * power % (1 << 64), 2 * size
+    while size < gram:
+        step = min(size, gram - size)  # the last two parts overlap unless gram is a power of two
+        value = value[:-step] * np.uint64(power) + value[step:] if len(value) > step else value[:0]
+        power, size = power * power % (1 << 64), size + step
     value = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return value ^ (value >> np.uint64(32))
 
 
-def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first string, number of strings, anchor hash) of each run; places are positions in ``data``."""
-    grams = gram_hashes(data)
+    grams = gram_hashes(data, gram)
     strings = len(data) - length + 1
     if strings <= 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int64),)
-    wide = length - GRAM + 1
+    wide = length - gram + 1
     key = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
     padded = np.concatenate([key, np.full(-len(key) % wide, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, wide)
     ahead = np.minimum.accumulate(padded, axis=1).ravel()
@@ -106,6 +110,16 @@ def anchor_filter(docs: DataFrame, length: int) -> Shared:
     return Shared(docs.sparkSession, table)
 
 
+RUN = ["anchor", "content", "row", "doc_id", "start", "strings"]
+
+
+def contents_of(data: np.ndarray, start: np.ndarray, strings: np.ndarray, length: int) -> pa.Array:
+    """A hash of the bytes of each run."""
+    raw = data.tobytes()
+    found = [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), (start + strings + length - 1).tolist())]
+    return pa.array(np.array(found, np.uint64).view(np.int64))
+
+
 def candidate_runs(docs: DataFrame, seen: Shared, length: int) -> DataFrame:
     """(anchor, content, row, doc_id, start, strings): runs whose anchor occurs more than once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -118,54 +132,112 @@ def candidate_runs(docs: DataFrame, seen: Shared, length: int) -> DataFrame:
                 at = _positions(anchor)
                 kept = np.flatnonzero(table[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                 owner, start, strings = owner[kept], start[kept], strings[kept]
-                raw = data.tobytes()
-                content = [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), (start + strings + length - 1).tolist())]
                 rows = pa.array(owner + first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[kept]), pa.array(np.array(content, np.uint64).view(np.int64)), batch.column("row").take(rows), batch.column("doc_id").take(rows), pa.array((start - offsets[:-1][owner]).astype(np.int32)), pa.array(strings.astype(np.int32))],
-                    names=["anchor", "content", "row", "doc_id", "start", "strings"])
+                    [pa.array(anchor[kept]), contents_of(data, start, strings, length), batch.column("row").take(rows), batch.column("doc_id").take(rows), pa.array((start - offsets[:-1][owner]).astype(np.int32)), pa.array(strings.astype(np.int32))],
+                    names=RUN)
 
     return docs.mapInArrow(run, f"anchor bigint, content bigint, row bigint, doc_id {kind}, start int, strings int")
 
 
-def suffix_ranks(data: np.ndarray, length: int, starts: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes from ``starts`` by their first ``length`` bytes; equal bytes have equal ranks."""
+def finer_runs(found: DataFrame, gram: int, length: int) -> DataFrame:
+    """The ``runs`` of each row of (row, doc_id, runs, text), cut again by anchors of ``gram`` bytes below their present ones."""
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_pieces(batches):
+            for i, (text, listed) in enumerate(zip(batch.column("text"), batch.column("runs"))):
+                raw, listed = text.as_py().encode(), listed.as_py()
+                parts = [raw[r["start"] : r["start"] + r["strings"] + length - 1] for r in listed]
+                offsets = np.append(0, np.cumsum([len(x) for x in parts]))
+                data = np.frombuffer(b"".join(parts), np.uint8)
+                owner, start, strings, anchor = anchored_runs(data, offsets, length, gram)
+                above = np.array([r["anchor"] for r in listed], np.int64)[owner].view(np.uint64)
+                below = (above * np.uint64(MULTIPLIER) ^ anchor.view(np.uint64)).view(np.int64)
+                at = np.array([r["start"] for r in listed], np.int64)[owner] + start - offsets[:-1][owner]
+                rows = pa.array(np.full(len(owner), i))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(below), contents_of(data, start, strings, length), batch.column("row").take(rows), batch.column("doc_id").take(rows), pa.array(at.astype(np.int32)), pa.array(strings.astype(np.int32))],
+                    names=RUN)
+
+    return found.mapInArrow(run, f"anchor bigint, content bigint, row bigint, doc_id {kind}, start int, strings int")
+
 
-    def ranked(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
-        step = np.empty(len(key), np.int64)
-        ordered = key[order]
-        step[0] = 0
-        step[1:] = ordered[1:] != ordered[:-1]
-        rank = np.empty(len(key), np.uint64)
-        rank[order] = np.cumsum(step).astype(np.uint64)
-        return rank
+def _ranked(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    ordered = key[order]
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1])).astype(np.uint64)
+    return rank
 
+
+def prefix_ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The eight bytes from each position as a number, and ranks by the first 8, 16, ... bytes, up to ``length``."""
     tail = np.zeros(length, np.uint8)
     padded = np.concatenate([data, tail])
-    key = np.zeros(len(padded), np.uint64)
+    eight = np.zeros(len(padded), np.uint64)
     for k in range(8):
-        key = (key << np.uint64(8)) | np.concatenate([padded[k:], tail[:k]])
-    size, rank = 8, ranked(key)
-    while 2 * size <= length:
+        eight = (eight << np.uint64(8)) | np.concatenate([padded[k:], tail[:k]])
+    levels = [(8, _ranked(eight))]
+    while 2 * levels[-1][0] <= length:
+        size, rank = levels[-1]
         later = np.concatenate([rank[size:], np.zeros(size, np.uint64)])
-        size, rank = 2 * size, ranked(rank << np.uint64(32) | later)
-    return ranked(rank[starts] << np.uint64(32) | rank[starts + length - size])
-
+        levels.append((2 * size, _ranked(rank << np.uint64(32) | later)))
+    return eight, levels
 
-def repeated_strings(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start (ascending) whether an earlier, and whether a later start has the same ``length`` bytes.
 
-    In suffix order with ties by position, the previous smaller position with a common prefix of ``length``
-    is the neighbour before, if it has the same rank; a later match is the neighbour after.
+def suffix_ranks(levels: list[tuple[int, np.ndarray]], length: int, starts: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes from ``starts`` by their first ``length`` bytes; equal bytes have equal ranks."""
+    size, rank = levels[-1]
+    return _ranked(rank[starts] << np.uint64(32) | rank[starts + length - size])
+
+
+def previous_smaller(value: np.ndarray) -> np.ndarray:
+    """For each place the nearest place before it with a smaller value, or -1; values are distinct."""
+    before = np.arange(-1, len(value) - 1)
+    open_ = np.flatnonzero((before >= 0) & (value[before] > value))
+    while len(open_):  # all between a place and its candidate are larger, so the candidate's own candidate is the next
+        before[open_] = before[before[open_]]
+        open_ = open_[before[open_] >= 0]
+        open_ = open_[value[before[open_]] > value[open_]]
+    return before
+
+
+def common_prefix(eight: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that the suffixes from ``a`` and ``b`` have in common, ``length`` at most."""
+    size = np.zeros(len(a), np.int64)
+    for step, rank in reversed(levels):
+        size += np.where(rank[a + size] == rank[b + size], step, 0)
+    differ = eight[a + size] ^ eight[b + size]
+    for k in range(1, 8):
+        size += differ >> np.uint64(64 - 8 * k) == 0
+    return np.minimum(size, length)
+
+
+def longest_previous_factor(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start (ascending) the longest prefix, up to ``length`` bytes, that also begins at an earlier start, and which (or -1).
+
+    Previous and next smaller positions in suffix order are the two candidates. Suffixes that agree in ``length``
+    bytes lie together by position, so all but the first of them have the one before as previous smaller position;
+    only the first ones are asked for both.
     """
-    rank = suffix_ranks(data, length, starts)
+    eight, levels = prefix_ranks(data, length)
+    rank = suffix_ranks(levels, length, starts)
     order = np.lexsort((starts, rank))
-    same = rank[order][1:] == rank[order][:-1]
-    earlier, later = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
-    return earlier, later
+    fresh = np.append(True, rank[order][1:] != rank[order][:-1])[: len(order)]
+    value, source = np.full(len(starts), length, np.int64), np.full(len(starts), -1, np.int64)
+    source[order[1:]] = order[:-1]
+    first = order[fresh]
+    value[first], source[first] = 0, -1
+    many = len(first)
+    after = many - 1 - previous_smaller(first[::-1])[::-1]
+    for other in (previous_smaller(first), np.where(after == many, -1, after)):
+        at = np.flatnonzero(other >= 0)
+        own, earlier = first[at], first[other[at]]
+        size = common_prefix(eight, levels, starts[own], starts[earlier], length)
+        better = size > value[own]
+        value[own[better]], source[own[better]] = size[better], earlier[better]
+    return value, source
 
 
 def _spans(hit: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,15 +266,11 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
             later = texts.join(times, "row").select("*", F.explode(F.sequence(F.lit(2), F.col("times")))).select(
                 "doc_id", size.cast("long").alias("n_bytes"), F.when(whole, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("kept"),
                 F.when(whole, F.array(span)).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
-    runs = settle(candidate_runs(texts, anchor_filter(texts, length), length))
-    contents = settle(runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "row", "strings")).alias("one")))
-    several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
-    whole = runs.join(contents.where(F.col("n") > 1), ["anchor", "content"])
-    if keep_first:
-        whole = whole.where((F.col("row") != F.col("one.row")) | (F.col("start") != F.col("one.start")))
-    marks = whole.select("row", "start", (F.col("start") + F.col("strings") + length - 1).alias("end")).distinct()
-    wanted = contents.join(several, "anchor").select("anchor", "content", "n", "kinds", "one.*")
-    per_text = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "n", "kinds", "start", "strings")).alias("runs"))
+    names = ["anchor", "n", "doc_id", "row", "start", "strings", "bytes"]
+    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
+    if id_type is None:
+        raise ValueError("ids are whole numbers or text")
+    out = [pa.int64(), pa.int64(), id_type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -213,16 +281,8 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
                 if row == last:  # a repeated row
                     continue
                 last, raw = row, text.as_py().encode()
-                lines += [(r["anchor"], r["kinds"], r["n"], own_id, row, r["start"], r["strings"], raw[r["start"] : r["start"] + r["strings"] + length - 1]) for r in own_runs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines) if lines else [[]] * 8, out)], names=names)
-
-    names = ["anchor", "kinds", "n", "doc_id", "row", "start", "strings", "bytes"]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
-    if id_type is None:
-        raise ValueError("ids are whole numbers or text")
-    out = [pa.int64(), pa.int64(), pa.int64(), id_type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    pieces = texts.join(per_text, "row").select("row", "doc_id", "runs", "text").mapInArrow(cut, f"anchor bigint, kinds bigint, n bigint, doc_id {kind}, row bigint, start int, strings int, bytes binary")
-    small = pieces.where(F.col("kinds") <= group).repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "start")
+                lines += [(r["anchor"], r["n"], own_id, row, r["start"], r["strings"], raw[r["start"] : r["start"] + r["strings"] + length - 1]) for r in own_runs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines) if lines else [[]] * 7, out)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -236,8 +296,11 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
             begins = np.cumsum(strings + length - 1) - (strings + length - 1)
             line = np.repeat(np.arange(len(strings)), strings)
             within = np.arange(len(line)) - np.repeat(np.cumsum(strings) - strings, strings)
-            earlier, later = repeated_strings(data, begins[line] + within, length)
-            hit = earlier if keep_first else (earlier | later) & (table.column("n").to_numpy() == 1)[line]
+            value, source = longest_previous_factor(data, begins[line] + within, length)
+            hit = value == length
+            if not keep_first:
+                hit[source[hit]] = True  # a source is repeated by those that name it
+                hit &= (table.column("n").to_numpy() == 1)[line]
             first, last = _spans(hit, begins[line] + within)
             start = table.column("start").to_numpy()[line[first]]
             return pa.RecordBatch.from_arrays(
@@ -269,24 +332,30 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
             yield done(table.slice(first, last - first))
             first = last
 
-    within_anchor = small.mapInArrow(compare, "row bigint, start int, end int")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, raw in enumerate(batch.column("bytes")):
-                raw, start = raw.as_py(), batch.column("start")[i].as_py()
-                hashes = [xxhash.xxh128_digest(raw[k : k + length]) for k in range(len(raw) - length + 1)]
-                many = len(hashes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes, pa.binary()), *(pa.array([batch.column(c)[i].as_py()] * many, t) for c, t in (("row", pa.int64()), ("doc_id", id_type))), pa.array(np.arange(start, start + many, dtype=np.int32))], names=["string", "row", "doc_id", "start"])
-
-    single = pieces.where(F.col("kinds") > group).mapInArrow(spread, f"string binary, row bigint, doc_id {kind}, start int")
-    counted = single.groupBy("string").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "row")).alias("one")).where(F.col("n") > 1)
-    across = single.join(counted, "string")
-    if keep_first:
-        across = across.where((F.col("row") != F.col("one.row")) | (F.col("start") != F.col("one.start")))
-    across = across.select("row", "start", (F.col("start") + length).alias("end"))
-    spans = marks.union(within_anchor).union(across).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+    marks = []
+    runs, gram = settle(candidate_runs(texts, anchor_filter(texts, length), length)), GRAM
+    while True:
+        contents = settle(runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "row", "strings")).alias("one")))
+        kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
+        whole = runs.join(contents.where(F.col("n") > 1), ["anchor", "content"])
+        if keep_first:
+            whole = whole.where((F.col("row") != F.col("one.row")) | (F.col("start") != F.col("one.start")))
+        marks.append(whole.select("row", "start", (F.col("start") + F.col("strings") + length - 1).alias("end")).distinct())
+
+        def with_texts(chosen: DataFrame) -> DataFrame:
+            wanted = contents.join(chosen, "anchor").select("anchor", "n", "one.*")
+            per_text = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "n", "start", "strings")).alias("runs"))
+            return texts.join(per_text, "row").select("row", "doc_id", "runs", "text")
+
+        few, many = kinds.where(F.col("kinds") <= group), kinds.where(F.col("kinds") > group)
+        pieces = with_texts(few).mapInArrow(cut, f"anchor bigint, n bigint, doc_id {kind}, row bigint, start int, strings int, bytes binary")
+        ordered = pieces.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "start", "row")
+        marks.append(ordered.mapInArrow(compare, "row bigint, start int, end int"))
+        if gram == length or many.isEmpty():
+            break
+        gram = min(2 * gram, length)
+        runs = settle(finer_runs(with_texts(many), gram, length))
+    spans = reduce(DataFrame.union, marks).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches):

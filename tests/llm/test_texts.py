@@ -79,11 +79,41 @@ def test_suffix_ranks_follow_the_bytes():
     data = random.integers(97, 99, 600).astype(np.uint8)
     starts = np.arange(0, 400, 3)
     strings = [data[s : s + 100].tobytes() for s in starts]
-    rank = repeats.suffix_ranks(data, 100, starts)
+    rank = repeats.suffix_ranks(repeats.prefix_ranks(data, 100)[1], 100, starts)
     order = {s: k for k, s in enumerate(sorted(set(strings)))}
     assert rank.tolist() == [order[s] for s in strings]
 
 
+@pytest.mark.parametrize("letters,length", [(2, 64), (2, 100), (3, 200), (1, 70)])
+def test_longest_previous_factors(letters, length):
+    random = np.random.default_rng(letters)
+    block = random.integers(97, 97 + letters, 300).astype(np.uint8)
+    data = np.concatenate([block, random.integers(97, 97 + letters, 150).astype(np.uint8), block[40:], block[:150], block])
+    starts = np.flatnonzero(random.random(len(data) - length) < 0.7)
+    strings = [data[s : s + length].tobytes() for s in starts]
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), length)
+    value, source = repeats.longest_previous_factor(data, starts, length)
+    assert value.tolist() == [max((common(s, t) for t in strings[:i]), default=0) for i, s in enumerate(strings)]
+    assert all(j == -1 if v == 0 else j < i and common(strings[i], strings[j]) == v for i, (v, j) in enumerate(zip(value, source)))
+    assert repeats.longest_previous_factor(data[:0], starts[:0], length)[0].tolist() == []
+
+
+def test_previous_smaller():
+    for values in ([], [3], [1, 2, 3, 4, 0], [5, 4, 3, 2, 1], list(np.random.default_rng(3).permutation(200))):
+        expected = [next((j for j in range(i - 1, -1, -1) if values[j] < values[i]), -1) for i in range(len(values))]
+        assert repeats.previous_smaller(np.array(values, np.int64)).tolist() == expected
+
+
+@pytest.mark.parametrize("gram", [32, 64, 100, 128, 200])
+def test_grams_hash_their_bytes(gram):
+    data = np.random.default_rng(4).integers(97, 99, 500).astype(np.uint8)
+    data = np.concatenate([data, data[100:400], data[:50]])
+    found = repeats.gram_hashes(data, gram).tolist()
+    assert len(found) == len(data) - gram + 1
+    bytes_of = [data[k : k + gram].tobytes() for k in range(len(found))]
+    assert len(set(found)) == len(set(bytes_of)) == len(set(zip(found, bytes_of)))
+
+
 def pieces_of():
     import sentencepiece
 
