@@ -3,12 +3,14 @@
 The pieces of an existing vocabulary span a lattice over each word: every way to cut it into pieces is a path,
 weighed by the pieces' probabilities, and a forward recursion in log space sums all paths to a marginal
 probability. No piece crosses white space, so the probability of a text is the product over its words, times its
-end. Byte pieces cover what no other piece does. A word of the training documents is one more edge of its own
-lattice, from start to end, weighed by its count less DISCOUNT; what the discount takes is the weight of all paths of pieces.
+end. Byte pieces cover what no other piece does. With ``whole_words`` (off unless asked for) a word of the training documents
+is one more edge of its own lattice, from start to end, weighed by its count less DISCOUNT; what the discount takes is the
+weight of all paths of pieces.
 
-The vocabulary's own scores (merge ranks) give the pieces' first weights, 1 / (rank + RANK_OFFSET). They are fitted to the
-training words, each distinct word once, by expected piece counts from forward and backward sums: ROUNDS
-rounds, each on all of them.
+The vocabulary's own scores (merge ranks) give the pieces' first weights, 1 / (rank + RANK_OFFSET). Each of ``rounds`` rounds
+then sums the expected uses of every piece over all training words, each as often as it occurs, by forward and backward sums
+under the present weights, and takes the shares of these sums as the next weights; with no rounds the vocabulary's scores
+weigh alone. The end is one more unit of the model, at its share of all expected units.
 
 Words are counted over all documents, so what is gathered grows with the corpus. A word's two scores are worked
 out once. Documents then meet them in two ways: the most frequent words, at most HEAD, are broadcast, all others
@@ -24,7 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from sessiongrid.session import settle
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 RANK_OFFSET = 10.0
 HEAD = 65_536
-ROUNDS = 4
+ROUNDS = 2
 SMOOTHING = 0.05
 DISCOUNT = 0.75
 WORD_START = "▁"
@@ -207,19 +209,20 @@ def word_counts(docs: DataFrame, training) -> DataFrame:
 
 
 def expected_counts(words: DataFrame, pieces: Pieces) -> np.ndarray:
-    """Expected piece counts over distinct words; a row per piece and task is shuffled."""
+    """Expected piece counts over (word, c), words c times; a row per piece and task is shuffled."""
     shared = Shared(words.sparkSession, pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         used = np.zeros(len(own.log_weight))
         for batch in batches:
-            for _, _, lattice in lattices(batch.column("word"), own):
-                used += lattice.expected(np.ones(lattice.words), len(used))
+            times = batch.column("c").to_numpy().astype(np.float64)
+            for first, last, lattice in lattices(batch.column("word"), own):
+                used += lattice.expected(times[first:last], len(used))
         there = np.flatnonzero(used)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(used[there])], names=["piece", "used"])
 
-    found = words.select("word").mapInArrow(run, "piece bigint, used double").groupBy("piece").agg(F.sum("used").alias("used"))
+    found = words.select("word", "c").mapInArrow(run, "piece bigint, used double").groupBy("piece").agg(F.sum("used").alias("used"))
     counts = np.zeros(len(pieces.log_weight))
     for r in found.collect():  # at most one row per piece of the vocabulary
         counts[r["piece"]] = r["used"]
@@ -260,7 +263,7 @@ def least_step(words: DataFrame, head: int) -> int:
     return most
 
 
-def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", head: int = HEAD, rounds: int = ROUNDS, whole_words: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row per document.
 
     ``base_score`` is an add-one smoothed unigram of words; both scores are log10.
@@ -274,15 +277,20 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, vocabulary: str
     tokens, kinds = (totals["tokens"] or 0) + ends, distinct + (ends > 0)
     pieces = read_pieces(vocabulary)
     learned = words.where(F.col("c") > 0)
+    units = float(totals["tokens"] or 0)  # without rounds: as if each word were one piece
     if distinct:
-        for _ in range(ROUNDS):
-            pieces = pieces.reweighed(expected_counts(learned, pieces))
-    scored = settle(scored_words(words, pieces, tokens, distinct))
+        for _ in range(rounds):
+            used = expected_counts(learned, pieces)
+            pieces, units = pieces.reweighed(used), float(used.sum())
+    end_share = ends / max(tokens if whole_words else ends + units, 1)
+    if not whole_words and units:
+        pieces = replace(pieces, log_weight=pieces.log_weight + np.log1p(-end_share))
+    scored = settle(scored_words(words, pieces, tokens if whole_words else 0, distinct))
     base_of = np.log10(tokens + kinds + 1)
     frequent = scored.where(_steps() >= least_step(scored, head)).collect()
     shared = session.sparkContext.broadcast({r["word"].encode(): (r["c"] > 0, np.log10(r["c"] + 1), r["lattice"]) for r in frequent})
     pattern = re.compile(WORD.encode())
-    end = (ends > 0, np.log10(ends + 1), float(np.log(ends / tokens)) if ends else 0.0)
+    end = (ends > 0, np.log10(ends + 1), float(np.log(end_share)) if ends else 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(shared.value)}
