@@ -12,7 +12,8 @@ strings of all texts are compared, without sending all suffixes to one place:
    next smaller positions in that order, and from the longer of the two common prefixes the longest-previous-factor array
    (values up to LENGTH). A string whose value is LENGTH repeats an earlier one, its source, which so is repeated as well.
 4. The runs of an anchor with more than GROUP distinct ones are cut again by longer anchors, of twice the bytes, and take
-   steps 2 and 3 in these smaller groups; the last anchor is the string itself, so no group stays large.
+   steps 2 and 3 in these smaller groups; the last anchor is the string itself, so no group stays large. Texts are read
+   for the first cut alone, later cuts take the bytes of the runs.
 
 ``removed`` takes every copy, or with ``keep_first`` only those after the first (in order of id, then place).
 
@@ -140,27 +141,30 @@ def candidate_runs(docs: DataFrame, seen: Shared, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"anchor bigint, content bigint, row bigint, doc_id {kind}, start int, strings int")
 
 
-def finer_runs(found: DataFrame, gram: int, length: int) -> DataFrame:
-    """The ``runs`` of each row of (row, doc_id, runs, text), cut again by anchors of ``gram`` bytes below their present ones."""
-    kind = found.schema["doc_id"].dataType.simpleString()
+def finer_runs(pieces: DataFrame, gram: int, length: int) -> DataFrame:
+    """Runs with their bytes, cut again by anchors of ``gram`` bytes below their present ones; a single string needs no bytes."""
+    kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_pieces(batches):
-            for i, (text, listed) in enumerate(zip(batch.column("text"), batch.column("runs"))):
-                raw, listed = text.as_py().encode(), listed.as_py()
-                parts = [raw[r["start"] : r["start"] + r["strings"] + length - 1] for r in listed]
-                offsets = np.append(0, np.cumsum([len(x) for x in parts]))
-                data = np.frombuffer(b"".join(parts), np.uint8)
-                owner, start, strings, anchor = anchored_runs(data, offsets, length, gram)
-                above = np.array([r["anchor"] for r in listed], np.int64)[owner].view(np.uint64)
-                below = (above * np.uint64(MULTIPLIER) ^ anchor.view(np.uint64)).view(np.int64)
-                at = np.array([r["start"] for r in listed], np.int64)[owner] + start - offsets[:-1][owner]
-                rows = pa.array(np.full(len(owner), i))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(below), contents_of(data, start, strings, length), batch.column("row").take(rows), batch.column("doc_id").take(rows), pa.array(at.astype(np.int32)), pa.array(strings.astype(np.int32))],
-                    names=RUN)
-
-    return found.mapInArrow(run, f"anchor bigint, content bigint, row bigint, doc_id {kind}, start int, strings int")
+        for batch in in_pieces(batches, 2000):
+            parts = batch.column("bytes").to_pylist()
+            offsets = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int64)
+            raw = b"".join(parts)
+            data = np.frombuffer(raw, np.uint8)
+            owner, start, strings, anchor = anchored_runs(data, offsets, length, gram)
+            above = batch.column("anchor").to_numpy()[owner].view(np.uint64)
+            below = (above * np.uint64(MULTIPLIER) ^ anchor.view(np.uint64)).view(np.int64)
+            at = batch.column("start").to_numpy()[owner] + start - offsets[:-1][owner]
+            rows = pa.array(owner)
+            if gram == length:
+                held = pa.nulls(len(owner), pa.binary())
+            else:
+                held = pa.array([raw[a:b] for a, b in zip(start.tolist(), (start + strings + length - 1).tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(below), contents_of(data, start, strings, length), batch.column("row").take(rows), batch.column("doc_id").take(rows), pa.array(at.astype(np.int32)), pa.array(strings.astype(np.int32)), held],
+                names=[*RUN, "bytes"])
+
+    return pieces.mapInArrow(run, f"anchor bigint, content bigint, row bigint, doc_id {kind}, start int, strings int, bytes binary")
 
 
 def _ranked(key: np.ndarray) -> np.ndarray:
@@ -266,11 +270,11 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
             later = texts.join(times, "row").select("*", F.explode(F.sequence(F.lit(2), F.col("times")))).select(
                 "doc_id", size.cast("long").alias("n_bytes"), F.when(whole, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("kept"),
                 F.when(whole, F.array(span)).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
-    names = ["anchor", "n", "doc_id", "row", "start", "strings", "bytes"]
+    names = ["anchor", "kinds", "n", "doc_id", "row", "start", "strings", "bytes"]
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
     if id_type is None:
         raise ValueError("ids are whole numbers or text")
-    out = [pa.int64(), pa.int64(), id_type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    out = [pa.int64(), pa.int64(), pa.int64(), id_type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -281,8 +285,8 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
                 if row == last:  # a repeated row
                     continue
                 last, raw = row, text.as_py().encode()
-                lines += [(r["anchor"], r["n"], own_id, row, r["start"], r["strings"], raw[r["start"] : r["start"] + r["strings"] + length - 1]) for r in own_runs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines) if lines else [[]] * 7, out)], names=names)
+                lines += [(r["anchor"], r["kinds"], r["n"], own_id, row, r["start"], r["strings"], raw[r["start"] : r["start"] + r["strings"] + length - 1]) for r in own_runs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines) if lines else [[]] * 8, out)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -332,29 +336,35 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
             yield done(table.slice(first, last - first))
             first = last
 
-    marks = []
-    runs, gram = settle(candidate_runs(texts, anchor_filter(texts, length), length)), GRAM
-    while True:
-        contents = settle(runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "row", "strings")).alias("one")))
-        kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
-        whole = runs.join(contents.where(F.col("n") > 1), ["anchor", "content"])
+    def collapsed(runs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        """(anchor, kinds, n, one) of the runs whose anchor has several kinds, and the marks of runs that others repeat whole."""
+        contents = settle(runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "row", "strings", *more)).alias("one")))
+        whole = runs.join(contents.where(F.col("n") > 1).select("anchor", "content", F.col("one.row").alias("one_row"), F.col("one.start").alias("one_start")), ["anchor", "content"])
         if keep_first:
-            whole = whole.where((F.col("row") != F.col("one.row")) | (F.col("start") != F.col("one.start")))
-        marks.append(whole.select("row", "start", (F.col("start") + F.col("strings") + length - 1).alias("end")).distinct())
-
-        def with_texts(chosen: DataFrame) -> DataFrame:
-            wanted = contents.join(chosen, "anchor").select("anchor", "n", "one.*")
-            per_text = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "n", "start", "strings")).alias("runs"))
-            return texts.join(per_text, "row").select("row", "doc_id", "runs", "text")
-
-        few, many = kinds.where(F.col("kinds") <= group), kinds.where(F.col("kinds") > group)
-        pieces = with_texts(few).mapInArrow(cut, f"anchor bigint, n bigint, doc_id {kind}, row bigint, start int, strings int, bytes binary")
-        ordered = pieces.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "start", "row")
-        marks.append(ordered.mapInArrow(compare, "row bigint, start int, end int"))
-        if gram == length or many.isEmpty():
-            break
+            whole = whole.where((F.col("row") != F.col("one_row")) | (F.col("start") != F.col("one_start")))
+        several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
+        kept = contents.join(several, "anchor").select("anchor", "kinds", "n", "one.*")
+        return kept, whole.select("row", "start", (F.col("start") + F.col("strings") + length - 1).alias("end")).distinct()
+
+    def compared(pieces: DataFrame) -> DataFrame:
+        few = pieces.where(F.col("kinds") <= group).select("anchor", "n", "doc_id", "row", "start", "strings", "bytes")
+        return few.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "start", "row").mapInArrow(compare, "row bigint, start int, end int")
+
+    wanted, whole = collapsed(settle(candidate_runs(texts, anchor_filter(texts, length), length)))
+    per_text = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "kinds", "n", "start", "strings")).alias("runs"))
+    pieces = texts.join(per_text, "row").select("row", "doc_id", "runs", "text").mapInArrow(cut, f"anchor bigint, kinds bigint, n bigint, doc_id {kind}, row bigint, start int, strings int, bytes binary")
+    hot = not wanted.where(F.col("kinds") > group).isEmpty()
+    if hot:
+        pieces = settle(pieces)
+    marks, gram = [whole, compared(pieces)], GRAM
+    while hot:
         gram = min(2 * gram, length)
-        runs = settle(finer_runs(with_texts(many), gram, length))
+        pieces, whole = collapsed(settle(finer_runs(pieces.where(F.col("kinds") > group), gram, length)), "bytes")
+        marks.append(whole)
+        if gram == length:
+            break
+        marks.append(compared(pieces))
+        hot = not pieces.where(F.col("kinds") > group).isEmpty()
     spans = reduce(DataFrame.union, marks).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
