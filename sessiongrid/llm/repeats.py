@@ -353,9 +353,8 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, doc
     wanted, whole = collapsed(settle(candidate_runs(texts, anchor_filter(texts, length), length)))
     per_text = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "kinds", "n", "start", "strings")).alias("runs"))
     pieces = texts.join(per_text, "row").select("row", "doc_id", "runs", "text").mapInArrow(cut, f"anchor bigint, kinds bigint, n bigint, doc_id {kind}, row bigint, start int, strings int, bytes binary")
-    hot = not wanted.where(F.col("kinds") > group).isEmpty()
-    if hot:
-        pieces = settle(pieces)
+    pieces = settle(pieces)  # at every size, so that the cost of a text does not jump with the first hot anchor
+    hot = not pieces.where(F.col("kinds") > group).isEmpty()
     marks, gram = [whole, compared(pieces)], GRAM
     while hot:
         gram = min(2 * gram, length)
