@@ -39,6 +39,22 @@ def read_vectors(spark: SparkSession, path: str, wanted: DataFrame | None = None
     return stored if wanted is None else wanted.join(stored, list(keys), "left")
 
 
+#: the folder of rows without a key
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_documents(df: DataFrame, path: str, by: Sequence[str], document: str, name: str = "part.json", mode: str = "error") -> None:
+    """A table of (path, content), one row a document: its path in folders per ``by``, as if it were a file there, and its text.
+
+    For millions of small documents, where a file each costs far more than its content. A path has one document; of several the least stays.
+    """
+    folders = [
+        F.concat(F.lit(f"{k}="), F.coalesce(F.replace(F.url_encode(F.nullif(column(k).cast("string"), F.lit(""))), F.lit("+"), F.lit("%20")), F.lit(NO_KEY))) for k in by
+    ]
+    named = df.select(F.concat_ws("/", *folders, F.lit(name)).alias("path"), column(document).cast("string").alias("content"))
+    named.groupBy("path").agg(F.min("content").alias("content")).write.mode(mode).parquet(path)
+
+
 BUCKETS = "buckets_of_"
 
 

@@ -87,3 +87,24 @@ def test_a_run_again_replaces_its_part(spark):
     runs.run_configs(configs(spark, 1), lambda c: spark.range(5).toDF("value"), path)
     spark.range(3).select(F.col("id").alias("value"), F.lit("c0").alias("config_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config_id").parquet(path)
     assert runs.finished(spark, path).count() == 3
+
+
+def test_packed_documents_read_as_files(spark, folder):
+    """Many documents to a file: the rows are those of one file a document, whatever the keys and however broken the text."""
+    texts = ['{"people": [\n {"pose_keypoints_2d": [1, 2, 0.5]},\n {"pose_keypoints_2d": [9, 9, 9]}]}', '{"people": []}', '{"people": [', '{"people": [{}]}', '{"people": [{"pose_keypoints_2d": ["NaN", null, 2]}]}']
+    rows = [(p, f, texts[(f or 0) % 5]) for p in ("a", "x y", "k=1/+%20", None) for f in (0, 1, 2, 3, 4, None)]
+    df = spark.createDataFrame(rows, "participant string, frame long, value string")
+    store.write_documents(df.union(df), str(folder / "packed"), ["participant", "frame"], "value")
+    df.write.partitionBy("participant", "frame").text(str(folder / "files"))
+    for broken in ("null", "drop"):
+        few = keypoints.read_keypoints(spark, str(folder / "packed"), broken=broken, packed=True)
+        many = keypoints.read_keypoints(spark, str(folder / "files"), broken=broken)
+        assert few.schema.simpleString() == many.schema.simpleString()
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+        assert few.count() == (24 if broken == "null" else 20)
+    assert len(list((folder / "packed").glob("*.parquet"))) < len(rows)
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        keypoints.read_keypoints(spark, str(folder / "packed"), broken="fail", packed=True).collect()
+    named = spark.createDataFrame([("s3://b/p7_frame0003_keypoints.json", texts[0].encode())], "path string, content binary")
+    named.write.parquet(str(folder / "named"))
+    assert [tuple(r) for r in keypoints.read_keypoints(spark, str(folder / "named"), packed=True).collect()] == [("p7", 3, [1.0, 2.0, 0.5])]
