@@ -8,6 +8,7 @@ stay where they lie, else by an as-of pass over both sides. ``index`` forces one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -125,6 +126,15 @@ def consecutive_intervals(
 
 WIDE_LEVEL = 12
 WIDE_COPIES = 256
+#: lookups of pieces in spans that one task sorts and joins
+LOOKUPS_PER_TASK = 1_000_000
+
+
+def _lookup_tasks(usable: DataFrame, keys: Sequence[str]) -> int:
+    """Tasks for the lookups of :func:`winning_steps`: their number follows from the intervals of each entity, at most two pieces an end."""
+    n = F.count(F.lit(1)).cast("double")
+    of_entity = usable.groupBy(*map(column, keys)).agg((4 * n * (F.ceil(F.log2(4 * n + 2)) + 1)).alias("_n"))
+    return math.ceil((of_entity.agg(F.sum("_n")).first()[0] or 0) / LOOKUPS_PER_TASK)
 
 
 def _aligned_spans(low: Column, high: Column) -> Column:
@@ -188,11 +198,18 @@ def winning_steps(
         *key_columns, "_time", "_place", depth.alias("_depth"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_open")
     )
     copy = F.when(F.col("level") >= WIDE_LEVEL, F.col("_place") % WIDE_COPIES).otherwise(0).cast("int")
-    looked = (
+    probes = (
         pieces.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_depth"))))
         .withColumn("span", F.floor((F.col("_place") * 2 + F.col("_open")) / F.pow(F.lit(2.0), F.col("level"))))
         .withColumn("_copy", copy)
-        .join(spread, [*keys, "level", "span", "_copy"], "left")
+    )
+    place = [*keys, "level", "span", "_copy"]
+    tasks = _lookup_tasks(usable, keys)
+    if tasks > 1:  # lookups compress well, so tasks cut by the size of the shuffle would hold too many
+        tasks = max(tasks, int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        probes, spread = (df.repartition(tasks, *map(column, place)) for df in (probes, spread))
+    looked = (
+        probes.join(spread, place, "left")
         .groupBy(*key_columns, "_time", "_open")
         .agg(best("_p").alias("_p"))
     )

@@ -1,6 +1,7 @@
 """Interval operators against brute force, in one block and in many."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +175,17 @@ def test_consecutive_intervals_in_blocks(spark):
     for blocks in BLOCKS:
         rows = sorted(map(tuple, intervals.consecutive_intervals(events, ["e"], "t", blocks).collect()))
         assert rows == [("a", k + 1, 3.0 * k, 3.0 * k + 3) for k in range(13)] + [("c", 1, 5.0, 20.0)]
+
+
+def test_lookups_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    """More intervals are more tasks, not longer ones, and the winners stay those of brute force."""
+    spans = [(e, float(s), float(s + 1 + (7 * s + k) % 40), 10 * s + k) for e in ("a", None) for s in range(60) for k in range(2)]
+    df = spark.createDataFrame(spans, "e string, start double, end double, k int")
+    monkeypatch.setattr(intervals, "LOOKUPS_PER_TASK", 100)
+    for pick, best in (("first", min), ("last", max)):
+        steps = intervals.winning_steps(df, ["e"], "start", "end", "k", ["k"], pick)
+        tasks = [int(n) for n in re.findall(r", ([0-9]+)\), REPARTITION_BY_NUM", steps._jdf.queryExecution().executedPlan().toString())]
+        assert tasks and min(tasks) >= 240 * 2 * 7 / 100
+        for r in steps.where("e = 'a'").collect():
+            at = r._time + r._side / 4
+            assert r.k == best((k for e, s, t, k in spans if e == "a" and s <= at <= t), default=None)
