@@ -3,8 +3,10 @@
 The neighbours are exact. A few hundred rows serve as pivots; every row belongs to the cell of its
 nearest pivot. Pivots are rows themselves, so the (k+1)-th nearest pivot bounds how far a row's k
 neighbours can be, and the triangle inequality then rules out most cells. A row visits the cells
-left. Cells are cut into pieces of bounded size on both sides, each pair of pieces is one group,
-and a group returns only the k best per row.
+left. Cells are packed into pieces of bounded size, a large one into several; a row goes once to each
+piece with a cell it visits. The rows that go to a piece are cut as well, each pair of pieces is one group,
+and a group returns only the k best per row. In many dimensions a row visits nearly all cells, so the pieces
+are few and as large as a task holds: it is their number that multiplies what is shuffled.
 """
 
 from __future__ import annotations
@@ -14,14 +16,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessiongrid.operators.ordered import column, hash_order
 from sessiongrid.operators.sampling import class_sizes, hash_ranked
 
 MAX_PIVOTS = 1024
+#: rows of a piece: at least, and as many bytes of vectors at most
 PIECE = 5_000
+PIECE_BYTES = 32 << 20
+#: pieces that a class is cut to while they are below PIECE_BYTES: of its rows, and of those that visit one
+PIECES, VISITS = 2, 12
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,8 +47,8 @@ def _near_pivots(pivots: np.ndarray):
     return near
 
 
-def _cells_to_visit(pivots: np.ndarray, radius: np.ndarray, k: int):
-    """Cells that may hold one of a row's k nearest neighbours."""
+def _pieces_to_visit(pivots: np.ndarray, radius: np.ndarray, k: int, first: np.ndarray, parts: np.ndarray):
+    """Pieces of the cells that may hold one of a row's k nearest neighbours."""
 
     @F.pandas_udf("array<int>")
     def visit(vectors: pd.Series) -> pd.Series:
@@ -53,58 +59,76 @@ def _cells_to_visit(pivots: np.ndarray, radius: np.ndarray, k: int):
             bound = np.full(len(away), np.inf)
         # a little slack for rounding: one cell more is only more work
         open_cells = (radius >= 0) & (away - bound[:, None] <= radius + 1e-6 * (1.0 + away))
-        return pd.Series([np.flatnonzero(row).astype("int32").tolist() for row in open_cells])
+        cells = map(np.flatnonzero, open_cells)
+        return pd.Series([sorted({p for c in row for p in range(first[c], first[c] + parts[c])}) for row in cells])
 
     return visit
 
 
-def nearest_neighbours(rows: DataFrame, k: int, pivots: int | None = None, piece: int = PIECE) -> DataFrame:
+def _pack(sizes: np.ndarray, pivots: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """First piece and number of pieces of each cell: neighbouring cells share one up to ``piece`` rows, larger ones have several."""
+    spread = pivots - pivots.mean(axis=0)
+    along = spread @ spread[(spread * spread).sum(axis=1).argmax()]
+    first, parts, at, held = np.zeros(len(sizes), dtype=int), np.ones(len(sizes), dtype=int), 0, 0
+    for c in np.argsort(along, kind="stable"):
+        if held and held + sizes[c] > piece:
+            at, held = at + 1, 0
+        first[c], held = at, held + sizes[c]
+        if held > piece:
+            parts[c] = math.ceil(sizes[c] / piece)
+            at, held = at + int(parts[c]), 0
+    return first, parts
+
+
+def nearest_neighbours(rows: DataFrame, k: int, pivots: int | None = None, piece: int | None = None) -> DataFrame:
     """From ``_id, _v`` (unique text, vector) to ``_id, near``: the k nearest vectors, nearest first.
 
-    Ties go to the smaller id. Only the pivots and one number per pivot reach the driver.
+    Ties go to the smaller id. Only the pivots and two numbers per pivot and piece reach the driver. A piece has ``piece`` rows, by
+    default what a task holds.
     """
     n = rows.count()
     if n <= k:
         raise ValueError(f"{n} rows cannot have {k} neighbours each")
-    wanted = pivots or min(MAX_PIVOTS, max(1, math.ceil(n / piece) * 4))
+    wanted = pivots or min(MAX_PIVOTS, max(1, math.ceil(n / (piece or PIECE)) * 4))
     chosen = rows.orderBy(F.md5("_id"), "_id").limit(wanted).select("_v").collect()
     centres = np.array([r[0] for r in chosen])
+    held = max(1, PIECE_BYTES // (8 * max(1, centres.shape[1])))
+    size, visitors = piece or min(held, max(PIECE, math.ceil(n / PIECES))), piece or min(held, max(PIECE, math.ceil(n / VISITS)))
     celled = rows.withColumn("_near", _near_pivots(centres)("_v"))
     stats = celled.groupBy(F.col("_near.cell").alias("cell")).agg(F.max("_near.reach").alias("far"), F.count(F.lit(1)).alias("n"))
     radius, sizes = np.full(len(centres), -1.0), np.zeros(len(centres), dtype=int)
     for r in stats.collect():
         radius[r.cell], sizes[r.cell] = r.far, r.n
+    first, parts = _pack(sizes, centres, size)
 
-    probes = rows.select("_id", "_v", F.explode(_cells_to_visit(centres, radius, k)("_v")).alias("cell"))
-    visits = np.zeros(len(centres), dtype=int)
-    for r in probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
-        visits[r.cell] = r.n
+    probes = rows.select("_id", "_v", F.explode(_pieces_to_visit(centres, radius, k, first, parts)("_v")).alias("other"))
+    visits = np.zeros(int((first + parts).max()), dtype=int)
+    for r in probes.groupBy("other").agg(F.count(F.lit(1)).alias("n")).collect():
+        visits[r.other] = r.n
 
-    def pieces(counts: np.ndarray):
-        needed = F.array(*[F.lit(max(1, math.ceil(c / piece))) for c in counts.tolist()])
-        return F.get(needed, F.col("cell"))
+    def listed(numbers: np.ndarray, i: Column) -> Column:
+        return F.get(F.array(*map(F.lit, numbers.tolist())), i)
 
     place = F.abs(F.xxhash64("_id") % 2**40)
-    probe_pieces = probes.select(
-        "_id", "_v", "cell", (place % pieces(visits)).cast("int").alias("mine"),
-        F.explode(F.sequence(F.lit(0), pieces(sizes) - 1)).alias("other"),
-    )
-    members = celled.select("_id", "_v", F.col("_near.cell").alias("cell"))
-    member_pieces = members.select(
-        "_id", "_v", "cell", (place % pieces(sizes)).cast("int").alias("other"),
-        F.explode(F.sequence(F.lit(0), pieces(visits) - 1)).alias("mine"),
-    )
+    cuts = np.maximum(1, np.ceil(visits / visitors)).astype(int)
+    probe_pieces = probes.select("_id", "_v", "other", (place % listed(cuts, F.col("other"))).cast("int").alias("mine"))
+    cell = F.col("_near.cell")
+    members = celled.select("_id", "_v", (listed(first, cell) + place % listed(parts, cell)).cast("int").alias("other"))
+    member_pieces = members.select("_id", "_v", "other", F.explode(F.sequence(F.lit(0), (listed(cuts, F.col("other")) - 1).cast("int"))).alias("mine"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
             right = right.sort_values("_id")
             ids, vectors = right["_id"].to_numpy(), np.stack(right["_v"].to_numpy())
-            for start in range(0, len(left), 512):
-                part = left.iloc[start : start + 512]
+            step = max(1, (1 << 22) // len(ids))
+            for start in range(0, len(left), step):
+                part = left.iloc[start : start + step]
                 away = _distances(np.stack(part["_v"].to_numpy()), vectors)
-                away[part["_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-                for probe, row in zip(part["_id"], away):
+                own = part["_id"].to_numpy()
+                for row, low, high in zip(away, np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")):
+                    row[low:high] = np.inf
+                for probe, row in zip(own, away):
                     # all rows as near as the k-th, then the smaller ids among them
                     limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
                     close = np.flatnonzero((row <= limit) & np.isfinite(row))
@@ -112,7 +136,7 @@ def nearest_neighbours(rows: DataFrame, k: int, pivots: int | None = None, piece
                         found.append((probe, float(row[j]), ids[j], vectors[j]))
         return pd.DataFrame(found, columns=["_id", "far", "other_id", "other"])
 
-    paired = probe_pieces.groupBy("cell", "mine", "other").cogroup(member_pieces.groupBy("cell", "mine", "other"))
+    paired = probe_pieces.groupBy("mine", "other").cogroup(member_pieces.groupBy("mine", "other"))
     picked = paired.applyInPandas(best, "_id string, far double, other_id string, other array<double>")
     ordered = F.slice(F.sort_array(F.collect_list(F.struct("far", "other_id", "other"))), 1, k)
     return picked.groupBy("_id").agg(ordered.alias("_n")).select("_id", F.col("_n.other").alias("near"))
