@@ -22,7 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by 0.8 or more of their five-word shingles: the one with the least id."""
+    """One document of each group of near duplicates: the one with the least id.
+
+    SimHash links first, each checked exactly; then all other pairs with 0.8 or more of their five-word shingles in common.
+    """
     return similar.deduplicated(docs)
 
 

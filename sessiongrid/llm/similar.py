@@ -5,10 +5,16 @@ linked if the shared shingles are at least SIMILARITY of all shingles of both. W
 such sets share one of their first n - ceil(SIMILARITY n) + 1 shingles, so only these prefixes are posted to an
 inverted index, and every pair that meets is verified over whole sets.
 
+The first links are those of SimHash (:mod:`~sessiongrid.llm.simhash`, op9): every document meets the least one of its component
+of fingerprints, found by the positional-byte index with count filtering, and an exact check follows. What SimHash cannot
+see, as 0.8 is about ten differing bits, the join on prefixes finds.
+
 The order puts shingles that are frequent in a sample of documents last, so that boilerplate is seldom posted. It
 decides the cost alone: any order finds the same pairs. Equal sets are collapsed before. Links are found in
 rounds: first every document meets one document of each of its posting lists; then only lists that still
-hold several components are paired, and only across components, so a group of copies costs no square. A pair's texts move
+hold several components are paired, and only across components, so a group of copies costs no square. Pairs whose parity
+bitmaps differ in more bits than the sets may in shingles are never made, nor pairs at a shingle with too few behind it to be their
+first in common. A pair's texts move
 only if the prefixes share as many shingles as similar sets must (:func:`shared_at_least`). Tables written on the way are deleted
 before the result is returned.
 
@@ -28,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sessiongrid.llm import simhash
 from sessiongrid.llm.components import components
 from sessiongrid.llm.texts import WORD, Shared, free_name, hash_share, lower_ascii, text_slices
 from sessiongrid.session import Scratch, settle
@@ -42,6 +49,8 @@ ORDER_MOST = 1 << 20
 #: rounds in which each document meets one further document of each of its lists
 LEADERS = 2
 BROADCAST_KEYS = 1_000_000
+#: bits of the parity bitmap of a set
+PARITY_BITS = 1024
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -96,8 +105,14 @@ def frequent_shingles(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarr
     return shingles[order], count[order]
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """A bitmap that flips a bit for each shingle: two sets differ in at least as many shingles as their bitmaps in bits."""
+    odd = np.bincount((own.view(np.uint64) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(row, node, n, prefix): the hash and the size of each document's set, and the first of its shingles."""
+    """(row, node, n, fingerprint, parity, prefix): the hash, size, SimHash and bitmap of each document's set, and the first of its shingles."""
     shared = Shared(docs.sparkSession, frequent_shingles(docs, shingle))
     kind = docs.schema["__row"].dataType.simpleString()
 
@@ -106,11 +121,13 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
         for batch in batches:
             for first, last, data, offsets in text_slices(batch.column("text")):
                 low = lower_ascii(data).tobytes()
-                nodes, sizes, posted = [], [], []
+                nodes, sizes, prints, odd, posted = [], [], [], [], []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     own = shingle_set(low[a:b], shingle)
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                     sizes.append(len(own))
+                    prints.append(simhash.fingerprint(low[a:b]))
+                    odd.append(parity(own))
                     rank = np.zeros(len(own), np.int64)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
@@ -118,9 +135,14 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     posted.append(own[np.argsort(rank, kind="stable")[: prefix_size(len(own), similarity)]])
                 ends = np.append(0, np.cumsum([len(p) for p in posted])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(posted)))
-                yield pa.RecordBatch.from_arrays([batch.column("__row").slice(first, last - first), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], names=["__row", "node", "n", "prefix"])
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(np.concatenate(odd)))
+                longs = [pa.array(np.array(found, np.uint64).view(np.int64)) for found in (nodes, prints)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("__row").slice(first, last - first), longs[0], pa.array(sizes, pa.int64()), longs[1], bits, lists],
+                    names=["__row", "node", "n", "fingerprint", "parity", "prefix"],
+                )
 
-    return docs.select("__row", "text").mapInArrow(run, f"__row {kind}, node long, n long, prefix array<long>")
+    return docs.select("__row", "text").mapInArrow(run, f"__row {kind}, node long, n long, fingerprint long, parity array<long>, prefix array<long>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -149,23 +171,31 @@ def _sizes_fit(m: Column, n: Column, similarity: float) -> Column:
     return F.least(m, n) >= F.greatest(m, n) * similarity - 1e-9
 
 
+def least_shared(m: Column, n: Column, similarity: float) -> Column:
+    """How many shingles sets of ``m`` and ``n`` shingles share if they have the similarity; none of them stands before the first."""
+    return F.ceil((m + n) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def parity_fits(m: Column, n: Column, one: Column, two: Column, similarity: float) -> Column:
+    """Whether the bitmaps leave room for the similarity: sets of ``m`` and ``n`` shingles differ in at most m + n - 2 :func:`least_shared`."""
+    return sum((F.bit_count(F.get(one, i).bitwiseXOR(F.get(two, i))) for i in range(PARITY_BITS // 64)), F.lit(0)) <= m + n - 2 * least_shared(m, n, similarity)
+
+
 def shared_at_least(m: Column, n: Column, similarity: float) -> Column:
     """How many shingles the prefixes of two sets of ``m`` and ``n`` shingles share if the sets have the similarity.
 
     They share at least o = ceil(similarity / (1 + similarity) (m + n)) shingles, and the k-th of these stands at most n - o places
     further back than k in either order; so the first o - ceil(similarity n) + 1 of them lie in the prefix of n.
     """
-    overlap = F.ceil((m + n) * (similarity / (1 + similarity)) - 1e-9)
-    return overlap - F.ceil(F.greatest(m, n) * similarity - 1e-9) + 1
+    return least_shared(m, n, similarity) - F.ceil(F.greatest(m, n) * similarity - 1e-9) + 1
 
 
 def set_components(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of the nodes with a link. ``docs`` has ``__key`` and text, ``rows`` one (node, n, prefix, key) for each set."""
-    postings = rows.select(F.explode("prefix").alias("shingle"), "node", "n").repartition("shingle")  # one exchange for the lists and their join
-    lists = postings.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last"))
-    lists = lists.where(F.col("first.node") != F.col("last"))
+    """(node, root) of the nodes with a link. ``docs`` has ``__key`` and text, ``rows`` one (node, n, fingerprint, parity, prefix, key) for each set."""
+    postings = rows.select(F.posexplode("prefix").alias("at", "shingle"), "node", "n").repartition("shingle")  # one exchange for the lists and their join
+    lists = postings.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("first") != F.col("last")).select("shingle")
     # the lists of one document, by far the most, go before anything is paired
-    shared = scratch.settle(postings.join(lists, "shingle").select("shingle", "node", "n", "first"))
+    shared = scratch.settle(postings.join(lists, "shingle").select("shingle", "node", "n", "at"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -184,19 +214,27 @@ def set_components(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle:
         return verified(scratch.settle(pairs.join(one, "a").join(two, "b").where(enough).select("a", "b")))
 
     def still_mixed(placed: DataFrame, links: DataFrame) -> DataFrame:
-        """(shingle, node, n, root) of the lists that hold several components of ``links``."""
+        """(shingle, node, n, at, root) of the lists that hold several components of ``links``."""
         roots = scratch.settle(components(links, "a", "b", scratch.settle))
-        placed = placed.select("shingle", "node", "n").join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
+        placed = placed.select("shingle", "node", "n", "at").join(roots, "node", "left").select("shingle", "node", "n", "at", F.coalesce("root", "node").alias("root"))
         placed = scratch.settle(placed)
         mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("shingle")
         left = scratch.settle(placed.join(mixed, "shingle"))
         scratch.drop(placed)
         return left
 
-    # every document against the least one of each of its lists
-    near = shared.where((F.col("node") != F.col("first.node")) & _sizes_fit(F.col("n"), F.col("first.n"), similarity))
-    links = linked(near.select(F.col("first.node").alias("a"), F.col("node").alias("b")))
+    # every document against the least one of its component of fingerprints: a pair a document at most
+    own = rows.select("node", "fingerprint").join(simhash.fingerprint_components(rows), "fingerprint").select("node", "root")
+    own = scratch.settle(own)
+    leaders = own.groupBy("root").agg(F.min("node").alias("a"))
+    links = linked(own.join(leaders, "root").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")))
     left = still_mixed(shared, links)
+    # every document against the least one of each of its lists that hold several components
+    least = left.groupBy("shingle").agg(F.min(F.struct(F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("top"))).alias("l"))
+    near = left.join(least.select("shingle", "l.a", "l.m", "l.top"), "shingle").where((F.col("root") != F.col("top")) & _sizes_fit(F.col("n"), F.col("m"), similarity))
+    links = scratch.settle(links.union(linked(near.select("a", F.col("node").alias("b")))).distinct())
+    old, left = left, still_mixed(left, links)
+    scratch.drop(old)
     scratch.drop(shared)
     # other leaders, chosen by hash: groups of copies that the first leader did not join grow together in time linear in them
     for turn in range(LEADERS):
@@ -208,13 +246,14 @@ def set_components(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle:
         links = scratch.settle(links.union(linked(near.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))).distinct())
         old, left = left, still_mixed(left, links)
         scratch.drop(old)
+    left = left.join(rows.select("node", "parity"), "node")
     x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _sizes_fit(F.col("x.n"), F.col("y.n"), similarity))
-    # all lists that hold two documents of different components are here, so their number is that of the shingles their prefixes share
-    counted = across.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
-        F.count(F.lit(1)).alias("lists"), F.first(shared_at_least(F.col("x.n"), F.col("y.n"), similarity)).alias("least"),
-    )
-    more = verified(scratch.settle(counted.where(F.col("lists") >= F.col("least")).select("a", "b")))
+    m, n = F.col("x.n"), F.col("y.n")
+    across = x.join(y, (
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _sizes_fit(m, n, similarity)
+        & (F.least(m - F.col("x.at"), n - F.col("y.at")) >= least_shared(m, n, similarity)) & parity_fits(m, n, F.col("x.parity"), F.col("y.parity"), similarity)
+    ))
+    more = linked(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     return components(links.union(more), "a", "b", scratch.settle)
 
 
@@ -225,7 +264,7 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     own = docs.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), hashed.alias("key")).alias("__row"), hashed.alias("__key"), "text")
     with Scratch(docs.sparkSession) as scratch:
         prints = scratch.settle(prefixes(own, shingle, similarity))
-        rows = scratch.settle(prints.groupBy("node").agg(F.min("__row").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("key", F.col("first.key")))
+        rows = scratch.settle(prints.groupBy("node").agg(F.min("__row").alias("first"), F.first("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")).withColumn("key", F.col("first.key")))
         times = prints.groupBy("__row.key").count().where(F.col("count") > 1).select(F.col("key").alias(key_name))
         repeated = scratch.settle(times)
         scratch.drop(prints)

@@ -4,9 +4,10 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 from llm_fixtures import SF_DIR, components_of, documents
 
-from sessiongrid.llm import similar
+from sessiongrid.llm import simhash, similar
 
 
 def slow_set(text, size=5):
@@ -67,3 +68,28 @@ def test_equals_all_pairs(spark, odd_texts, monkeypatch):
         kept = similar.deduplicated(docs)
         assert sorted((r.doc_id for r in kept.collect()), key=str) == expected and kept.columns == docs.columns
     assert similar.deduplicated(documents(spark, [])).count() == 0
+
+
+def test_parity_bounds_the_difference():
+    """Sets differ in at least as many shingles as their bitmaps in bits."""
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 40, 3000):
+        one = np.unique(draw.integers(-(2**63), 2**63 - 1, n))
+        two = np.unique(np.append(one[n // 10 :], draw.integers(-(2**63), 2**63 - 1, n // 8)))
+        bits = sum(int(v).bit_count() for v in similar.parity(one).view(np.uint64) ^ similar.parity(two).view(np.uint64))
+        assert len(similar.parity(one)) == similar.PARITY_BITS // 64 and bits <= len(np.setxor1d(one, two))
+        assert n != 40 or bits > 0
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """The stage meets documents by their fingerprints, a pair a document, and checks them exactly."""
+    asked, met = [], []
+    found, checked = simhash.fingerprint_components, similar.similar
+    monkeypatch.setattr(simhash, "fingerprint_components", lambda rows: asked.append(rows.count()) or found(rows))
+    monkeypatch.setattr(similar, "similar", lambda pairs, *rest: met.append(pairs.count()) or checked(pairs, *rest))
+    draw = random.Random(4)
+    base = [f"b{draw.randrange(900)}" for _ in range(400)]
+    rows = [(i, edited(base, i % 3, draw)) for i in range(60)] + [(100 + i, " ".join(f"o{i}x{j}" for j in range(30))) for i in range(20)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == expected_ids(rows)
+    assert len(asked) == 1 and 1 < met[0] < asked[0] and sum(met) < 2 * asked[0]
