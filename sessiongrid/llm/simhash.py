@@ -15,6 +15,7 @@ repeated rows share a component; columns named as an output are replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -105,10 +106,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     ).select(a.alias("a"), b.alias("b"))
 
 
-def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def fingerprint_components(prints: DataFrame, radius: int = RADIUS, settle: Callable[[DataFrame], DataFrame] = settle) -> DataFrame:
     """(fingerprint, root) for every fingerprint of ``prints``: those joined by links have one root."""
     distinct = prints.select("fingerprint").distinct()
-    roots = components(links(distinct, radius), "a", "b")
+    roots = components(links(distinct, radius), "a", "b", settle)
     return settle(distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root")))
 
 

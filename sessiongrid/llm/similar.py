@@ -224,7 +224,7 @@ def set_components(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle:
         return left
 
     # every document against the least one of its component of fingerprints: a pair a document at most
-    own = rows.select("node", "fingerprint").join(simhash.fingerprint_components(rows), "fingerprint").select("node", "root")
+    own = rows.select("node", "fingerprint").join(simhash.fingerprint_components(rows, settle=scratch.settle), "fingerprint").select("node", "root")
     own = scratch.settle(own)
     leaders = own.groupBy("root").agg(F.min("node").alias("a"))
     links = linked(own.join(leaders, "root").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")))

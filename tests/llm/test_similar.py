@@ -85,7 +85,7 @@ def test_simhash_links_come_first(spark, monkeypatch):
     """The stage meets documents by their fingerprints, a pair a document, and checks them exactly."""
     asked, met = [], []
     found, checked = simhash.fingerprint_components, similar.similar
-    monkeypatch.setattr(simhash, "fingerprint_components", lambda rows: asked.append(rows.count()) or found(rows))
+    monkeypatch.setattr(simhash, "fingerprint_components", lambda rows, **options: asked.append(rows.count()) or found(rows, **options))
     monkeypatch.setattr(similar, "similar", lambda pairs, *rest: met.append(pairs.count()) or checked(pairs, *rest))
     draw = random.Random(4)
     base = [f"b{draw.randrange(900)}" for _ in range(400)]
