@@ -11,7 +11,7 @@ see, as 0.8 is about ten differing bits, the join on prefixes finds.
 
 The order puts shingles that are frequent in a sample of documents last, so that boilerplate is seldom posted. It
 decides the cost alone: any order finds the same pairs. Equal sets are collapsed before. Links are found in
-rounds: first every document meets one document of each of its posting lists; then only lists that still
+rounds: every document meets one document of each of its posting lists, until a round hardly joins anything; then only lists that still
 hold several components are paired, and only across components, so a group of copies costs no square. Pairs whose parity
 bitmaps differ in more bits than the sets may in shingles are never made, nor pairs at a shingle with too few behind it to be their
 first in common. A pair's texts move
@@ -46,8 +46,9 @@ SEED = 42
 ORDER_SHARE = 0.125
 ORDER_LEAST = 3
 ORDER_MOST = 1 << 20
-#: rounds in which each document meets one further document of each of its lists
+#: rounds in which each document meets one further document of each of its lists; they end when one leaves more than this share of the postings
 LEADERS = 2
+LEFT = 0.9
 BROADCAST_KEYS = 1_000_000
 #: bits of the parity bitmap of a set
 PARITY_BITS = 1024
@@ -213,9 +214,12 @@ def set_components(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle:
         enough = F.size(F.array_intersect("p_a", "p_b")) >= shared_at_least(F.col("n_a"), F.col("n_b"), similarity)
         return verified(scratch.settle(pairs.join(one, "a").join(two, "b").where(enough).select("a", "b")))
 
-    def still_mixed(placed: DataFrame, links: DataFrame) -> DataFrame:
-        """(shingle, node, n, at, root) of the lists that hold several components of ``links``."""
-        roots = scratch.settle(components(links, "a", "b", scratch.settle))
+    def joined(stars: DataFrame, links: DataFrame) -> DataFrame:
+        """(node, root) as ``stars`` has them, joined further by ``links``: their own links are not gone through again."""
+        return components(stars.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links.select("a", "b")), "a", "b", scratch.settle)
+
+    def still_mixed(placed: DataFrame, roots: DataFrame) -> DataFrame:
+        """(shingle, node, n, at, root) of the lists that hold several components of ``roots``."""
         placed = placed.select("shingle", "node", "n", "at").join(roots, "node", "left").select("shingle", "node", "n", "at", F.coalesce("root", "node").alias("root"))
         placed = scratch.settle(placed)
         mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("shingle")
@@ -228,23 +232,23 @@ def set_components(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle:
     own = scratch.settle(own)
     leaders = own.groupBy("root").agg(F.min("node").alias("a"))
     links = linked(own.join(leaders, "root").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")))
-    left = still_mixed(shared, links)
-    # every document against the least one of each of its lists that hold several components
-    least = left.groupBy("shingle").agg(F.min(F.struct(F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("top"))).alias("l"))
-    near = left.join(least.select("shingle", "l.a", "l.m", "l.top"), "shingle").where((F.col("root") != F.col("top")) & _sizes_fit(F.col("n"), F.col("m"), similarity))
-    links = scratch.settle(links.union(linked(near.select("a", F.col("node").alias("b")))).distinct())
-    old, left = left, still_mixed(left, links)
-    scratch.drop(old)
+    stars = scratch.settle(components(links, "a", "b", scratch.settle))
+    left = still_mixed(shared, stars)
     scratch.drop(shared)
-    # other leaders, chosen by hash: groups of copies that the first leader did not join grow together in time linear in them
-    for turn in range(LEADERS):
-        if left.isEmpty():
+    # then against a leader of each of its lists that hold several components, first the least and then others by hash: groups of
+    # copies grow together in time linear in them. Each round is a fixed number of jobs, so one that hardly joins anything is the last
+    before = 0
+    for turn in range(LEADERS + 1):
+        postings = left.count()
+        if postings == 0 or turn and postings > LEFT * before:
             break
-        leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("top")))
+        order = F.xxhash64("node", F.lit(turn)) if turn else F.lit(0)
+        leader = F.min(F.struct(order.alias("order"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("top")))
         leaders = left.groupBy("shingle").agg(leader.alias("l")).select("shingle", "l.a", "l.m", "l.top")
         near = left.join(leaders, "shingle").where((F.col("root") != F.col("top")) & _sizes_fit(F.col("n"), F.col("m"), similarity))
-        links = scratch.settle(links.union(linked(near.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))).distinct())
-        old, left = left, still_mixed(left, links)
+        links = linked(near.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
+        stars = scratch.settle(joined(stars, links))
+        old, left, before = left, still_mixed(left, stars), postings
         scratch.drop(old)
     left = left.join(rows.select("node", "parity"), "node")
     x, y = left.alias("x"), left.alias("y")
@@ -254,7 +258,7 @@ def set_components(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle:
         & (F.least(m - F.col("x.at"), n - F.col("y.at")) >= least_shared(m, n, similarity)) & parity_fits(m, n, F.col("x.parity"), F.col("y.parity"), similarity)
     ))
     more = linked(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    return components(links.union(more), "a", "b", scratch.settle)
+    return joined(stars, more)
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, doc_id: str = "doc_id") -> DataFrame:

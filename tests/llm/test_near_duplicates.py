@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sessiongrid.llm import embeddings, simhash
 from sessiongrid.llm.components import components
+from sessiongrid.session import settle
 
 
 def slow_fingerprint(text, size=4):
@@ -147,3 +148,19 @@ def test_doubles_of_extreme_size(spark):
     found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(vectors).collect()}
     # (1, 2) and (1, 1) meet at 0.9487
     assert found == {0: (4, 0), 1: (4, 0), 2: (4, 0), 4: (4, 0), 5: (4, 0), 3: (0, 3), 6: (0, 6)}
+
+
+def test_components_of_stars_take_no_round(spark):
+    """Links to a least node that has none smaller are the result; others take rounds until they are such."""
+    settled = []
+
+    def kept(table):
+        settled.append(1)
+        return settle(table)
+
+    stars = spark.createDataFrame([(1, n) for n in range(2, 30)] + [(40, 41), (41, 40), (50, 50), (None, 60)], "a long, b long")
+    roots = {(r.node, r.root) for r in components(stars, "a", "b", kept).collect()}
+    assert roots == {(n, 1) for n in range(1, 30)} | {(40, 40), (41, 40)} and len(settled) == 1
+    chain = spark.createDataFrame([(n, n + 1) for n in range(40)], "a long, b long")
+    assert {(r.node, r.root) for r in components(chain, "a", "b", kept).collect()} == {(n, 0) for n in range(41)} and len(settled) > 3
+    assert components(chain.limit(0), "a", "b", kept).count() == 0

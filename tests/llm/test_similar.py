@@ -93,3 +93,13 @@ def test_simhash_links_come_first(spark, monkeypatch):
     kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "")
     assert sorted(r.doc_id for r in kept.collect()) == expected_ids(rows)
     assert len(asked) == 1 and 1 < met[0] < asked[0] and sum(met) < 2 * asked[0]
+
+
+def test_rounds_that_join_nothing_end(spark, monkeypatch):
+    """Documents that share many shingles, but too few, stay: one round of leaders joins nothing, and no further one is run."""
+    called, found = [], similar.components
+    monkeypatch.setattr(similar, "components", lambda *given: called.append(1) or found(*given))
+    rows = [(i, " ".join(f"e{j}x{i if j % 12 == 5 else 0}" for j in range(60))) for i in range(12)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "")
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == expected_ids(rows) and len(expected_ids(rows)) == 12
+    assert len(called) == 3
